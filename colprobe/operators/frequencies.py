@@ -85,16 +85,27 @@ def value_frequencies(
 
 
 def frequency_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_ix, missing, freq): the frequency table without its values.
+    """(column_ix, missing, number, freq): the frequency table without its texts.
 
-    Every column contributes one extra row of frequency 0, so a column of an empty
-    table still gets its metrics row without a join against the schema.
+    ``number`` is the value of a numeric column. Every column contributes one extra row
+    of frequency 0, so a column of an empty table still gets its metrics row without a
+    join against the schema.
     """
     fields = fields_of(df, columns)
-    parts = [
-        counts.select("column_ix", F.col("value").isNull().alias("missing"), "freq")
-        for _, counts in _counted(df, fields, digest_text=True)
-    ]
+    parts = []
+    for members, counts in _counted(df, fields, digest_text=True):
+        value = F.col("value")
+        number = F.lit(None)
+        if members[0].is_numeric:
+            number = value.cast("int") if members[0].is_boolean else value
+        parts.append(
+            counts.select(
+                "column_ix",
+                value.isNull().alias("missing"),
+                number.cast("double").alias("number"),
+                "freq",
+            )
+        )
     return reduce(DataFrame.unionByName, [*parts, _seed_rows(df, fields)])
 
 
@@ -103,6 +114,7 @@ def _seed_rows(df: DataFrame, fields: list[Field]) -> DataFrame:
     return df.sparkSession.range(1).select(
         F.explode(positions).alias("column_ix"),
         F.lit(True).alias("missing"),
+        F.lit(None).cast("double").alias("number"),
         F.lit(0).cast("bigint").alias("freq"),
     )
 
@@ -167,24 +179,3 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum("count"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"),
     )
-
-
-def numeric_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_ix, number, freq) over the numeric columns; missing has number NULL."""
-    fields = [f for f in fields_of(df, columns) if f.is_numeric]
-    return (
-        unfold(df, "double", fields, Field.number)
-        .groupBy("column_ix", F.col("value").alias("number"))
-        .agg(F.count(F.lit(1)).alias("freq"))
-    )
-
-
-__all__ = [
-    "duplicate_rows",
-    "frequency_counts",
-    "frequency_metrics",
-    "metrics_from_counts",
-    "numeric_frequencies",
-    "text_key",
-    "value_frequencies",
-]

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colprobe.functions.types import Field, fields_of, per_field
-from colprobe.operators.frequencies import numeric_frequencies
+from colprobe.operators.frequencies import frequency_counts
 from colprobe.session import stage
 
 # Forest settings.
@@ -280,7 +280,7 @@ def _outlier_counts(scored: DataFrame) -> DataFrame:
 def outliers(df: DataFrame, freqs: DataFrame | None = None) -> DataFrame:
     """(column_ix, column_name, outlier_count, outlier_percentage, accuracy_score).
 
-    ``freqs`` may hand in a staged ``numeric_frequencies`` table. Columns that are not
+    ``freqs`` may hand in a staged ``frequency_counts`` table. Columns that are not
     numeric, empty or hold infinite values have no outliers.
     """
     fields = fields_of(df)
@@ -288,7 +288,10 @@ def outliers(df: DataFrame, freqs: DataFrame | None = None) -> DataFrame:
     counts = [_no_outliers(df, fields)]
     if numeric:
         if freqs is None:
-            freqs = stage(numeric_frequencies(df), "numeric-frequencies")
+            freqs = stage(frequency_counts(df, [f.name for f in numeric]), "frequencies")
+        positions = [f.ix for f in numeric]
+        freqs = freqs.where(F.col("column_ix").isin(positions) & (F.col("freq") > 0))
+        freqs = freqs.select("column_ix", "number", "freq")
         usable = {ix: s for ix, s in _stats(freqs).items() if s.usable}
         gaps = {ix: s for ix, s in usable.items() if s.missing}
         medians = exact_medians(freqs, gaps) if gaps else {}

@@ -1,0 +1,61 @@
+"""Profiles and feedback kept up to date from streams.
+
+Each micro-batch is reduced on its own and written as one increment, a folder named
+after the batch. Counts add up and latest values compare, so the state is the sum (or
+maximum) of the increments: no state store grows with the number of distinct values,
+and a batch repeated after a failure overwrites its own folder.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+
+from colprobe.operators.frequencies import value_frequencies
+from colprobe.operators.interactions import feedback_latest
+
+BATCH = "increment"
+
+
+def _write_increments(
+    stream: DataFrame, reduce_batch: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+) -> StreamingQuery:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        reduce_batch(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def stream_value_frequencies(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Count new rows into the frequency increments at ``path``."""
+    return _write_increments(stream, value_frequencies, path, checkpoint)
+
+
+def stream_feedback(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Reduce new feedback events to the latest per message."""
+    return _write_increments(stream, feedback_latest, path, checkpoint)
+
+
+def current_frequencies(spark: SparkSession, path: str) -> DataFrame:
+    return (
+        spark.read.parquet(path)
+        .groupBy("column_ix", "column_name", "value")
+        .agg(F.sum("freq").alias("freq"))
+    )
+
+
+def current_feedback(spark: SparkSession, path: str) -> DataFrame:
+    return feedback_latest(spark.read.parquet(path))
+
+
+def compact(spark: SparkSession, path: str, into: str, merge: Callable) -> None:
+    """Merge all increments of ``path`` into increment 0 of a new folder."""
+    merge(spark, path).write.mode("overwrite").parquet(f"{into}/{BATCH}=0")
