@@ -217,11 +217,9 @@ def privacy_profile(df: DataFrame, strict_strings: bool = False) -> DataFrame:
 def profile_from(
     metrics: DataFrame, scanned: DataFrame, strict_strings: bool = False
 ) -> DataFrame:
-    sensitive = with_sensitivity(scanned, strict_strings).select(
-        "column_ix", "sensitive_data_score", "sensitivity_type"
-    )
-    joined = metrics.join(F.broadcast(sensitive), "column_ix")
-    return with_risk(with_entropy(joined)).select(
+    hits = scanned.drop("column_name", "type_class", "total_count", "missing_count", "value_count")
+    joined = metrics.join(F.broadcast(hits), "column_ix")  # one row per column
+    return with_privacy(joined, strict_strings).select(
         "column_ix",
         "column_name",
         "privacy_risk_score",
@@ -234,6 +232,11 @@ def profile_from(
     )
 
 
+def with_privacy(joined: DataFrame, strict_strings: bool = False) -> DataFrame:
+    """All privacy measures of rows holding both frequency metrics and scan counts."""
+    return with_risk(with_entropy(with_sensitivity(joined, strict_strings)))
+
+
 def privacy_risk(df: DataFrame, strict_strings: bool = False) -> DataFrame:
     return privacy_profile(df, strict_strings).select(
         "column_ix",
@@ -255,8 +258,12 @@ def risk_category(score: Column) -> Column:
 
 def privacy_summary(profile: DataFrame) -> DataFrame:
     """One row for the dataset: mean risk, information averages and risk buckets."""
+    return profile.agg(*summary_aggregates())
+
+
+def summary_aggregates() -> list[Column]:
     risk = F.col("privacy_risk_score")
-    return profile.agg(
+    return [
         F.coalesce(F.avg("privacy_risk_score"), F.lit(0.0)).alias("overall_privacy_score"),
         F.coalesce(F.product("privacy_factor"), F.lit(1.0)).alias("overall_privacy_factor"),
         F.coalesce(F.avg("shannon_entropy"), F.lit(0.0)).alias("avg_shannon_entropy"),
@@ -264,11 +271,11 @@ def privacy_summary(profile: DataFrame) -> DataFrame:
         names_where(risk > 0.7).alias("high_risk_columns"),
         names_where((risk > 0.3) & (risk <= 0.7)).alias("medium_risk_columns"),
         names_where(risk <= 0.3).alias("low_risk_columns"),
-        F.count(F.lit(1)).alias("total_columns"),
+        F.count("column_ix").alias("total_columns"),
         F.count_if(risk > 0.7).alias("high_risk_count"),
         F.count_if((risk > 0.3) & (risk <= 0.7)).alias("medium_risk_count"),
         F.count_if(risk <= 0.3).alias("low_risk_count"),
-    )
+    ]
 
 
 def with_risk_category(profile: DataFrame) -> DataFrame:

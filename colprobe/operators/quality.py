@@ -265,9 +265,9 @@ def integrity_overall(df: DataFrame) -> DataFrame:
     )
 
 
-def _with_rows(columns: DataFrame, df: DataFrame) -> DataFrame:
-    """Column rows plus one row for the duplicate-row count, ready for one aggregation."""
-    return columns.unionByName(duplicate_rows(df), allowMissingColumns=True)
+def with_row_level(columns: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """Column rows plus the one row of ``duplicate_rows``, ready for one aggregation."""
+    return columns.unionByName(duplicates, allowMissingColumns=True)
 
 
 def _row_uniqueness() -> Column:
@@ -280,7 +280,7 @@ def _uniqueness_score() -> Column:
 
 
 def uniqueness_overall(df: DataFrame) -> DataFrame:
-    rows = _with_rows(uniqueness_columns(frequency_metrics(df)), df)
+    rows = with_row_level(uniqueness_columns(frequency_metrics(df)), duplicate_rows(df))
     return rows.agg(
         F.max("duplicate_rows").alias("duplicate_rows"),
         _row_uniqueness().alias("row_uniqueness_score"),
@@ -288,25 +288,31 @@ def uniqueness_overall(df: DataFrame) -> DataFrame:
     )
 
 
-def quality_columns(
-    df: DataFrame,
+def quality_columns(df: DataFrame, strict_strings: bool = False) -> DataFrame:
+    """All column metrics of all dimensions, one row per column, accuracy taken as 1."""
+    scanned = scan_columns(df, measures=("empty", "case", "number"))
+    joined = frequency_metrics(df).join(F.broadcast(per_cell_counts(scanned)), "column_ix")
+    return with_quality(joined, fields_of(df), None, strict_strings)
+
+
+def per_cell_counts(scanned: DataFrame) -> DataFrame:
+    """The scan without what the frequency metrics hold too; one row per column."""
+    return scanned.drop("column_name", "total_count", "missing_count", "value_count")
+
+
+def with_quality(
+    joined: DataFrame,
+    fields: list[Field],
     accuracy: DataFrame | None = None,
     strict_strings: bool = False,
-    metrics: DataFrame | None = None,
 ) -> DataFrame:
-    """All column metrics of all dimensions, one row per column.
+    """All quality measures of rows holding both frequency metrics and scan counts.
 
     ``accuracy`` is an outlier table by ``column_ix``; without it every column is taken
-    to be accurate. ``metrics`` may hand in frequency metrics computed before.
+    to be accurate.
     """
-    fields = fields_of(df)
-    scanned = scan_columns(df, measures=("empty", "case", "number"))
-    per_cell = consistency_columns(validity_columns(scanned, strict_strings), strict_strings)
-    per_cell = per_cell.drop("column_name", "total_count", "missing_count", "value_count")
-    rows = (metrics if metrics is not None else frequency_metrics(df)).join(
-        F.broadcast(per_cell), "column_ix"  # one row per column
-    )
-    rows = type_columns(rows, fields)
+    rows = type_columns(joined, fields)
+    rows = consistency_columns(validity_columns(rows, strict_strings), strict_strings)
     rows = integrity_columns(uniqueness_columns(completeness_columns(rows)), fields)
     if accuracy is None:
         return rows.withColumns(
@@ -320,23 +326,31 @@ def quality_columns(
     return rows.join(F.broadcast(scores), "column_ix")  # one row per column
 
 
-def quality_summary(columns: DataFrame, df: DataFrame) -> DataFrame:
-    """One row: the six dimension scores and their weighted sum."""
-    scores = _with_rows(columns, df).agg(
-        F.coalesce(F.sum("value_count") / F.nullif(F.sum("total_count"), F.lit(0)), F.lit(1.0)).alias(
-            "completeness"
-        ),
+def summary_aggregates() -> list[Column]:
+    """Dimension scores, as aggregates over column rows and the row-level row."""
+    cells = F.sum("value_count") / F.nullif(F.sum("total_count"), F.lit(0))
+    return [
+        F.coalesce(cells, F.lit(1.0)).alias("completeness"),
         F.coalesce(F.avg("accuracy_score"), F.lit(1.0)).alias("accuracy"),
         validity_score().alias("validity"),
         _uniqueness_score().alias("uniqueness"),
         integrity_score().alias("integrity"),
         consistency_score().alias("consistency"),
+        F.max("row_count").alias("num_rows"),
         F.max("duplicate_rows").alias("duplicate_rows"),
-    )
+    ]
+
+
+def with_overall(scores: DataFrame) -> DataFrame:
     overall = sum((F.lit(w) * F.col(name) for name, w in WEIGHTS.items()), F.lit(0.0))
     return scores.withColumn("overall_quality_score", overall)
 
 
+def quality_summary(columns: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """One row: the six dimension scores and their weighted sum."""
+    return with_overall(with_row_level(columns, duplicates).agg(*summary_aggregates()))
+
+
 def quality_legacy(columns: DataFrame) -> DataFrame:
     """One row: the older three-part score over the same column table."""
     parts = columns.agg(

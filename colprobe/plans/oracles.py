@@ -358,9 +358,9 @@ def format_score(source: str, c: str) -> str:
 def consistency_rows(source: str) -> str:
     parts = []
     for c, (kind, _) in TABLES[source].items():
-        counts = case_counts(source, c) if kind == S else ("NULL::BIGINT",) * 3
-        whole = whole_numbers(source, c) if kind == N else "NULL::BIGINT"
-        fraction = f"({values_of(source, c)} - {whole})" if kind == N else "NULL::BIGINT"
+        counts = case_counts(source, c) if kind == S else ("0::BIGINT",) * 3
+        whole = whole_numbers(source, c) if kind == N else "0::BIGINT"
+        fraction = f"({values_of(source, c)} - {whole})" if kind == N else "0::BIGINT"
         parts.append(
             f"SELECT '{c}' AS column_name, round({case_score(source, c)}, 6) AS case_consistency_score, "
             f"round({format_score(source, c)}, 6) AS format_consistency_score, "
@@ -566,10 +566,10 @@ def phrases(text: str) -> str:
 
 NEIGHBOURS = """
     parts AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x,
-                     generate_subscripts(embedding, 1) AS at FROM embeddings),
-    means AS (SELECT label, at, avg(x) AS m FROM parts GROUP BY label, at),
+                     generate_subscripts(embedding, 1) AS pos FROM embeddings),
+    means AS (SELECT label, pos, avg(x) AS m FROM parts GROUP BY label, pos),
     pairs AS (SELECT means.label::BIGINT AS query_id, vec_id AS id, sum((x - m) * (x - m)) AS distance
-              FROM parts JOIN means USING (at) GROUP BY ALL),
+              FROM parts JOIN means USING (pos) GROUP BY ALL),
     nearest AS (SELECT query_id, id, distance,
                        row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
                 FROM pairs),
@@ -859,8 +859,8 @@ ORACLES: dict[str, str] = {
     "chunk_fixed": CHUNKS,
     "knn_topk": f"WITH {NEIGHBOURS} SELECT query_id, rank::INTEGER AS rank, id, round(distance, 6) AS distance FROM results",
     "section_title": f"SELECT doc_id, {section('text')} AS section FROM documents",
-    "key_phrases": "SELECT doc_id, (at - 1)::INTEGER AS position, phrase FROM (SELECT doc_id, unnest(p) AS phrase, "
-    f"generate_subscripts(p, 1) AS at FROM (SELECT doc_id, {phrases('text')} AS p FROM documents))",
+    "key_phrases": "SELECT doc_id, (pos - 1)::INTEGER AS position, phrase FROM (SELECT doc_id, unnest(p) AS phrase, "
+    f"generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, {phrases('text')} AS p FROM documents))",
     "citations": f"WITH {CITED} SELECT query_id, rank, citation_id, source, source_filename, page, content, "
     "round(score, 6) AS score, section FROM cited",
     "context_text": f"WITH {CITED} SELECT query_id, string_agg('Document ' || rank || ' [#' || citation_id || '] (Source: ' || "

@@ -1,7 +1,7 @@
 """Whole-table profiles: what a data owner asks for in one go.
 
-A ``TableProfile`` writes the frequency table once and derives every frequency metric
-and the outlier model from it; the fused scan adds the per-cell counts. Everything else
+A ``TableProfile`` counts value frequencies once and derives every frequency metric and
+the outlier model from them; the fused scan adds the per-cell counts. Everything else
 works on one row per column.
 """
 
@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from colprobe.functions.types import fields_of
 from colprobe.operators import assess, privacy, quality
 from colprobe.operators.constraints import apply_constraints, constraint_summary
-from colprobe.operators.frequencies import frequency_counts, frequency_metrics, metrics_from_counts
+from colprobe.operators.frequencies import (
+    duplicate_rows,
+    frequency_counts,
+    frequency_metrics,
+    metrics_from_counts,
+)
 from colprobe.operators.outliers import outliers
 from colprobe.operators.samples import sample_lists
 from colprobe.operators.scan import scan_columns
 from colprobe.session import stage
-from colprobe.sources.tables import dataset_overview
 
 
 class TableProfile:
@@ -37,47 +41,46 @@ class TableProfile:
         self.fields = fields_of(df)
 
     @cached_property
-    def counts(self) -> DataFrame:
-        """The staged frequency table, read by all frequency metrics and the outlier model."""
-        return stage(frequency_counts(self.df), "frequencies")
+    def columns(self) -> DataFrame:
+        """Every measure of every column, from one scan and one frequency table.
 
-    @cached_property
-    def metrics(self) -> DataFrame:
-        if self.with_accuracy:
-            return metrics_from_counts(self.counts, self.fields)
-        return frequency_metrics(self.df)
-
-    @cached_property
-    def accuracy(self) -> DataFrame | None:
-        """Outlier results, kept as a table: two summaries and the column table read them."""
+        With the outlier model, both the frequency table and this table are written, so
+        that all summaries start from one row per column.
+        """
         if not self.with_accuracy:
-            return None
-        return stage(outliers(self.df, self.counts), "outliers")
+            return self._columns(frequency_metrics(self.df), None)
+        counts = stage(frequency_counts(self.df), "frequencies")
+        metrics = metrics_from_counts(counts, self.fields)
+        return stage(self._columns(metrics, outliers(self.df, counts)), "columns")
+
+    def _columns(self, metrics: DataFrame, accuracy: DataFrame | None) -> DataFrame:
+        counts = quality.per_cell_counts(scan_columns(self.df))
+        joined = metrics.join(F.broadcast(counts), "column_ix")  # one row per column
+        private = privacy.with_privacy(joined, self.strict_strings)
+        # the quality dimension of the same name measures duplicates instead
+        private = private.withColumnRenamed("uniqueness_score", "risk_uniqueness_score")
+        return quality.with_quality(private, self.fields, accuracy, self.strict_strings)
 
     @cached_property
-    def privacy_columns(self) -> DataFrame:
-        scanned = scan_columns(self.df, measures=("patterns",))
-        return privacy.profile_from(self.metrics, scanned, self.strict_strings)
+    def row_level(self) -> DataFrame:
+        duplicates = duplicate_rows(self.df)
+        return stage(duplicates, "duplicates") if self.with_accuracy else duplicates
 
-    def privacy_summary(self) -> DataFrame:
-        return privacy.privacy_summary(self.privacy_columns)
+    def overall(self) -> DataFrame:
+        """One row: the privacy and the quality summary, in one aggregation."""
+        rows = quality.with_row_level(self.columns, self.row_level)
+        return quality.with_overall(
+            rows.agg(*privacy.summary_aggregates(), *quality.summary_aggregates())
+        )
 
-    @cached_property
-    def quality_columns(self) -> DataFrame:
-        return quality.quality_columns(self.df, self.accuracy, self.strict_strings, self.metrics)
+    def privacy_summary(self) -> DataFrame:
+        return privacy.privacy_summary(self.columns)
 
     def quality_summary(self) -> DataFrame:
-        return quality.quality_summary(self.quality_columns, self.df)
+        return quality.quality_summary(self.columns, self.row_level)
 
     def quality_legacy(self) -> DataFrame:
-        return quality.quality_legacy(self.quality_columns)
-
-    def overall(self) -> DataFrame:
-        """One row: the privacy and the quality summary side by side."""
-        private = self.privacy_summary().withColumn("part", F.lit(0))
-        sound = self.quality_summary().withColumn("part", F.lit(0))
-        # one row on each side
-        return private.join(F.broadcast(sound), "part").drop("part")
+        return quality.quality_legacy(self.columns)
 
     def assessment(self, name: str) -> DataFrame:
         scores = self.overall().select(
@@ -94,6 +97,7 @@ class TableProfile:
                 "column_names": F.lit(", ".join(self.df.columns)),
             }
         ).select(
+            "num_rows",
             "num_columns",
             "column_names",
             "overall_privacy_score",
@@ -116,34 +120,33 @@ class TableProfile:
     ) -> DataFrame:
         """One row: the nested report document as (report) JSON text."""
 
-        def nested(rows: DataFrame, alias: str) -> DataFrame:
-            """Column rows as one array; as many entries as the schema has columns."""
-            listed = F.array_sort(F.collect_list(F.struct("column_ix", F.struct(*rows.columns))))
-            return rows.agg(listed.alias(alias)).withColumn("part", F.lit(0))
-
-        def single(rows: DataFrame, alias: str) -> DataFrame:
-            return rows.select(F.struct("*").alias(alias), F.lit(0).alias("part"))
-
         samples = sample_lists(self.df).drop("column_name")
-        private = self.privacy_columns.join(F.broadcast(samples), "column_ix", "left")
-        parts = [
-            single(dataset_overview(self.df), "dataset"),
-            single(self.privacy_summary(), "privacy_analysis"),
-            single(self.quality_summary(), "quality_analysis"),
-            nested(private, "privacy_columns"),
-            nested(self.quality_columns, "quality_columns"),
-        ]
+        columns = self.columns.join(samples, "column_ix", "left")
+        # as many entries as the schema has columns
+        listed = F.array_sort(F.collect_list(F.struct("column_ix", F.struct(*columns.columns))))
+        parts = [self.overall(), columns.agg(F.transform(listed, lambda c: c["col2"]).alias("columns"))]
         if constraints:
             results = apply_constraints(self.df, constraints)
-            parts.append(single(constraint_summary(results), "custom_constraints"))
-        document = parts[0]
+            parts.append(constraint_summary(results).select(F.struct("*").alias("constraints")))
+        document = parts[0].withColumn("part", F.lit(0))
         for part in parts[1:]:
-            document = document.join(F.broadcast(part), "part")  # one row on each side
+            document = document.join(F.broadcast(part.withColumn("part", F.lit(0))), "part")
+        private = [c for c in document.columns if "risk" in c or "privacy" in c or "avg_" in c]
+        sound = [*quality.WEIGHTS, "overall_quality_score", "duplicate_rows"]
+        dataset = F.struct(
+            F.lit(name).alias("name"),
+            "num_rows",
+            F.lit(len(self.fields)).alias("num_columns"),
+            F.array(*[F.lit(f.name) for f in self.fields]).alias("columns"),
+        )
         body = [
             F.lit("Data Privacy and Quality Analysis").alias("report_type"),
             F.lit(timestamp).alias("timestamp"),
-            F.lit(name).alias("dataset_name"),
-            *[F.col(c) for c in document.columns if c != "part"],
+            dataset.alias("dataset"),
+            F.struct(*private).alias("privacy_analysis"),
+            F.struct(*sound).alias("quality_analysis"),
+            F.col("columns"),
+            *([F.col("constraints")] if constraints else []),
         ]
         return document.select(F.to_json(F.struct(*body)).alias("report"))
 

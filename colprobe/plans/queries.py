@@ -402,7 +402,8 @@ def integrity_overall_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = quality.consistency(part_odd(spark, sf_dir))
-    return shown(parts.unionByName(quality.consistency(table(spark, sf_dir, "orders"))))
+    parts = parts.unionByName(quality.consistency(table(spark, sf_dir, "orders")))
+    return shown(parts.na.fill(0))
 
 
 @query
@@ -446,13 +447,13 @@ def quality_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def column_quality_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = TableProfile(table(spark, sf_dir, "orders"))
-    return quality.column_quality_table(profile.quality_columns)
+    return quality.column_quality_table(profile.columns)
 
 
 @query
 def column_quality_table_noacc(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = TableProfile(orders_nulls(spark, sf_dir), with_accuracy=False)
-    return quality.column_quality_table(profile.quality_columns)
+    return quality.column_quality_table(profile.columns)
 
 
 @query
