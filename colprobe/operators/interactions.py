@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,15 +28,12 @@ def append_turns(history: DataFrame, exchanges: DataFrame) -> DataFrame:
     """
     ends = history.groupBy("conv_id").agg((F.max("turn") + 1).alias("next"))
     start = F.coalesce("next", F.lit(0).cast("bigint"))
-    new = exchanges.join(ends, "conv_id", "left").select(
-        "conv_id",
-        F.inline(
-            F.array(
-                F.struct(start.alias("turn"), F.lit("user").alias("role"), F.col("question").alias("text")),
-                F.struct(start + 1, F.lit("assistant"), F.col("answer")),
-            )
-        ),
-    )
+
+    def turn(number: Column, role: str, text: str) -> Column:
+        return F.struct(number.alias("turn"), F.lit(role).alias("role"), F.col(text).alias("text"))
+
+    exchange = F.array(turn(start, "user", "question"), turn(start + 1, "assistant", "answer"))
+    new = exchanges.join(ends, "conv_id", "left").select("conv_id", F.inline(exchange))
     return history.select("conv_id", "turn", "role", "text").unionByName(new)
 
 

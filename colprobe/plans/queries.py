@@ -20,7 +20,7 @@ from colprobe.operators import privacy, quality, samples, scan
 from colprobe.operators.outliers import outliers
 from colprobe.plans import corpus as corpus_plans
 from colprobe.plans.profile import TableProfile
-from colprobe.session import new_path
+from colprobe.session import new_path, spread, stage
 from colprobe.sources import corpus as corpus_source
 from colprobe.sources import tables
 from colprobe.streaming import increments
@@ -591,7 +591,7 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def embed_hash_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     vectors = emb.embed(documents, emb.fit_hashed_tfidf(documents))
     return vectors.select("doc_id", "embedding")
 
@@ -610,7 +610,8 @@ def table_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def label_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest vectors of every label's mean vector."""
     stored = vectors(spark, sf_dir)
-    return neighbours.top_k(neighbours.centroids(stored, "label"), stored)
+    means = stage(neighbours.centroids(stored, "label"), "means")
+    return neighbours.top_k(means, stored)
 
 
 @query
@@ -661,7 +662,8 @@ def reference_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    documents = table(spark, sf_dir, "documents")
+    return spread(documents.select(F.col("doc_id").alias("text_id"), "text"))
 
 
 @query

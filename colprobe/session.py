@@ -36,3 +36,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a file scan out to all cores when it has few input splits.
+
+    Meant for inputs of costly per-row work. Large inputs have more splits than the
+    cluster has cores and stay where they are. Asking for the splits of anything but a
+    scan would run its shuffles.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -24,7 +24,9 @@ def _write_increments(
     stream: DataFrame, reduce_batch: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
 ) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # one pass per type family would fetch it from the source again
         reduce_batch(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)
