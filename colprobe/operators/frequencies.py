@@ -132,7 +132,13 @@ def frequency_metrics(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return metrics_from_counts(frequency_counts(df, columns), fields)
 
 
-def metrics_from_counts(counts: DataFrame, fields: list[Field]) -> DataFrame:
+def metrics_from_counts(
+    counts: DataFrame, fields: list[Field], drawn: Column | None = None
+) -> DataFrame:
+    """Frequency metrics; with ``drawn``, its non-NULL values are gathered per column.
+
+    Whatever is drawn has to be a sample of bounded size.
+    """
     ix, freq = F.col("column_ix"), F.col("freq")
     missing_is_value = per_field(ix, fields, lambda f: f.type_class in ("numeric", "datetime"))
     seen = freq > 0
@@ -147,6 +153,7 @@ def metrics_from_counts(counts: DataFrame, fields: list[Field]) -> DataFrame:
         F.count_if(counted).alias("groups"),
         F.sum(F.when(counted, freq)).alias("counted_rows"),
         F.sum(F.when(counted, freq * F.log2(freq))).alias("weighted_log"),
+        *([] if drawn is None else [F.collect_list(drawn).alias("sample")]),
     )
     rows = F.col("total_count")
     all_missing = rows == F.col("missing_count")
@@ -165,6 +172,7 @@ def metrics_from_counts(counts: DataFrame, fields: list[Field]) -> DataFrame:
         F.when(all_missing | one_value, F.lit(0.0))
         .otherwise(F.greatest(entropy, F.lit(0.0)))
         .alias("shannon_entropy"),
+        *([] if drawn is None else ["sample"]),
     )
 
 

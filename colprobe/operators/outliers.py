@@ -2,9 +2,10 @@
 
 In one dimension the forest's mean path length is a step function of the value. Each
 column's forest is grown in one task from a sample of bounded size and kept as sorted
-breakpoints with a score per step; scoring then runs over the column's distinct values
-and their frequencies. The sample thins every frequency binomially, driven by a hash of
-the value, so neither row order nor partitioning influence the result.
+breakpoints with a score per step. The sample thins every value's frequency binomially,
+driven by a hash of the value, so neither row order nor partitioning influence it.
+Scoring counts the rows per step; columns with many repeats are reduced to their
+frequencies first, the others are scored where they lie, without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,13 +16,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colprobe.functions.types import Field, fields_of, per_field
-from colprobe.operators.frequencies import frequency_counts
-from colprobe.session import stage
+from colprobe.operators.frequencies import frequency_counts, unfold
 
 # Forest settings.
 CONTAMINATION = 0.1
@@ -34,6 +34,8 @@ SAMPLE_SIZE = 28_000
 # Columns whose step functions are shipped to the executors together (about 0.4 MB each).
 COLUMNS_AT_ONCE = 64
 MEDIAN_BUCKETS = 256
+# Rows per distinct value from which on counting values first pays for its shuffle.
+REPEATS = 20
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,23 @@ class ColumnStats:
         """Infinite values, like columns without any value, leave nothing to model."""
         return self.low is not None and math.isfinite(self.low) and math.isfinite(self.high)
 
+@dataclass(frozen=True)
+class Forest:
+    """A column's step function: step ``i`` ends at breakpoint ``i``, inclusive."""
+
+    breaks: np.ndarray
+    scores: np.ndarray
+    repeats: float  # estimated rows per distinct value
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """What has to be known about the numeric columns before sampling them."""
+
+    fields: list[Field]
+    stats: dict[int, ColumnStats]
+    medians: dict[int, float]
+
 
 # --- growing a forest ------------------------------------------------------------
 
@@ -127,7 +146,7 @@ def _copies(freq: np.ndarray, u: np.ndarray, p: float, seeds: np.ndarray) -> np.
 
 
 def _forest_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One column's sample to one row holding its step function."""
+    """One column's sample to its step function and its rows per distinct value."""
     pdf = pdf.sort_values(["number", "seed"])
     rows, p = int(pdf["rows"].iloc[0]), float(pdf["p"].iloc[0])
     copies = _copies(
@@ -136,30 +155,38 @@ def _forest_of(pdf: pd.DataFrame) -> pd.DataFrame:
     points = np.repeat(pdf["number"].to_numpy(dtype=float), copies)
     ix = int(pdf["column_ix"].iloc[0])
     breaks, scores = grow_forest(points, rows, [SEED, ix])
-    return pd.DataFrame({"column_ix": [ix], "breaks": [breaks], "scores": [scores]})
+    # summed over all rows, 1 / freq gives the number of distinct values
+    repeats = 1.0 / np.average(1.0 / pdf["freq"].to_numpy(dtype=float), weights=copies)
+    found = {"column_ix": [ix], "breaks": [breaks], "scores": [scores], "repeats": [repeats]}
+    return pd.DataFrame(found)
 
 
 # --- statistics ------------------------------------------------------------------
 
 
-def _stats(freqs: DataFrame) -> dict[int, ColumnStats]:
-    rows = (
-        freqs.groupBy("column_ix")
-        .agg(
-            F.sum("freq").alias("rows"),
-            F.coalesce(F.sum(F.when(F.col("number").isNull(), F.col("freq"))), F.lit(0)).alias("gone"),
-            F.min("number").alias("low"),
-            F.max("number").alias("high"),
-        )
-        .collect()  # one row per column
-    )
-    return {r["column_ix"]: ColumnStats(r["rows"], r["gone"], r["low"], r["high"]) for r in rows}
+def column_stats(df: DataFrame, numeric: list[Field]) -> dict[int, ColumnStats]:
+    """Row counts and value ranges; no shuffle of rows."""
+    found = {}
+    for start in range(0, len(numeric), COLUMNS_AT_ONCE):
+        part = numeric[start : start + COLUMNS_AT_ONCE]
+        aggregates = [F.count(F.lit(1)).alias("rows")]
+        for f in part:
+            aggregates += [
+                F.count(f.number()).alias(f"n{f.ix}"),
+                F.min(f.number()).alias(f"low{f.ix}"),
+                F.max(f.number()).alias(f"high{f.ix}"),
+            ]
+        row = df.agg(*aggregates).first()
+        for f in part:
+            missing = row["rows"] - row[f"n{f.ix}"]
+            found[f.ix] = ColumnStats(row["rows"], missing, row[f"low{f.ix}"], row[f"high{f.ix}"])
+    return found
 
 
 def exact_medians(freqs: DataFrame, stats: dict[int, ColumnStats]) -> dict[int, float]:
     """Exact medians of columns by repeatedly cutting the value range that holds them.
 
-    Each round counts a few hundred buckets per column in one aggregation and keeps the
+    ``freqs`` has (column_ix, number, freq), plain rows count once. Each round counts a few hundred buckets per column in one aggregation and keeps the
     bucket with the wanted rank, until that bucket holds a single value. No group is
     ever gathered or sorted as a whole.
     """
@@ -201,39 +228,75 @@ def exact_medians(freqs: DataFrame, stats: dict[int, ColumnStats]) -> dict[int,
 # --- the operator -----------------------------------------------------------------
 
 
-def fit_forests(
-    freqs: DataFrame, stats: dict[int, ColumnStats]
-) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Step functions of the given columns, grown in parallel, one task per column."""
-    wanted = list(stats)
-    width = max(wanted) + 1
-    rows_of = F.array(*[F.lit(stats[i].rows if i in stats else None) for i in range(width)])
-    rate = F.least(F.lit(1.0), SAMPLE_SIZE / F.col("rows"))
-    seed = F.xxhash64("column_ix", "number", F.lit(SEED))
-    sample = (
-        freqs.where(F.col("column_ix").isin(wanted))
-        .withColumn("rows", F.get(rows_of, F.col("column_ix")))
-        .withColumn("p", rate)
-        .withColumn("seed", seed)
-        .withColumn("u", F.shiftrightunsigned("seed", 11) * F.lit(2.0**-53))
-        # at least one copy survives with probability 1 - (1 - p)^freq
-        .where(
-            (F.col("p") >= 1.0)
-            | (F.col("u") < -F.expm1(F.col("freq") * F.log1p(-F.least("p", F.lit(0.999999)))))
+def prepare(df: DataFrame) -> Prepared:
+    """Statistics of all usable numeric columns, and the medians of those with gaps."""
+    numeric = [f for f in fields_of(df) if f.is_numeric]
+    stats = {ix: s for ix, s in column_stats(df, numeric).items() if s.usable}
+    fields = [f for f in numeric if f.ix in stats]
+    gaps = {ix: s for ix, s in stats.items() if s.missing}
+    if not gaps:
+        return Prepared(fields, stats, {})
+    cells = _cells(df, [f for f in fields if f.ix in gaps])
+    return Prepared(fields, stats, exact_medians(cells, gaps))
+
+
+def _cells(df: DataFrame, fields: list[Field]) -> DataFrame:
+    """(column_ix, number, freq) with one row per cell."""
+    cells = unfold(df, "double", fields, Field.number)
+    return cells.select("column_ix", F.col("value").alias("number"), F.lit(1).alias("freq"))
+
+
+def _filled(prepared: Prepared) -> Column:
+    """The number, or the median of its column where it is missing."""
+    if not prepared.medians:
+        return F.col("number")
+    fill = per_field(F.col("column_ix"), prepared.fields, lambda f: prepared.medians.get(f.ix))
+    return F.coalesce(F.col("number"), fill.cast("double"))
+
+
+def survivor(prepared: Prepared) -> Column:
+    """The value as (number, freq, u, seed) if any of its rows gets into the sample, or NULL.
+
+    To be applied to a frequency table. At least one of ``freq`` rows survives with
+    probability ``1 - (1 - p) ^ freq``; how many do is settled when the forest is grown.
+    """
+    ix, freq, number = F.col("column_ix"), F.col("freq"), _filled(prepared)
+    rates = {i: min(1.0, SAMPLE_SIZE / s.rows) for i, s in prepared.stats.items() if s.rows}
+    p = per_field(ix, prepared.fields, lambda f: rates.get(f.ix)).cast("double")
+    seed = F.xxhash64(ix, number, F.lit(SEED))
+    u = F.shiftrightunsigned(seed, 11) * F.lit(2.0**-53)
+    alive = (p >= 1.0) | (u < -F.expm1(freq * F.log1p(-F.least(p, F.lit(0.999999)))))
+    value = F.struct(number.alias("number"), freq.alias("freq"), u.alias("u"), seed.alias("seed"))
+    return F.when((freq > 0) & p.isNotNull() & alive, value)
+
+
+def fit_forests(sample: DataFrame, prepared: Prepared) -> dict[int, Forest]:
+    """Forests from the survivors (column_ix, drawn), one task per column.
+
+    A column's sample and its steps (at most TREES * TREE_SAMPLE) are bounded.
+    """
+    rows = per_field(F.col("column_ix"), prepared.fields, lambda f: prepared.stats[f.ix].rows)
+    forests = (
+        sample.select("column_ix", "drawn.*", rows.alias("rows"))
+        .withColumn("p", F.least(F.lit(1.0), SAMPLE_SIZE / F.col("rows")))
+        .groupBy("column_ix")
+        .applyInPandas(
+            _forest_of,
+            "column_ix int, breaks array<double>, scores array<double>, repeats double",
         )
     )
-    forests = sample.groupBy("column_ix").applyInPandas(
-        _forest_of, "column_ix int, breaks array<double>, scores array<double>"
-    )
     return {
-        r["column_ix"]: (np.asarray(r["breaks"], dtype=float), np.asarray(r["scores"], dtype=float))
-        for r in forests.collect()  # at most TREES * TREE_SAMPLE steps per column
+        r["column_ix"]: Forest(
+            np.asarray(r["breaks"], dtype=float), np.asarray(r["scores"], dtype=float), r["repeats"]
+        )
+        for r in forests.collect()
     }
 
 
-def _scored(freqs: DataFrame, forests: dict) -> DataFrame:
+def _scored(freqs: DataFrame, forests: dict[int, Forest]) -> DataFrame:
     """(column_ix, score, freq): rows per anomaly score, a bounded number per column."""
-    shipped = freqs.sparkSession.sparkContext.broadcast(forests)
+    steps = {ix: (f.breaks, f.scores) for ix, f in forests.items()}
+    shipped = freqs.sparkSession.sparkContext.broadcast(steps)
 
     @F.pandas_udf("double")
     def score(ix: pd.Series, number: pd.Series) -> pd.Series:
@@ -246,8 +309,7 @@ def _scored(freqs: DataFrame, forests: dict) -> DataFrame:
         return pd.Series(out)
 
     return (
-        freqs.where(F.col("column_ix").isin(list(forests)))
-        .select("column_ix", score("column_ix", "number").alias("score"), "freq")
+        freqs.select("column_ix", score("column_ix", "number").alias("score"), "freq")
         .groupBy("column_ix", "score")
         .agg(F.sum("freq").alias("freq"))
     )
@@ -277,31 +339,34 @@ def _outlier_counts(scored: DataFrame) -> DataFrame:
     )
 
 
-def outliers(df: DataFrame, freqs: DataFrame | None = None) -> DataFrame:
+def outliers(
+    df: DataFrame, prepared: Prepared | None = None, sample: DataFrame | None = None
+) -> DataFrame:
     """(column_ix, column_name, outlier_count, outlier_percentage, accuracy_score).
 
-    ``freqs`` may hand in a staged ``frequency_counts`` table. Columns that are not
-    numeric, empty or hold infinite values have no outliers.
+    ``sample`` may hand in the survivors (column_ix, drawn) of a frequency table counted
+    for other reasons as well. Columns that are not numeric, empty or hold infinite
+    values have no outliers.
     """
     fields = fields_of(df)
-    numeric = [f for f in fields if f.is_numeric]
+    prepared = prepared or prepare(df)
     counts = [_no_outliers(df, fields)]
-    if numeric:
-        if freqs is None:
-            freqs = stage(frequency_counts(df, [f.name for f in numeric]), "frequencies")
-        positions = [f.ix for f in numeric]
-        freqs = freqs.where(F.col("column_ix").isin(positions) & (F.col("freq") > 0))
-        freqs = freqs.select("column_ix", "number", "freq")
-        usable = {ix: s for ix, s in _stats(freqs).items() if s.usable}
-        gaps = {ix: s for ix, s in usable.items() if s.missing}
-        medians = exact_medians(freqs, gaps) if gaps else {}
-        if medians:
-            filled = per_field(F.col("column_ix"), numeric, lambda f: medians.get(f.ix))
-            freqs = freqs.withColumn("number", F.coalesce("number", filled.cast("double")))
-        wanted = sorted(usable)
-        for start in range(0, len(wanted), COLUMNS_AT_ONCE):
-            part = {ix: usable[ix] for ix in wanted[start : start + COLUMNS_AT_ONCE]}
-            counts.append(_outlier_counts(_scored(freqs, fit_forests(freqs, part))))
+    for start in range(0, len(prepared.fields), COLUMNS_AT_ONCE):
+        part = prepared.fields[start : start + COLUMNS_AT_ONCE]
+        if sample is None:
+            table = frequency_counts(df, [f.name for f in part])
+            drawn = table.select("column_ix", survivor(prepared).alias("drawn"))
+            drawn = drawn.where(F.col("drawn").isNotNull())
+        else:
+            drawn = sample.where(F.col("column_ix").isin([f.ix for f in part]))
+        forests = fit_forests(drawn, prepared)
+        many = [f for f in part if forests[f.ix].repeats > REPEATS]
+        few = [f for f in part if forests[f.ix].repeats <= REPEATS]
+        for members in filter(None, (many, few)):
+            cells = _cells(df, members).withColumn("number", _filled(prepared))
+            if members is many:
+                cells = cells.groupBy("column_ix", "number").agg(F.sum("freq").alias("freq"))
+            counts.append(_outlier_counts(_scored(cells, forests)))
     found = reduce(DataFrame.unionByName, counts).groupBy("column_ix")
     totals = found.agg(F.max("outlier_count").alias("outlier_count"), F.max("rows").alias("rows"))
     portion = F.when(F.col("rows") > 0, F.col("outlier_count") / F.col("rows")).otherwise(0.0)

@@ -21,7 +21,7 @@ from colprobe.operators.frequencies import (
     frequency_metrics,
     metrics_from_counts,
 )
-from colprobe.operators.outliers import outliers
+from colprobe.operators.outliers import outliers, prepare, survivor
 from colprobe.operators.samples import sample_lists
 from colprobe.operators.scan import scan_columns
 from colprobe.session import stage
@@ -44,14 +44,18 @@ class TableProfile:
     def columns(self) -> DataFrame:
         """Every measure of every column, from one scan and one frequency table.
 
-        With the outlier model, both the frequency table and this table are written, so
-        that all summaries start from one row per column.
+        With the outlier model, one shuffle of the value frequencies yields the metrics
+        and the samples the forests grow from; only these and the finished table, one row
+        per column, are written.
         """
         if not self.with_accuracy:
             return self._columns(frequency_metrics(self.df), None)
-        counts = stage(frequency_counts(self.df), "frequencies")
-        metrics = metrics_from_counts(counts, self.fields)
-        return stage(self._columns(metrics, outliers(self.df, counts)), "columns")
+        prepared = prepare(self.df)
+        counts = frequency_counts(self.df)
+        metrics = stage(metrics_from_counts(counts, self.fields, survivor(prepared)), "metrics")
+        sample = metrics.select("column_ix", F.explode("sample").alias("drawn"))
+        accuracy = outliers(self.df, prepared, sample)
+        return stage(self._columns(metrics.drop("sample"), accuracy), "columns")
 
     def _columns(self, metrics: DataFrame, accuracy: DataFrame | None) -> DataFrame:
         counts = quality.per_cell_counts(scan_columns(self.df))

@@ -748,8 +748,8 @@ def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return reader.parquet(sf_dir)
+    # as a glob the path may be a single file as well as a folder of files
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
 @query

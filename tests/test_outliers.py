@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from colprobe.functions.types import fields_of
 from colprobe.operators import outliers as mod
 from colprobe.operators.frequencies import frequency_counts
 
@@ -26,6 +27,16 @@ def test_properties(spark):
     assert found == counts(df.repartition(5).orderBy("text"))
 
 
+def test_both_ways_of_scoring_agree(spark, monkeypatch):
+    df = spark.range(3000).selectExpr(
+        "pmod(xxhash64(id), 50) AS few", "CASE WHEN id % 9 > 0 THEN sqrt(id) END AS many"
+    )
+    found = counts(df)
+    for repeats in (0, 10**9):
+        monkeypatch.setattr(mod, "REPEATS", repeats)
+        assert counts(df) == found
+
+
 def test_planted_extreme_is_isolated():
     rng = np.random.default_rng(1)
     points = np.sort(np.append(rng.normal(size=500), 1000.0))
@@ -89,7 +100,7 @@ def test_exact_medians(spark, monkeypatch):
         "CASE WHEN id = 7 THEN 2.5D END AS c",
     )
     freqs = frequency_counts(df).where("freq > 0")
-    stats = mod._stats(freqs)
+    stats = mod.column_stats(df, fields_of(df))
     found = mod.exact_medians(freqs, stats)
     expected = df.agg(*[F.median(c) for c in "abc"]).first()
     assert [found[i] for i in range(3)] == pytest.approx(list(expected))
