@@ -593,6 +593,46 @@ ATTRIBUTION = f"""
     FROM hits WHERE titled OR len(found) > 0"""
 
 
+# Markers go in one citation after the other, each looking at the text so far.
+MARKUP = f"""
+    WITH RECURSIVE
+    sources AS (SELECT item_id, {section('text')} AS section, {phrases('text')} AS phrases
+                FROM benchmark),
+    cited AS (SELECT hits.*, section, phrases,
+                     row_number() OVER (PARTITION BY text_id ORDER BY item_id) AS k
+              FROM (SELECT text_id, item_id FROM ({ATTRIBUTION})) AS hits
+              JOIN sources USING (item_id)),
+    fold AS (
+        SELECT doc_id AS text_id, 0::BIGINT AS k, text AS marked FROM documents
+        WHERE doc_id IN (SELECT text_id FROM cited)
+        UNION ALL
+        SELECT text_id, k, CASE WHEN words IS NULL THEN marked
+                                ELSE replace(marked, words, words || ' [' || (item_id + 1) || ']') END
+        FROM (SELECT c.text_id, c.k, c.item_id, f.marked,
+                     CASE WHEN section <> 'Unknown section' AND contains(f.marked, section)
+                          THEN section
+                          ELSE list_filter(phrases, lambda p: length(p) > 15
+                                                              AND contains(f.marked, p))[1]
+                     END AS words
+              FROM fold f JOIN cited c ON c.text_id = f.text_id AND c.k = f.k + 1))
+    SELECT text_id, k::INTEGER AS citation_count, marked AS marked_text FROM fold
+    WHERE (text_id, k) IN (SELECT text_id, max(k) FROM cited GROUP BY text_id)"""
+
+
+def report(source: str) -> str:
+    """The report row of a table, every column taken to be accurate."""
+    levels = assessed(source)
+    return f"""
+        SELECT {rows_of(source)} AS num_rows, {len(TABLES[source])} AS num_columns,
+               {quoted(', '.join(TABLES[source]))} AS column_names,
+               a.overall_privacy_score, a.overall_quality_score,
+               high_risk_count, medium_risk_count, low_risk_count,
+               round(completeness, 6) AS completeness_score, round(accuracy, 6) AS accuracy_score,
+               round(consistency, 6) AS consistency_score, round(uniqueness, 6) AS uniqueness_score,
+               round(validity, 6) AS validity_score, privacy_level, quality_level, recommendation
+        FROM ({levels}) a, ({summary(source)}), ({quality_scores(source)})"""
+
+
 def frequencies(source: str) -> str:
     return union(
         [
@@ -787,6 +827,15 @@ ORACLES: dict[str, str] = {
     "consistency_overall": f"SELECT round(consistency, 6) AS overall_score FROM ({quality_scores('orders')})",
     "consistency_legacy": with_source("part_odd", legacy_rows("part_odd")),
     "quality_summary_noacc": f"SELECT {', '.join(map(rounded, SCORES))} FROM ({quality_scores('orders')})",
+    "quality_legacy_noacc": with_source(
+        "orders_nulls",
+        "SELECT round(missing_score, 6) AS missing_score, 1.0::DOUBLE AS outlier_score, "
+        "round(consistency_score, 6) AS consistency_score, round(0.5::DOUBLE * missing_score "
+        "+ 0.3::DOUBLE + 0.2::DOUBLE * consistency_score, 6) AS overall_quality_score "
+        "FROM (SELECT 1.0::DOUBLE - avg(missing) AS missing_score, "
+        "(sum(case_score) + sum(format_score)) / (2 * count(*)) AS consistency_score "
+        f"FROM ({quality_rows('orders_nulls')}))",
+    ),
     "column_quality_table_noacc": quality_table("orders_nulls"),
     "dimension_scores": union(
         [
@@ -855,6 +904,7 @@ ORACLES: dict[str, str] = {
     f"FROM ({LINEITEM_RESULTS})",
     # assessment
     "assessment": union([assessed(t) for t in ("customer", "orders", "part", "supplier")]),
+    "report_row_noacc": report("customer"),
     # corpus and retrieval
     "chunk_fixed": CHUNKS,
     "knn_topk": f"WITH {NEIGHBOURS} SELECT query_id, rank::INTEGER AS rank, id, round(distance, 6) AS distance FROM results",
@@ -870,6 +920,7 @@ ORACLES: dict[str, str] = {
     "source_filename || CASE WHEN section <> 'Unknown section' THEN ': ' || section ELSE '' END, chr(10) ORDER BY rank) "
     "AS reference_section FROM cited GROUP BY query_id",
     "citation_attribution": ATTRIBUTION,
+    "citation_markup": MARKUP,
     "citation_renumber": "SELECT conv_id, turn, text || ' [1] and [2] and [1]' AS text FROM conversations WHERE role = 'assistant'",
     "citation_resolve": f"""
         WITH users AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn, text

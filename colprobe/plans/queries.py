@@ -444,6 +444,12 @@ def quality_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(TableProfile(orders_nulls(spark, sf_dir)).quality_legacy())
 
 
+@query
+def quality_legacy_noacc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = TableProfile(orders_nulls(spark, sf_dir), with_accuracy=False)
+    return shown(profile.quality_legacy())
+
+
 @query
 def column_quality_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = TableProfile(table(spark, sf_dir, "orders"))
@@ -568,6 +574,12 @@ def report_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(TableProfile(table(spark, sf_dir, "customer")).report_row())
 
 
+@query
+def report_row_noacc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = TableProfile(table(spark, sf_dir, "customer"), with_accuracy=False)
+    return shown(profile.report_row())
+
+
 # --- corpus and retrieval -----------------------------------------------------------------
 
 
