@@ -36,14 +36,12 @@ def matches(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(pattern), F.lit(False))
 
 
-def holds_personal_data(text: Column, name: str) -> Column:
-    """``matches`` for a named pattern, behind its cheap guards."""
-    tests = [text.rlike(_REQUIRED_BY_ALL)]
+def holds_personal_data(text: str, name: str) -> str:
+    """SQL test for a match of a named pattern, behind its cheap guards."""
+    tests = [f"rlike({text}, r'{_REQUIRED_BY_ALL}')"]
     if name in _REQUIRED_TEXT:
-        tests.append(text.contains(_REQUIRED_TEXT[name]))
+        tests.append(f"contains({text}, '{_REQUIRED_TEXT[name]}')")
     if name in _REQUIRED_RUN:
-        tests.append(text.rlike(_REQUIRED_RUN[name]))
-    found = text.rlike(PATTERNS[name])
-    for test in reversed(tests):
-        found = test & found
-    return F.coalesce(found, F.lit(False))
+        tests.append(f"rlike({text}, r'{_REQUIRED_RUN[name]}')")
+    tests.append(f"rlike({text}, r'{PATTERNS[name]}')")
+    return " AND ".join(tests)

@@ -2,6 +2,9 @@
 
 Missing is NULL or NaN. Negative zero counts as zero. Nested values are compared
 through their JSON text and belong to the class "other".
+
+Expressions repeated for every column are written as SQL text: for wide tables that
+keeps building a plan cheap.
 """
 
 from __future__ import annotations
@@ -19,9 +22,17 @@ TEXT = (T.StringType, T.CharType, T.VarcharType)
 NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
-def ref(name: str) -> Column:
+def sql_name(name: str) -> str:
     """Column by its exact name, dots and backticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def ref(name: str) -> Column:
+    return F.col(sql_name(name))
 
 
 @dataclass(frozen=True)
@@ -61,20 +72,33 @@ class Field:
             return "datetime"
         return "string" if self.is_string else "other"
 
-    def clean(self) -> Column:
-        """The cell value with every kind of missing mapped to NULL."""
-        column = ref(self.name)
+    @property
+    def cell(self) -> str:
+        """SQL for the cell value with every kind of missing mapped to NULL."""
+        name = sql_name(self.name)
         if isinstance(self.dtype, FRACTIONAL):
             # adding zero turns -0.0 into 0.0
-            return F.when(~F.isnan(column), column + F.lit(0.0).cast(self.dtype))
+            zero = f"CAST(0 AS {self.dtype.simpleString()})"
+            return f"CASE WHEN NOT isnan({name}) THEN {name} + {zero} END"
         if isinstance(self.dtype, NESTED):
-            return F.when(column.isNotNull(), F.to_json(F.struct(column.alias("v"))))
-        return column
+            return f"CASE WHEN {name} IS NOT NULL THEN to_json(named_struct('v', {name})) END"
+        return name
+
+    @property
+    def number_cell(self) -> str:
+        """SQL for the cell as a DOUBLE (numeric columns only)."""
+        inner = f"CAST({sql_name(self.name)} AS INT)" if self.is_boolean else self.cell
+        return f"CAST({inner} AS DOUBLE)"
+
+    @property
+    def cell_is_text(self) -> bool:
+        return self.is_string or isinstance(self.dtype, NESTED)
+
+    def clean(self) -> Column:
+        return F.expr(self.cell)
 
     def number(self) -> Column:
-        """The cell as a DOUBLE (numeric columns only)."""
-        column = ref(self.name).cast("int") if self.is_boolean else self.clean()
-        return column.cast("double")
+        return F.expr(self.number_cell)
 
 
 def fields_of(df: DataFrame, columns: list[str] | None = None) -> list[Field]:
@@ -87,8 +111,16 @@ def fields_of(df: DataFrame, columns: list[str] | None = None) -> list[Field]:
     ]
 
 
-def per_field(ix: Column, fields: list[Field], value) -> Column:
-    """Look up a per-column constant by column position, inside the plan."""
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return sql_text(value)
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+def per_field(fields: list[Field], value) -> Column:
+    """A per-column constant, looked up by the ``column_ix`` of the row."""
     table = {f.ix: value(f) for f in fields}
     width = max(table, default=-1) + 1
-    return F.get(F.array(*[F.lit(table.get(i)) for i in range(width)]), ix)
+    return F.expr(f"get(array({', '.join(_literal(table.get(i)) for i in range(width))}), column_ix)")

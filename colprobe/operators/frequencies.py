@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colprobe.functions.types import INTEGRAL, Field, fields_of, per_field, ref
+from colprobe.functions.types import INTEGRAL, Field, fields_of, per_field, sql_name
 
 # Text up to this many characters is its own grouping key. A digest with its prefix
 # is longer, so a digest can never equal a plain key.
@@ -23,10 +23,10 @@ LONGEST_PLAIN_KEY = 64
 DIGEST_PREFIX = "sha256:"
 
 
-def text_key(text: Column) -> Column:
-    """A bounded-width stand-in for a string that preserves equality."""
-    digest = F.concat(F.lit(DIGEST_PREFIX), F.sha2(text, 256))
-    return F.when(F.length(text) > LONGEST_PLAIN_KEY, digest).otherwise(text)
+def text_key(text: str) -> str:
+    """SQL for a bounded-width stand-in of a string that preserves equality."""
+    digest = f"concat('{DIGEST_PREFIX}', sha2({text}, 256))"
+    return f"CASE WHEN length({text}) > {LONGEST_PLAIN_KEY} THEN {digest} ELSE {text} END"
 
 
 def _families(fields: list[Field]) -> list[tuple[str, list[Field]]]:
@@ -45,10 +45,8 @@ def _families(fields: list[Field]) -> list[tuple[str, list[Field]]]:
 
 def unfold(df: DataFrame, counted_as: str, members: list[Field], cell) -> DataFrame:
     """(column_ix, value) rows for columns of one family; one scan of just these columns."""
-    pairs = []
-    for field in members:
-        pairs += [F.lit(field.ix), cell(field).cast(counted_as)]
-    return df.select(F.stack(F.lit(len(members)), *pairs).alias("column_ix", "value"))
+    pairs = ", ".join(f"{f.ix}, CAST({cell(f)} AS {counted_as})" for f in members)
+    return df.selectExpr(f"stack({len(members)}, {pairs}) AS (column_ix, value)")
 
 
 def _counted(df: DataFrame, fields: list[Field], digest_text: bool):
@@ -56,10 +54,10 @@ def _counted(df: DataFrame, fields: list[Field], digest_text: bool):
     for counted_as, members in _families(fields):
         by_digest = digest_text and counted_as == "string"
 
-        def cell(field: Field) -> Column:
-            if field.type_class == "other" and field.dtype.simpleString() == "binary":
-                return F.hex(ref(field.name))
-            return text_key(field.clean()) if by_digest else field.clean()
+        def cell(field: Field) -> str:
+            if field.dtype.simpleString() == "binary":
+                return f"hex({sql_name(field.name)})"
+            return text_key(field.cell) if by_digest else field.cell
 
         counts = (
             unfold(df, counted_as, members, cell)
@@ -78,7 +76,7 @@ def value_frequencies(
         counts.select("column_ix", F.col("value").cast("string").alias("value"), "freq")
         for _, counts in _counted(df, fields, digest_text)
     ]
-    name = per_field(F.col("column_ix"), fields, lambda f: f.name)
+    name = per_field(fields, lambda f: f.name)
     return reduce(DataFrame.unionByName, parts).select(
         "column_ix", name.alias("column_name"), "value", "freq"
     )
@@ -139,8 +137,8 @@ def metrics_from_counts(
 
     Whatever is drawn has to be a sample of bounded size.
     """
-    ix, freq = F.col("column_ix"), F.col("freq")
-    missing_is_value = per_field(ix, fields, lambda f: f.type_class in ("numeric", "datetime"))
+    freq = F.col("freq")
+    missing_is_value = per_field(fields, lambda f: f.type_class in ("numeric", "datetime"))
     seen = freq > 0
     present = seen & ~F.col("missing")
     counted = seen & (~F.col("missing") | missing_is_value)
@@ -162,7 +160,7 @@ def metrics_from_counts(
     one_value = (F.col("groups") == 1) & (F.col("counted_rows") == rows)
     return totals.select(
         "column_ix",
-        per_field(ix, fields, lambda f: f.name).alias("column_name"),
+        per_field(fields, lambda f: f.name).alias("column_name"),
         "total_count",
         "missing_count",
         (rows - F.col("missing_count")).alias("value_count"),
@@ -178,11 +176,11 @@ def metrics_from_counts(
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: (row_count, duplicate_rows), counting every repeat after the first."""
-    keys = []
-    for field in fields_of(df):
-        cell = field.clean()
-        keys.append((text_key(cell) if field.is_string else cell).alias(f"k{field.ix}"))
-    copies = df.select(*keys).groupBy(*[f"k{f.ix}" for f in fields_of(df)]).count()
+    keys = [
+        f"{text_key(f.cell) if f.cell_is_text else f.cell} AS k{f.ix}"
+        for f in fields_of(df)
+    ]
+    copies = df.selectExpr(*keys).groupBy(*[f"k{f.ix}" for f in fields_of(df)]).count()
     return copies.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"),

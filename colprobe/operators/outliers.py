@@ -242,7 +242,7 @@ def prepare(df: DataFrame) -> Prepared:
 
 def _cells(df: DataFrame, fields: list[Field]) -> DataFrame:
     """(column_ix, number, freq) with one row per cell."""
-    cells = unfold(df, "double", fields, Field.number)
+    cells = unfold(df, "double", fields, lambda f: f.number_cell)
     return cells.select("column_ix", F.col("value").alias("number"), F.lit(1).alias("freq"))
 
 
@@ -250,7 +250,7 @@ def _filled(prepared: Prepared) -> Column:
     """The number, or the median of its column where it is missing."""
     if not prepared.medians:
         return F.col("number")
-    fill = per_field(F.col("column_ix"), prepared.fields, lambda f: prepared.medians.get(f.ix))
+    fill = per_field(prepared.fields, lambda f: prepared.medians.get(f.ix))
     return F.coalesce(F.col("number"), fill.cast("double"))
 
 
@@ -262,7 +262,7 @@ def survivor(prepared: Prepared) -> Column:
     """
     ix, freq, number = F.col("column_ix"), F.col("freq"), _filled(prepared)
     rates = {i: min(1.0, SAMPLE_SIZE / s.rows) for i, s in prepared.stats.items() if s.rows}
-    p = per_field(ix, prepared.fields, lambda f: rates.get(f.ix)).cast("double")
+    p = per_field(prepared.fields, lambda f: rates.get(f.ix)).cast("double")
     seed = F.xxhash64(ix, number, F.lit(SEED))
     u = F.shiftrightunsigned(seed, 11) * F.lit(2.0**-53)
     alive = (p >= 1.0) | (u < -F.expm1(freq * F.log1p(-F.least(p, F.lit(0.999999)))))
@@ -275,7 +275,7 @@ def fit_forests(sample: DataFrame, prepared: Prepared) -> dict[int, Forest]:
 
     A column's sample and its steps (at most TREES * TREE_SAMPLE) are bounded.
     """
-    rows = per_field(F.col("column_ix"), prepared.fields, lambda f: prepared.stats[f.ix].rows)
+    rows = per_field(prepared.fields, lambda f: prepared.stats[f.ix].rows)
     forests = (
         sample.select("column_ix", "drawn.*", rows.alias("rows"))
         .withColumn("p", F.least(F.lit(1.0), SAMPLE_SIZE / F.col("rows")))
@@ -372,7 +372,7 @@ def outliers(
     portion = F.when(F.col("rows") > 0, F.col("outlier_count") / F.col("rows")).otherwise(0.0)
     return totals.select(
         "column_ix",
-        per_field(F.col("column_ix"), fields, lambda f: f.name).alias("column_name"),
+        per_field(fields, lambda f: f.name).alias("column_name"),
         "outlier_count",
         portion.alias("outlier_percentage"),
         (1 - portion).alias("accuracy_score"),

@@ -79,7 +79,7 @@ def looks_like_id(field: Field) -> bool:
 
 def integrity_columns(metrics: DataFrame, fields: list[Field]) -> DataFrame:
     ratio = share(F.col("distinct_count"), F.col("value_count"))
-    named = per_field(F.col("column_ix"), fields, looks_like_id)
+    named = per_field(fields, looks_like_id)
     return metrics.withColumns(
         {
             "is_potential_id": named,
@@ -116,17 +116,15 @@ def consistency_columns(scanned: DataFrame, strict_strings: bool = False) -> Dat
 
 def type_columns(metrics: DataFrame, fields: list[Field]) -> DataFrame:
     """Declared and inferred type; a numeric column without fractions is an integer."""
-    ix = F.col("column_ix")
     whole = F.col("integer_count") == F.col("value_count")
     fixed = per_field(
-        ix,
         fields,
         lambda f: "boolean" if f.is_boolean else "datetime" if f.is_datetime else "string",
     )
-    numeric = per_field(ix, fields, lambda f: f.is_numeric and not f.is_boolean)
+    numeric = per_field(fields, lambda f: f.is_numeric and not f.is_boolean)
     return metrics.withColumns(
         {
-            "dtype": per_field(ix, fields, lambda f: f.dtype.simpleString()),
+            "dtype": per_field(fields, lambda f: f.dtype.simpleString()),
             "inferred_type": F.when(numeric, F.when(whole, "integer").otherwise("float")).otherwise(
                 fixed
             ),

@@ -71,7 +71,7 @@ def column_samples(df: DataFrame, size: int = 5, columns: list[str] | None = Non
         .where(F.col("rank") <= size)
         .select(
             "column_ix",
-            per_field(F.col("column_ix"), fields, lambda f: f.name).alias("column_name"),
+            per_field(fields, lambda f: f.name).alias("column_name"),
             "rank",
             "value",
         )

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colprobe.functions.patterns import PATTERNS, holds_personal_data, matches
-from colprobe.functions.types import FRACTIONAL, Field, fields_of
+from colprobe.functions.types import FRACTIONAL, Field, fields_of, sql_text
 
 ALL_MEASURES = ("patterns", "empty", "case", "number")
 # Whole-stage code generation gives up beyond 100 fields (spark.sql.codegen.maxFields).
@@ -32,23 +32,23 @@ _COUNTS = (
 )
 
 
-def _tests(field: Field, measures: tuple[str, ...]) -> dict[str, Column]:
-    """Boolean tests of one cell, by the name of the count they feed."""
-    cell = field.clean()
-    tests: dict[str, Column] = {}
+def _tests(field: Field, measures: tuple[str, ...]) -> dict[str, str]:
+    """SQL tests of one cell, by the name of the count they feed."""
+    cell = field.cell
+    tests: dict[str, str] = {}
     if field.is_string:
         if "patterns" in measures:
             tests |= {name: holds_personal_data(cell, name) for name in PATTERNS}
         if "empty" in measures:
-            tests["empty_count"] = F.coalesce(cell, F.lit("")) == ""
+            tests["empty_count"] = f"coalesce({cell}, '') = ''"
         if "case" in measures:
             # cased letters exist, and all of them are lower (upper) case
-            tests["lowercase_count"] = (F.lower(cell) == cell) & (F.upper(cell) != cell)
-            tests["uppercase_count"] = (F.upper(cell) == cell) & (F.lower(cell) != cell)
+            tests["lowercase_count"] = f"lower({cell}) = {cell} AND upper({cell}) <> {cell}"
+            tests["uppercase_count"] = f"upper({cell}) = {cell} AND lower({cell}) <> {cell}"
     elif field.is_numeric and not field.is_integral and "number" in measures:
-        tests["integer_count"] = cell % 1 == 0
+        tests["integer_count"] = f"({cell}) % 1 = 0"
         if isinstance(field.dtype, FRACTIONAL):
-            tests["infinite_count"] = F.abs(cell) == F.lit(float("inf"))
+            tests["infinite_count"] = f"abs({cell}) = double('infinity')"
     return tests
 
 
@@ -79,33 +79,31 @@ def scan_columns(
 
 
 def _one_pass(df: DataFrame, planned: list[tuple[Field, dict]]) -> DataFrame:
-    aggregates = [F.count(F.lit(1)).alias("n")]
+    aggregates = ["count(1) AS n"]
     rows = []
     for field, tests in planned:
         ix = field.ix
-        aggregates.append(F.count(field.clean()).alias(f"v{ix}"))
-        aggregates += [F.count_if(test).alias(f"{name}_{ix}") for name, test in tests.items()]
-        values = F.col(f"v{ix}")
+        aggregates.append(f"count({field.cell}) AS v{ix}")
+        aggregates += [f"count_if({test}) AS {name}_{ix}" for name, test in tests.items()]
         counts = {
-            name: F.col(f"{name}_{ix}") if name in tests else F.lit(None).cast("bigint")
-            for name in _COUNTS
+            name: f"{name}_{ix}" if name in tests else "CAST(NULL AS BIGINT)" for name in _COUNTS
         }
         if field.is_integral:
-            counts["integer_count"] = values
+            counts["integer_count"] = f"v{ix}"
         if field.is_numeric and not isinstance(field.dtype, FRACTIONAL):
-            counts["infinite_count"] = F.lit(0).cast("bigint")
-        rows.append(
-            F.struct(
-                F.lit(ix).alias("column_ix"),
-                F.lit(field.name).alias("column_name"),
-                F.lit(field.type_class).alias("type_class"),
-                F.col("n").alias("total_count"),
-                (F.col("n") - values).alias("missing_count"),
-                values.alias("value_count"),
-                *[counts[name].alias(name) for name in _COUNTS],
-            )
-        )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+            counts["infinite_count"] = "0L"
+        parts = {
+            "column_ix": str(ix),
+            "column_name": sql_text(field.name),
+            "type_class": sql_text(field.type_class),
+            "total_count": "n",
+            "missing_count": f"n - v{ix}",
+            "value_count": f"v{ix}",
+            **counts,
+        }
+        rows.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + ")")
+    counted = df.agg(*[F.expr(a) for a in aggregates])
+    return counted.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def pattern_match_count(df: DataFrame, column: str, pattern: str) -> DataFrame:
