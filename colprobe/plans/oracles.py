@@ -923,10 +923,10 @@ ORACLES: dict[str, str] = {
     "citation_markup": MARKUP,
     "citation_renumber": "SELECT conv_id, turn, text || ' [1] and [2] and [1]' AS text FROM conversations WHERE role = 'assistant'",
     "citation_resolve": f"""
-        WITH users AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn, text
-                       FROM conversations WHERE role = 'user'),
-        answers AS (SELECT conv_id, turn, unnest([1, 2]) AS n FROM conversations WHERE role = 'assistant')
-        SELECT a.conv_id || '/' || a.turn AS response_id, (a.n - 1)::INTEGER AS position, a.n::BIGINT AS n,
+        WITH users AS (SELECT conv_id, turn + 1 AS n, turn, text FROM conversations WHERE role = 'user'),
+        answers AS (SELECT conv_id, turn, unnest([turn, 1]) AS n, unnest([0, 1]) AS position
+                    FROM conversations WHERE role = 'assistant')
+        SELECT a.conv_id || '/' || a.turn AS response_id, a.position::INTEGER AS position, a.n::BIGINT AS n,
                {section('u.text')} AS section, 'conversations' AS source, u.turn::VARCHAR AS page,
                CASE WHEN length(u.text) > 200 THEN left(u.text, 200) || '...' ELSE u.text END AS preview
         FROM answers a JOIN users u ON a.conv_id = u.conv_id AND a.n = u.n""",

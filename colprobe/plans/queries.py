@@ -147,7 +147,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corpus_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_source.corpus_listing(spark, sf_dir, "*.parquet")
+    return corpus_source.corpus_listing(spark, sf_dir, "*.parquet", recursive=True)
 
 
 # --- column primitives --------------------------------------------------------------
@@ -701,17 +701,17 @@ def citation_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def citation_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers citing the first and second user turn of their conversation."""
+    """Answers citing the turn before them and the first turn; user turns can be cited."""
     turns = table(spark, sf_dir, "conversations")
     answers = turns.where(F.col("role") == "assistant").select(
         F.concat_ws("/", "conv_id", "turn").alias("response_id"),
         F.col("conv_id").alias("query_id"),
-        F.concat("text", F.lit(" [1] and [2]")).alias("text"),
+        F.concat("text", F.lit(" ["), F.col("turn").cast("string"), F.lit("] and [1]")).alias("text"),
     )
     users = turns.where(F.col("role") == "user")
     cited = users.select(
         F.col("conv_id").alias("query_id"),
-        F.expr("row_number() OVER (PARTITION BY conv_id ORDER BY turn)").alias("n"),
+        (F.col("turn") + 1).alias("n"),
         F.lit("conversations").alias("source"),
         F.col("turn").cast("string").alias("page"),
         F.col("text").alias("content"),

@@ -12,6 +12,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Largest table, as JSON text, that is broadcast.
+SHIPPED_BYTES = 32 * 1024 * 1024
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -38,6 +42,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped_if_small(table: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if its measured size allows it.
+
+    Beyond the limit the join shuffles both sides as usual.
+    """
+    measured = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(table) if measured <= SHIPPED_BYTES else table
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a file scan out to all cores when it has few input splits.
 
