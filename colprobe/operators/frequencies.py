@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colprobe.functions.types import INTEGRAL, Field, fields_of, per_field, sql_name
+from colprobe.functions.types import INTEGRAL, Field, fields_of, per_field, sql_name, sql_text
 
 # Text up to this many characters is its own grouping key. A digest with its prefix
 # is longer, so a digest can never equal a plain key.
@@ -49,9 +49,15 @@ def unfold(df: DataFrame, counted_as: str, members: list[Field], cell) -> DataFr
     return df.selectExpr(f"stack({len(members)}, {pairs}) AS (column_ix, value)")
 
 
-def _counted(df: DataFrame, fields: list[Field], digest_text: bool):
+def _counted(
+    df: DataFrame, fields: list[Field], digest_text: bool, unique: tuple[str, ...] = ()
+):
     """One (members, counts) pair per type family, values still in their own type."""
-    for counted_as, members in _families(fields):
+    keys = [f for f in fields if f.name in unique]
+    others = [f for f in fields if f.name not in unique]
+    families = [(*family, True) for family in _families(keys)]
+    families += [(*family, False) for family in _families(others)]
+    for counted_as, members, all_differ in families:
         by_digest = digest_text and counted_as == "string"
 
         def cell(field: Field) -> str:
@@ -59,12 +65,13 @@ def _counted(df: DataFrame, fields: list[Field], digest_text: bool):
                 return f"hex({sql_name(field.name)})"
             return text_key(field.cell) if by_digest else field.cell
 
-        counts = (
-            unfold(df, counted_as, members, cell)
-            .groupBy("column_ix", "value")
-            .agg(F.count(F.lit(1)).alias("freq"))
-        )
-        yield members, counts
+        cells = unfold(df, counted_as, members, cell)
+        once = F.lit(1).cast("bigint").alias("freq")
+        if all_differ:
+            present = cells.where(F.col("value").isNotNull()).select("column_ix", "value", once)
+            cells = cells.where(F.col("value").isNull())
+        counts = cells.groupBy("column_ix", "value").agg(F.count(F.lit(1)).alias("freq"))
+        yield members, counts.unionByName(present) if all_differ else counts
 
 
 def value_frequencies(
@@ -82,16 +89,19 @@ def value_frequencies(
     )
 
 
-def frequency_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def frequency_counts(
+    df: DataFrame, columns: list[str] | None = None, unique_columns: tuple[str, ...] = ()
+) -> DataFrame:
     """(column_ix, missing, number, freq): the frequency table without its texts.
 
-    ``number`` is the value of a numeric column. Every column contributes one extra row
+    ``number`` is the value of a numeric column. The values of ``unique_columns`` are
+    declared to differ from row to row and are not shuffled to be counted. Every column contributes one extra row
     of frequency 0, so a column of an empty table still gets its metrics row without a
     join against the schema.
     """
     fields = fields_of(df, columns)
     parts = []
-    for members, counts in _counted(df, fields, digest_text=True):
+    for members, counts in _counted(df, fields, digest_text=True, unique=tuple(unique_columns)):
         value = F.col("value")
         number = F.lit(None)
         if members[0].is_numeric:
@@ -117,7 +127,9 @@ def _seed_rows(df: DataFrame, fields: list[Field]) -> DataFrame:
     )
 
 
-def frequency_metrics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def frequency_metrics(
+    df: DataFrame, columns: list[str] | None = None, unique_columns: tuple[str, ...] = ()
+) -> DataFrame:
     """Everything about a column that follows from its frequencies, in one aggregation.
 
     The missing group is a value of its own for the privacy factor and the entropy of
@@ -127,7 +139,24 @@ def frequency_metrics(df: DataFrame, columns: list[str] | None = None) -> DataFr
     fields = fields_of(df, columns)
     if not fields:
         raise ValueError("no column to profile")
-    return metrics_from_counts(frequency_counts(df, columns), fields)
+    return metrics_from_counts(frequency_counts(df, columns, unique_columns), fields)
+
+
+def approximate_distinct_counts(
+    df: DataFrame, columns: list[str] | None = None, error: float = 0.02
+) -> DataFrame:
+    """(column_ix, column_name, distinct_count) from sketches, without a shuffle of values.
+
+    For tables so large that exact counts are not worth their shuffle.
+    """
+    fields = fields_of(df, columns)
+    sketches = df.agg(*[F.approx_count_distinct(f.clean(), error).alias(f"d{f.ix}") for f in fields])
+    rows = ", ".join(
+        f"named_struct('column_ix', {f.ix}, 'column_name', {sql_text(f.name)}, "
+        f"'distinct_count', d{f.ix})"
+        for f in fields
+    )
+    return sketches.selectExpr(f"inline(array({rows}))")
 
 
 def metrics_from_counts(

@@ -326,14 +326,16 @@ def risk_advice(df_with_level: DataFrame) -> DataFrame:
     )
 
 
-def ranked_columns(profile: DataFrame, metric: str) -> DataFrame:
-    """Columns ordered by a metric, largest first; ties in schema order.
+def ranked_columns(profile: DataFrame, *metrics: str) -> DataFrame:
+    """(metric, rank, column_name, score): columns by each metric, largest first.
 
-    One row per column enters the unpartitioned window.
+    Ties keep schema order; a window holds one row per column.
     """
-    order = W.orderBy(F.desc(metric), F.asc("column_ix"))
-    return profile.select(
-        F.row_number().over(order).alias("rank"), "column_name", F.col(metric)
+    pairs = [piece for m in metrics for piece in (F.lit(m), F.col(m))]
+    scores = F.stack(F.lit(len(metrics)), *pairs).alias("metric", "score")
+    order = W.partitionBy("metric").orderBy(F.desc("score"), F.asc("column_ix"))
+    return profile.select("column_ix", "column_name", scores).select(
+        "metric", F.row_number().over(order).alias("rank"), "column_name", "score"
     )
 
 

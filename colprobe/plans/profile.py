@@ -31,11 +31,19 @@ class TableProfile:
     """Privacy and quality of one table.
 
     ``with_accuracy=False`` leaves the outlier model out and takes every column to be
-    accurate; nothing is then written and all results are lazy plans.
+    accurate; nothing is then written and all results are lazy plans. Values of
+    ``unique_columns`` are known to differ from row to row, which saves shuffling them.
     """
 
-    def __init__(self, df: DataFrame, with_accuracy: bool = True, strict_strings: bool = False):
+    def __init__(
+        self,
+        df: DataFrame,
+        with_accuracy: bool = True,
+        strict_strings: bool = False,
+        unique_columns: tuple[str, ...] = (),
+    ):
         self.df = df
+        self.unique_columns = unique_columns
         self.with_accuracy = with_accuracy
         self.strict_strings = strict_strings
         self.fields = fields_of(df)
@@ -49,9 +57,10 @@ class TableProfile:
         per column, are written.
         """
         if not self.with_accuracy:
-            return self._columns(frequency_metrics(self.df), None)
+            metrics = frequency_metrics(self.df, unique_columns=self.unique_columns)
+            return self._columns(metrics, None)
         prepared = prepare(self.df)
-        counts = frequency_counts(self.df)
+        counts = frequency_counts(self.df, unique_columns=self.unique_columns)
         metrics = stage(metrics_from_counts(counts, self.fields, survivor(prepared)), "metrics")
         sample = metrics.select("column_ix", F.explode("sample").alias("drawn"))
         accuracy = outliers(self.df, prepared, sample)
@@ -136,13 +145,17 @@ class TableProfile:
         columns = self.columns.join(samples, "column_ix", "left")
         # as many entries as the schema has columns
         listed = F.array_sort(F.collect_list(F.struct("column_ix", F.struct(*columns.columns))))
-        parts = [self.overall(), columns.agg(F.transform(listed, lambda c: c["col2"]).alias("columns"))]
+        rows = self.overall().unionByName(
+            columns.agg(F.transform(listed, lambda c: c["col2"]).alias("columns")),
+            allowMissingColumns=True,
+        )
         if constraints:
-            results = apply_constraints(self.df, constraints)
-            parts.append(constraint_summary(results).select(F.struct("*").alias("constraints")))
-        document = parts[0].withColumn("part", F.lit(0))
-        for part in parts[1:]:
-            document = document.join(F.broadcast(part.withColumn("part", F.lit(0))), "part")
+            results = constraint_summary(apply_constraints(self.df, constraints))
+            rows = rows.unionByName(
+                results.select(F.struct("*").alias("constraints")), allowMissingColumns=True
+            )
+        # each row fills other columns
+        document = rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns])
         private = [c for c in document.columns if "risk" in c or "privacy" in c or "avg_" in c]
         sound = [*quality.WEIGHTS, "overall_quality_score", "duplicate_rows"]
         dataset = F.struct(

@@ -323,13 +323,7 @@ def ranked_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four rankings of the columns of orders."""
     profile = privacy.privacy_profile(table(spark, sf_dir, "orders"))
     metrics = ("privacy_risk_score", "privacy_factor", "shannon_entropy", "hartley_measure")
-    parts = [
-        privacy.ranked_columns(profile, m).select(
-            F.lit(m).alias("metric"), "rank", "column_name", F.round(m, 6).alias("score")
-        )
-        for m in metrics
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return shown(privacy.ranked_columns(profile, *metrics))
 
 
 @query

@@ -208,6 +208,32 @@ def test_wide_tables_scan_in_passes(spark):
     assert {r["value_count"] for r in found} == {3}
 
 
+def test_declared_unique_columns_are_not_shuffled(spark):
+    df = spark.range(500).selectExpr(
+        "id AS k", "concat('key', id) AS t", "id % 5 AS g", "CASE WHEN id > 9 THEN id END AS gaps"
+    )
+    plain = by_column(freq.frequency_metrics(df))
+    declared = freq.frequency_metrics(df, unique_columns=("k", "t", "gaps"))
+    assert by_column(declared) == plain
+    a = TableProfile(df).quality_summary().first()
+    b = TableProfile(df, unique_columns=("k", "gaps")).quality_summary().first()
+    assert a == b
+
+
+def test_approximate_distinct_counts(spark):
+    df = spark.range(20000).selectExpr("id", "id % 10 AS few", "cast(NULL AS string) AS none")
+    found = {c: r["distinct_count"] for c, r in by_column(freq.approximate_distinct_counts(df)).items()}
+    assert found["few"] == 10
+    assert found["none"] == 0
+    assert abs(found["id"] - 20000) < 2000
+
+
+def test_ranking_keeps_schema_order_in_ties(spark):
+    df = spark.range(4).selectExpr("1 AS a", "id AS b", "2 AS c")
+    rows = privacy.ranked_columns(privacy.entropy_profile(df), "shannon_entropy").collect()
+    assert [r["column_name"] for r in sorted(rows, key=lambda r: r["rank"])] == ["b", "a", "c"]
+
+
 def test_assessment_grid(spark):
     def expected(p, q):
         if p > 0.7 and q < 0.4:
