@@ -35,10 +35,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a scan of it; cuts the lineage."""
+    """Write ``df`` once and return a scan of it; cuts the lineage.
+
+    The files are deleted when the application ends.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(files)
     return spark.read.schema(df.schema).parquet(path)
 
 
