@@ -329,11 +329,12 @@ def risk_advice(df_with_level: DataFrame) -> DataFrame:
 def ranked_columns(profile: DataFrame, *metrics: str) -> DataFrame:
     """(metric, rank, column_name, score): columns by each metric, largest first.
 
-    Ties keep schema order; a window holds one row per column.
+    Scores equal to nine places tie, since the last bits of a sum depend on its order;
+    ties keep schema order. A window holds one row per column.
     """
     pairs = [piece for m in metrics for piece in (F.lit(m), F.col(m))]
     scores = F.stack(F.lit(len(metrics)), *pairs).alias("metric", "score")
-    order = W.partitionBy("metric").orderBy(F.desc("score"), F.asc("column_ix"))
+    order = W.partitionBy("metric").orderBy(F.desc(F.round("score", 9)), F.asc("column_ix"))
     return profile.select("column_ix", "column_name", scores).select(
         "metric", F.row_number().over(order).alias("rank"), "column_name", "score"
     )

@@ -279,7 +279,7 @@ def ranked(source: str) -> str:
     rows = column_rows(source, metrics)
     return union(
         [
-            f"SELECT '{m}' AS metric, (row_number() OVER (ORDER BY {m} DESC, ix))::INTEGER AS rank, "
+            f"SELECT '{m}' AS metric, (row_number() OVER (ORDER BY round({m}, 9) DESC, ix))::INTEGER AS rank, "
             f"column_name, round({m}, 6) AS score FROM ({rows})"
             for m in metrics
         ]
