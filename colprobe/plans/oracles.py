@@ -934,6 +934,9 @@ ORACLES: dict[str, str] = {
     "feedback_latest": FEEDBACK,
     "chat_history": "SELECT conv_id, turn, role, text AS content FROM conversations",
     "stream_value_frequencies": frequencies("events"),
+    "stream_entropy_profile": column_metrics(
+        "events", "privacy_factor", "shannon_entropy", "hartley_measure"
+    ),
     "stream_feedback": FEEDBACK,
 }
 

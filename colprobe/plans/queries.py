@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from colprobe.functions.patterns import PATTERNS
 from colprobe.functions.text import key_phrases, section_title
+from colprobe.functions.types import fields_of
 from colprobe.operators import chunking, citations, constraints, interactions, neighbours
 from colprobe.operators import embedding as emb
 from colprobe.operators import frequencies as freq
@@ -767,6 +768,16 @@ def stream_value_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("column_name", "value", "freq")
 
 
+@query
+def stream_entropy_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The information measures of a stream's columns, from its increments."""
+    path, checkpoint = new_path(spark, "increments"), new_path(spark, "stream")
+    stream = event_stream(spark, sf_dir)
+    increments.stream_value_frequencies(stream, path, checkpoint, digest_text=True).awaitTermination()
+    metrics = privacy.with_entropy(increments.current_metrics(spark, path, fields_of(stream)))
+    return shown(metrics, "column_name", "privacy_factor", "shannon_entropy", "hartley_measure")
+
+
 @query
 def stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = new_path(spark, "increments"), new_path(spark, "stream")

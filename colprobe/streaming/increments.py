@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from colprobe.operators.frequencies import value_frequencies
+from colprobe.functions.types import Field
+from colprobe.operators.frequencies import metrics_from_counts, value_frequencies
 from colprobe.operators.interactions import feedback_latest
 
 BATCH = "increment"
@@ -36,9 +37,18 @@ def _write_increments(
     )
 
 
-def stream_value_frequencies(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Count new rows into the frequency increments at ``path``."""
-    return _write_increments(stream, value_frequencies, path, checkpoint)
+def stream_value_frequencies(
+    stream: DataFrame, path: str, checkpoint: str, digest_text: bool = False
+) -> StreamingQuery:
+    """Count new rows into the frequency increments at ``path``.
+
+    ``digest_text`` keeps long texts as digests, enough for all metrics.
+    """
+
+    def counted(batch: DataFrame) -> DataFrame:
+        return value_frequencies(batch, digest_text=digest_text)
+
+    return _write_increments(stream, counted, path, checkpoint)
 
 
 def stream_feedback(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -54,6 +64,13 @@ def current_frequencies(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def current_metrics(spark: SparkSession, path: str, fields: list[Field]) -> DataFrame:
+    """Frequency metrics of everything streamed so far, for the fields of the stream."""
+    counts = current_frequencies(spark, path)
+    missing = F.col("value").isNull().alias("missing")
+    return metrics_from_counts(counts.select("column_ix", missing, "freq"), fields)
+
+
 def current_feedback(spark: SparkSession, path: str) -> DataFrame:
     return feedback_latest(spark.read.parquet(path))
 
