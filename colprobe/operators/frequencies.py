@@ -21,6 +21,8 @@ from colprobe.functions.types import INTEGRAL, Field, fields_of, per_field, sql_
 # is longer, so a digest can never equal a plain key.
 LONGEST_PLAIN_KEY = 64
 DIGEST_PREFIX = "sha256:"
+# Columns unfolded by one scan; more would outgrow generated code.
+COLUMNS_AT_ONCE = 100
 
 
 def text_key(text: str) -> str:
@@ -40,7 +42,11 @@ def _families(fields: list[Field]) -> list[tuple[str, list[Field]]]:
         else:
             counted_as = field.dtype.simpleString()
         families.setdefault(f"{counted_as}|{field.type_class}", []).append(field)
-    return [(key.split("|")[0], members) for key, members in families.items()]
+    return [
+        (key.split("|")[0], members[start : start + COLUMNS_AT_ONCE])
+        for key, members in families.items()
+        for start in range(0, len(members), COLUMNS_AT_ONCE)
+    ]
 
 
 def unfold(df: DataFrame, counted_as: str, members: list[Field], cell) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colprobe.functions.types import fields_of, per_field
+from colprobe.operators.frequencies import unfold
 
 # Last digits of the hash that split a column's values into groups for the bound.
 _GROUPS = "02468ace"
@@ -26,39 +27,21 @@ def column_samples(df: DataFrame, size: int = 5, columns: list[str] | None = Non
     if size > len(_GROUPS):
         raise ValueError(f"at most {len(_GROUPS)} samples per column")
     fields = fields_of(df, columns)
-    hashed = df.select(*[F.md5(f.clean().cast("string")).alias(f"h{f.ix}") for f in fields])
-    minima = hashed.agg(
-        *[
-            F.min(F.when(F.col(f"h{f.ix}").endswith(g), F.col(f"h{f.ix}"))).alias(f"m{f.ix}_{g}")
-            for f in fields
-            for g in _GROUPS
-        ]
-    )
-    bounds = minima.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f.ix).alias("column_ix"),
-                        F.get(
-                            F.array_sort(
-                                F.array_compact(F.array(*[F.col(f"m{f.ix}_{g}") for g in _GROUPS]))
-                            ),
-                            F.lit(size - 1),
-                        ).alias("bound"),
-                    )
-                    for f in fields
-                ]
-            )
-        )
-    )
-    cells = [
-        piece
+    hashed = df.selectExpr(*[f"md5(CAST({f.cell} AS STRING)) AS h{f.ix}" for f in fields])
+    minima = [
+        f"min(CASE WHEN endswith(h{f.ix}, '{g}') THEN h{f.ix} END) AS m{f.ix}_{g}"
         for f in fields
-        for piece in (F.lit(f.ix), f.clean().cast("string"), F.md5(f.clean().cast("string")))
+        for g in _GROUPS
     ]
+    bounds = []
+    for f in fields:
+        present = f"array_compact(array({', '.join(f'm{f.ix}_{g}' for g in _GROUPS)}))"
+        bound = f"get(array_sort({present}), {size - 1})"
+        bounds.append(f"named_struct('column_ix', {f.ix}, 'bound', {bound})")
+    bounds = hashed.agg(*map(F.expr, minima)).selectExpr(f"inline(array({', '.join(bounds)}))")
     candidates = (
-        df.select(F.stack(F.lit(len(fields)), *cells).alias("column_ix", "value", "hash"))
+        unfold(df, "string", fields, lambda f: f.cell)
+        .withColumn("hash", F.md5("value"))
         .where(F.col("value").isNotNull())
         .join(F.broadcast(bounds), "column_ix")  # one row per column
         .where(F.col("bound").isNull() | (F.col("hash") <= F.col("bound")))
