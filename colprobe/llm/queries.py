@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colprobe.llm import exact_dedup, pii, secrets, sharding
+from colprobe.llm import bpe, exact_dedup, packing, pii, secrets, sharding
 from colprobe.llm.common import read
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,6 +26,14 @@ def op6_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_transducer_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op8_best_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op9_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents"), 24)
 
@@ -32,5 +42,7 @@ QUERIES: dict[str, Query] = {
     "op3_blob_ledger": op3_blob_ledger,
     "op5_anchor_expansion": op5_anchor_expansion,
     "op6_patricia_owners": op6_patricia_owners,
+    "op7_transducer_lexicon": op7_transducer_lexicon,
+    "op8_best_fit_decreasing": op8_best_fit_decreasing,
     "op9_prefix_sums": op9_prefix_sums,
 }
