@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colprobe.llm import bpe, exact_dedup, packing, pii, secrets, sharding
+from colprobe.llm import bpe, exact_dedup, language, packing, pii, quality, secrets, sharding
 from colprobe.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.predict(docs, language.learn(docs))
+
+
 def op3_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(read(spark, sf_dir, "documents"))
 
@@ -38,11 +43,18 @@ def op9_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents"), 24)
 
 
+def op10_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_family_svm": op1_family_svm,
     "op3_blob_ledger": op3_blob_ledger,
     "op5_anchor_expansion": op5_anchor_expansion,
     "op6_patricia_owners": op6_patricia_owners,
     "op7_transducer_lexicon": op7_transducer_lexicon,
     "op8_best_fit_decreasing": op8_best_fit_decreasing,
     "op9_prefix_sums": op9_prefix_sums,
+    "op10_additive_model": op10_additive_model,
 }
