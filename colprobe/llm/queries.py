@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colprobe.llm import bpe, exact_dedup, language, packing, pii, quality, secrets, sharding
+from colprobe.llm import ann, bpe, exact_dedup, language, packing, pii, quality, secrets, sharding
 from colprobe.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,11 @@ def op1_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.learn(docs))
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.search_index(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op3_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(read(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_family_svm": op1_family_svm,
+    "op2_multi_index": op2_multi_index,
     "op3_blob_ledger": op3_blob_ledger,
     "op5_anchor_expansion": op5_anchor_expansion,
     "op6_patricia_owners": op6_patricia_owners,
