@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colprobe.llm.common import id_type, partitions, short_batches, texts
-from colprobe.session import stage
+from colprobe.session import shipped_if_small, stage
 
 # Bytes of labels that one trie holds before it spills subtrees.
 TRIE_BYTES = 192 * 1024 * 1024
@@ -256,3 +256,29 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         .select(*columns)
     )
     return single.unionByName(repeated)
+
+
+def first_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows that repeat an id together with its text, and groups in which no row has an id,
+    leave one row too. Only the keys of groups of two and more are joined; they are
+    broadcast where they are measured to be small.
+    """
+    owners = text_owners(docs).where("group_size > 1")
+    key = F.sha2(normalised(F.coalesce(F.col("text"), F.lit(""))), 256)
+    groups = shipped_if_small(
+        stage(owners.select(F.struct("text_sha256", "keep_id", "owner_rows").alias("owner_")), "groups")
+    )
+    joined = docs.join(groups, key == F.col("owner_.text_sha256"), "left")
+    single = F.col("owner_").isNull()
+    owns = docs["doc_id"].eqNullSafe(F.col("owner_.keep_id"))
+    one = F.col("owner_.owner_rows") == 1
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    plain = joined.where(single | (owns & one)).select(*columns)
+    repeated = joined.where(owns & ~one)
+    if owners.where("owner_rows > 1").isEmpty():
+        return plain
+    # any of the rows that repeat the smallest id serves; partial results meet early
+    packed = repeated.groupBy("owner_.text_sha256").agg(F.first(F.struct(*columns)).alias("row_"))
+    return plain.unionByName(packed.select("row_.*"))

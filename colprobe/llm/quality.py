@@ -308,3 +308,20 @@ def quality_scores(docs: DataFrame, model: dict) -> DataFrame:
     rows = texts(docs, held).select("doc_id", "held_out", "text")
     done = rows.mapInArrow(score, f"doc_id {id_type(docs)}, held_out boolean, score double")
     return done.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, with all their columns; no shuffle.
+
+    A null text is scored as an empty one.
+    """
+    short_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [features(t or "") for t in batch.column("text").to_pylist()]
+            found = scored(shipped.value, np.array(values).reshape(-1, len(FEATURES)))
+            yield batch.filter(pa.array(found >= 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)

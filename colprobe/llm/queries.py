@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colprobe.llm import ann, bpe, exact_dedup, language, packing, pii, quality, secrets, sharding
+from colprobe.llm import (
+    ann,
+    bpe,
+    exact_dedup,
+    language,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    secrets,
+    sharding,
+)
 from colprobe.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +39,10 @@ def op3_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(read(spark, sf_dir, "documents"))
 
 
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_spans(read(spark, sf_dir, "documents"))
 
@@ -57,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op1_family_svm": op1_family_svm,
     "op2_multi_index": op2_multi_index,
     "op3_blob_ledger": op3_blob_ledger,
+    "op4_bag_minhash": op4_bag_minhash,
     "op5_anchor_expansion": op5_anchor_expansion,
     "op6_patricia_owners": op6_patricia_owners,
     "op7_transducer_lexicon": op7_transducer_lexicon,
