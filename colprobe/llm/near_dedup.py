@@ -116,7 +116,7 @@ def _points(
     low = 0  # the interval (low, low + length]
     while len(owner):
         length = max(low, 1)
-        seed = _mix(shingles + _salt(length))
+        seed = _mix(shingles + _salt(low + 1))
         who, time, nth = np.arange(len(owner)), np.zeros(len(owner)), 0
         while len(who):
             nth += 1
