@@ -581,42 +581,93 @@ CITED = f"""{NEIGHBOURS},
                      text AS content, distance AS score, {section('text')} AS section
               FROM results JOIN documents ON id = doc_id)"""
 
+# The benchmark items as citations, twenty to a query, numbered by their place in the list.
+CITED_ITEMS = f"""
+    SELECT item_id // 20 AS query_id, row_number() OVER (PARTITION BY item_id // 20 ORDER BY item_id) AS n,
+           {section('text')} AS section, {phrases('text')} AS phrases FROM benchmark"""
+
+RESPONSES = """
+    SELECT doc_id AS response_id, doc_id % (SELECT max(item_id) // 5 + 1 FROM benchmark) AS query_id,
+           text FROM documents"""
+
 ATTRIBUTION = f"""
-    WITH sources AS (SELECT item_id, {section('text')} AS section, {phrases('text')} AS phrases
-                     FROM benchmark),
-    hits AS (SELECT doc_id AS text_id, item_id, section,
-                    section <> 'Unknown section' AND contains(text, section) AS titled,
-                    list_filter(phrases, lambda p: length(p) > 15 AND contains(text, p)) AS found
-             FROM documents, sources)
-    SELECT text_id, item_id, CASE WHEN titled THEN 'section' ELSE 'phrase' END AS kind,
+    WITH hits AS (SELECT response_id, n, section,
+                         section <> 'Unknown section' AND contains(text, section) AS titled,
+                         list_filter(phrases, lambda p: length(p) > 15 AND contains(text, p)) AS found
+                  FROM ({RESPONSES}) JOIN ({CITED_ITEMS}) USING (query_id))
+    SELECT response_id, n::INTEGER AS n, CASE WHEN titled THEN 'section' ELSE 'phrase' END AS kind,
            CASE WHEN titled THEN section ELSE found[1] END AS hit
     FROM hits WHERE titled OR len(found) > 0"""
 
 
-# Markers go in one citation after the other, each looking at the text so far.
-MARKUP = f"""
-    WITH RECURSIVE
-    sources AS (SELECT item_id, {section('text')} AS section, {phrases('text')} AS phrases
-                FROM benchmark),
-    cited AS (SELECT hits.*, section, phrases,
-                     row_number() OVER (PARTITION BY text_id ORDER BY item_id) AS k
-              FROM (SELECT text_id, item_id FROM ({ATTRIBUTION})) AS hits
-              JOIN sources USING (item_id)),
+def marked(responses: str, cited: str) -> str:
+    """CTEs up to ``finished`` (response_id, query_id, citation_count, marked).
+
+    Existing markers are numbered by first appearance as far as the list of citations
+    goes. Otherwise markers go in one citation after the other, each looking at the text
+    so far.
+    """
+    place = "list_position(seen, ms[i])"
+    return f"""
+    RECURSIVE cited_items AS ({cited}),
+    lists AS (SELECT query_id, count(*) AS k FROM cited_items GROUP BY query_id),
+    responses AS (SELECT r.*, coalesce(k, 0) AS k, regexp_extract_all(text, '\\[([0-9]+)\\]', 1) AS ms
+                  FROM ({responses}) r LEFT JOIN lists USING (query_id)),
+    old AS (SELECT response_id, k, ms, string_split_regex(text, '\\[[0-9]+\\]') AS pieces,
+                   list_filter(ms, lambda m, i: list_position(ms, m) = i) AS seen
+            FROM responses WHERE k > 0 AND len(ms) > 0),
+    renumbered AS (SELECT response_id, array_to_string(list_transform(pieces, lambda piece, i:
+                       piece || CASE WHEN i > len(ms) THEN ''
+                                     WHEN {place} <= k THEN '[' || {place} || ']'
+                                     ELSE '[' || ms[i] || ']' END), '') AS text FROM old),
     fold AS (
-        SELECT doc_id AS text_id, 0::BIGINT AS k, text AS marked FROM documents
-        WHERE doc_id IN (SELECT text_id FROM cited)
+        SELECT response_id, query_id, 0::BIGINT AS n, k, text AS marked FROM responses
+        WHERE k > 0 AND len(ms) = 0
         UNION ALL
-        SELECT text_id, k, CASE WHEN words IS NULL THEN marked
-                                ELSE replace(marked, words, words || ' [' || (item_id + 1) || ']') END
-        FROM (SELECT c.text_id, c.k, c.item_id, f.marked,
+        SELECT response_id, query_id, n, k,
+               CASE WHEN words IS NULL THEN marked
+                    ELSE replace(marked, words, words || ' [' || n || ']') END
+        FROM (SELECT f.response_id, f.query_id, c.n, f.k, f.marked,
                      CASE WHEN section <> 'Unknown section' AND contains(f.marked, section)
                           THEN section
                           ELSE list_filter(phrases, lambda p: length(p) > 15
                                                               AND contains(f.marked, p))[1]
                      END AS words
-              FROM fold f JOIN cited c ON c.text_id = f.text_id AND c.k = f.k + 1))
-    SELECT text_id, k::INTEGER AS citation_count, marked AS marked_text FROM fold
-    WHERE (text_id, k) IN (SELECT text_id, max(k) FROM cited GROUP BY text_id)"""
+              FROM fold f JOIN cited_items c ON c.query_id = f.query_id AND c.n = f.n + 1)),
+    finished AS (
+        SELECT r.response_id, r.query_id, r.k::INTEGER AS citation_count,
+               coalesce(o.text, f.marked, r.text) AS marked
+        FROM responses r LEFT JOIN renumbered o ON o.response_id = r.response_id
+        LEFT JOIN fold f ON f.response_id = r.response_id AND f.n = f.k)"""
+
+
+MARKUP = f"""WITH {marked(RESPONSES, CITED_ITEMS)}
+    SELECT response_id, citation_count, marked AS marked_text FROM finished"""
+
+ANSWERS = f"""
+    SELECT conv_id || '/' || turn AS response_id, conv_id % 12 AS query_id,
+           CASE turn % 4 WHEN 0 THEN text || ' ' || coalesce(title, '') || ' again ' || coalesce(title, '')
+                         WHEN 1 THEN text || ' [7] and [3], [7]'
+                         WHEN 2 THEN coalesce(phrase, '') || '. ' || text
+                         ELSE text END AS text
+    FROM (SELECT *, conv_id % 12 AS q FROM conversations WHERE role = 'assistant')
+    LEFT JOIN (SELECT query_id AS q, section AS title FROM cited WHERE rank = 1) USING (q)
+    LEFT JOIN (SELECT query_id AS q, {phrases('content')}[1] AS phrase FROM cited WHERE rank = 2) USING (q)"""
+
+FINISHED = f"""
+    WITH {marked(
+        f"WITH {CITED} {ANSWERS}",
+        f"WITH {CITED} SELECT query_id, rank AS n, section, {phrases('content')} AS phrases FROM cited",
+    )},
+    listed AS (
+        WITH {CITED}
+        SELECT query_id, '**References:**' || chr(10) || string_agg('[' || rank || '] ' || source_filename ||
+                   CASE WHEN section <> 'Unknown section' THEN ': ' || section ELSE '' END,
+                   chr(10) ORDER BY rank) AS lines
+        FROM cited GROUP BY query_id)
+    SELECT response_id, citation_count,
+           marked || CASE WHEN lines IS NULL THEN '' ELSE chr(10) || chr(10) || lines END AS content
+    FROM finished LEFT JOIN listed USING (query_id)"""
 
 
 def report(source: str) -> str:
@@ -917,10 +968,11 @@ ORACLES: dict[str, str] = {
     "source_filename || ', Page: ' || page || '):' || chr(10) || content || chr(10), chr(10) ORDER BY rank) AS context "
     "FROM cited GROUP BY query_id",
     "reference_section": f"WITH {CITED} SELECT query_id, '**References:**' || chr(10) || string_agg('[' || rank || '] ' || "
-    "source_filename || CASE WHEN section <> 'Unknown section' THEN ': ' || section ELSE '' END, chr(10) ORDER BY rank) "
-    "AS reference_section FROM cited GROUP BY query_id",
+    "source_filename || CASE WHEN section <> 'Unknown section' THEN ': ' || section ELSE '' END, "
+    "chr(10) ORDER BY rank) AS reference_section FROM cited GROUP BY query_id",
     "citation_attribution": ATTRIBUTION,
     "citation_markup": MARKUP,
+    "answer_finish": FINISHED,
     "citation_renumber": "SELECT conv_id, turn, text || ' [1] and [2] and [1]' AS text FROM conversations WHERE role = 'assistant'",
     "citation_resolve": f"""
         WITH users AS (SELECT conv_id, turn + 1 AS n, turn, text FROM conversations WHERE role = 'user'),

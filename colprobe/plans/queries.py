@@ -668,19 +668,72 @@ def reference_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.reference_section(label_citations(spark, sf_dir))
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return spread(documents.select(F.col("doc_id").alias("text_id"), "text"))
+def benchmark_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items as citations: twenty to a query, in the order of their ids."""
+    items = table(spark, sf_dir, "benchmark")
+    return items.select(
+        F.expr("item_id div 20").alias("query_id"),
+        (F.col("item_id") % 20 * 10).cast("int").alias("rank"),
+        F.lit("benchmark.txt").alias("source_filename"),
+        F.col("item_id").cast("string").alias("page"),
+        section_title(F.col("text")).alias("section"),
+        F.col("text").alias("content"),
+    )
+
+
+def document_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the response to one of the queries of the benchmark items."""
+    lists = table(spark, sf_dir, "benchmark").agg(F.expr("max(item_id) div 5 + 1").alias("lists"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return documents.crossJoin(F.broadcast(lists)).select(  # lists is one row
+        F.col("doc_id").alias("response_id"), F.expr("doc_id % lists").alias("query_id"), "text"
+    )
 
 
 @query
 def citation_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.citation_attribution(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    responses, cited = document_responses(spark, sf_dir), benchmark_citations(spark, sf_dir)
+    return citations.citation_attribution(responses, cited)
 
 
 @query
 def citation_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.citation_markup(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    responses, cited = document_responses(spark, sf_dir), benchmark_citations(spark, sf_dir)
+    return citations.citation_markup(responses, cited)
+
+
+@query
+def answer_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as answers to the label queries, completed with their references.
+
+    By turn, an answer names the title of the first passage, carries markers of its own,
+    quotes a phrase of the second passage, or does neither. Two of twelve queries have no
+    citations.
+    """
+    cited = stage(label_citations(spark, sf_dir), "cited")
+    first = cited.where("rank = 1").select("query_id", F.col("section").alias("title"))
+    second = cited.where("rank = 2").select(
+        "query_id", F.get(key_phrases(F.col("content")), F.lit(0)).alias("phrase")
+    )
+    named = F.coalesce("title", F.lit(""))
+    quoted = F.coalesce("phrase", F.lit(""))
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    answers = (
+        turns.withColumn("query_id", F.col("conv_id") % 12)
+        .join(first, "query_id", "left")
+        .join(second, "query_id", "left")
+    )
+    kind = F.col("turn") % 4
+    text = (
+        F.when(kind == 0, F.concat("text", F.lit(" "), named, F.lit(" again "), named))
+        .when(kind == 1, F.concat("text", F.lit(" [7] and [3], [7]")))
+        .when(kind == 2, F.concat(quoted, F.lit(". "), "text"))
+        .otherwise(F.col("text"))
+    )
+    responses = answers.select(
+        F.concat_ws("/", "conv_id", "turn").alias("response_id"), "query_id", text.alias("text")
+    )
+    return citations.answer_finish(responses, cited)
 
 
 @query

@@ -49,6 +49,7 @@ def difference(found: pd.DataFrame, expected: pd.DataFrame) -> str | None:
         c: (found[c].dtype.kind, expected[c].dtype.kind)
         for c in found.columns
         if found[c].dtype != expected[c].dtype
+        and not expected[c].isna().all()  # null throughout: pandas picks some type
         and not {found[c].dtype.kind, expected[c].dtype.kind} <= {"O", "U", "T"}
     }
     left, right = rows(found), rows(expected)
