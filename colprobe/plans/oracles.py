@@ -581,9 +581,9 @@ CITED = f"""{NEIGHBOURS},
                      text AS content, distance AS score, {section('text')} AS section
               FROM results JOIN documents ON id = doc_id)"""
 
-# The benchmark items as citations, twenty to a query, numbered by their place in the list.
+# The benchmark items as citations, five to a query, numbered by their place in the list.
 CITED_ITEMS = f"""
-    SELECT item_id // 20 AS query_id, row_number() OVER (PARTITION BY item_id // 20 ORDER BY item_id) AS n,
+    SELECT item_id // 5 AS query_id, row_number() OVER (PARTITION BY item_id // 5 ORDER BY item_id) AS n,
            {section('text')} AS section, {phrases('text')} AS phrases FROM benchmark"""
 
 RESPONSES = """
