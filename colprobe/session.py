@@ -30,8 +30,19 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
+def files_of(spark: SparkSession, path: str):
+    """The Hadoop file system that holds ``path``, and the path as that system takes it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path not yet in use, in a folder of its own that goes when the application ends."""
+    folder = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    system, path = files_of(spark, folder)
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -39,12 +50,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     The files are deleted when the application ends.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(files)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shipped_if_small(table: DataFrame) -> DataFrame:

@@ -1,13 +1,20 @@
 """Profiles and feedback kept up to date from streams.
 
-Each micro-batch is reduced on its own and written as one increment, a folder named
-after the batch. Counts add up and latest values compare, so the state is the sum (or
-maximum) of the increments: no state store grows with the number of distinct values,
-and a batch repeated after a failure overwrites its own folder.
+Each micro-batch is reduced on its own and becomes one increment. Counts add up and
+latest values compare, so the state is the sum (or maximum) of the increments: no state
+store grows with the number of distinct values.
+
+An increment is a folder below ``data``, named after the stream and its batch, and counts
+from the moment its record appears below ``commits``, a single file put there by one
+rename. Readers follow the records, so they never meet half an increment, and a batch
+repeated after a failure is told by its record. A merged increment's record names those
+that it replaces; its own name is one that no batch can take.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,51 +24,133 @@ from pyspark.sql.streaming.query import StreamingQuery
 from colprobe.functions.types import Field
 from colprobe.operators.frequencies import metrics_from_counts, value_frequencies
 from colprobe.operators.interactions import feedback_latest
+from colprobe.session import files_of
 
-BATCH = "increment"
+# Increments that are merged into one after a batch.
+COMPACT_AFTER = 32
+ONCE = {"availableNow": True}
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the increments that count: recorded and not replaced by a merged one."""
+    system, folder = files_of(spark, f"{path}/commits")
+    if not system.exists(folder):
+        return []
+    records = spark.read.schema("name string, replaces array<string>").json(f"{path}/commits")
+    rows = records.collect()  # as many as there were batches since replaced ones were cleared
+    replaced = {name for row in rows for name in row["replaces"] or []}
+    return sorted(row["name"] for row in rows if row["name"] not in replaced)
+
+
+def _commit(spark: SparkSession, path: str, name: str, replaces: list[str]) -> None:
+    record = json.dumps({"name": name, "replaces": replaces}).encode()
+    system, final = files_of(spark, f"{path}/commits/{name}.json")
+    _, draft = files_of(spark, f"{path}/drafts/{name}-{uuid.uuid4().hex}")
+    out = system.create(draft)
+    out.write(bytearray(record))
+    out.close()
+    system.mkdirs(final.getParent())
+    if not system.rename(draft, final):
+        raise OSError(f"could not record increment {name}")
+
+
+def _add(spark: SparkSession, path: str, name: str, rows: DataFrame, replaces: list[str]) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/data/{name}")
+    _commit(spark, path, name, replaces)
+
+
+def read_increments(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all increments that count."""
+    return spark.read.parquet(*[f"{path}/data/{name}" for name in committed(spark, path)])
+
+
+def compact(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace the increments of ``path`` by one; the files of replaced ones go.
+
+    What arrives meanwhile stays as it is. A reader that began before may have to read
+    again, as with any table whose files are rewritten.
+    """
+    names = committed(spark, path)
+    if len(names) < 2:
+        return
+    rows = spark.read.parquet(*[f"{path}/data/{name}" for name in names])
+    _add(spark, path, f"merged-{uuid.uuid4().hex}", merge(rows), names)
+    for name in names:
+        # the data first: a record without data is a replaced one, never the reverse
+        system, data = files_of(spark, f"{path}/data/{name}")
+        system.delete(data, True)
 
 
 def _write_increments(
-    stream: DataFrame, reduce_batch: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+    stream: DataFrame,
+    reduce_batch: Callable[[DataFrame], DataFrame],
+    merge: Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    trigger: dict | None,
+    compact_after: int,
 ) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # the stream's own id stays with its checkpoint
+        stream_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        name = f"batch-{stream_id}-{batch_id}"
+        system, record = files_of(spark, f"{path}/commits/{name}.json")
+        if system.exists(record):
+            return
         batch.persist()  # one pass per type family would fetch it from the source again
-        reduce_batch(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        _add(spark, path, name, reduce_batch(batch), [])
         batch.unpersist()
+        if len(committed(spark, path)) >= compact_after:
+            compact(spark, path, merge)
 
     return (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .start()
     )
 
 
+def summed(increments: DataFrame) -> DataFrame:
+    return increments.groupBy("column_ix", "column_name", "value").agg(F.sum("freq").alias("freq"))
+
+
 def stream_value_frequencies(
-    stream: DataFrame, path: str, checkpoint: str, digest_text: bool = False
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    digest_text: bool = False,
+    trigger: dict | None = None,
+    compact_after: int = COMPACT_AFTER,
 ) -> StreamingQuery:
     """Count new rows into the frequency increments at ``path``.
 
-    ``digest_text`` keeps long texts as digests, enough for all metrics.
+    ``digest_text`` keeps long texts as digests, enough for all metrics. ``trigger`` is
+    what ``DataStreamWriter.trigger`` takes; by default what there is is counted once.
     """
 
     def counted(batch: DataFrame) -> DataFrame:
         return value_frequencies(batch, digest_text=digest_text)
 
-    return _write_increments(stream, counted, path, checkpoint)
+    return _write_increments(stream, counted, summed, path, checkpoint, trigger, compact_after)
 
 
-def stream_feedback(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_feedback(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    compact_after: int = COMPACT_AFTER,
+) -> StreamingQuery:
     """Reduce new feedback events to the latest per message."""
-    return _write_increments(stream, feedback_latest, path, checkpoint)
+    return _write_increments(
+        stream, feedback_latest, feedback_latest, path, checkpoint, trigger, compact_after
+    )
 
 
 def current_frequencies(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.parquet(path)
-        .groupBy("column_ix", "column_name", "value")
-        .agg(F.sum("freq").alias("freq"))
-    )
+    return summed(read_increments(spark, path))
 
 
 def current_metrics(spark: SparkSession, path: str, fields: list[Field]) -> DataFrame:
@@ -72,9 +161,4 @@ def current_metrics(spark: SparkSession, path: str, fields: list[Field]) -> Data
 
 
 def current_feedback(spark: SparkSession, path: str) -> DataFrame:
-    return feedback_latest(spark.read.parquet(path))
-
-
-def compact(spark: SparkSession, path: str, into: str, merge: Callable) -> None:
-    """Merge all increments of ``path`` into increment 0 of a new folder."""
-    merge(spark, path).write.mode("overwrite").parquet(f"{into}/{BATCH}=0")
+    return feedback_latest(read_increments(spark, path))
