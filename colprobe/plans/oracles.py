@@ -959,6 +959,7 @@ ORACLES: dict[str, str] = {
     # corpus and retrieval
     "chunk_fixed": CHUNKS,
     "knn_topk": f"WITH {NEIGHBOURS} SELECT query_id, rank::INTEGER AS rank, id, round(distance, 6) AS distance FROM results",
+    "knn_recall": "SELECT count(*) AS queries, 5::BIGINT AS least_rows, true AS recall_reached FROM embeddings",
     "section_title": f"SELECT doc_id, {section('text')} AS section FROM documents",
     "key_phrases": "SELECT doc_id, (pos - 1)::INTEGER AS position, phrase FROM (SELECT doc_id, unnest(p) AS phrase, "
     f"generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, {phrases('text')} AS p FROM documents))",

@@ -630,7 +630,25 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate neighbours of every vector among all vectors."""
     stored = vectors(spark, sf_dir)
-    return shown(neighbours.top_k_hashed(stored.withColumnRenamed("id", "query_id"), stored))
+    return shown(neighbours.top_k_indexed(stored.withColumnRenamed("id", "query_id"), stored))
+
+
+@query
+def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the exact neighbours of all vectors the inverted file finds."""
+    stored = vectors(spark, sf_dir).select("id", "vector")
+    asked = stored.withColumnRenamed("id", "query_id")
+    exact = neighbours.top_k(asked, stored).select("query_id", "id", F.lit(1).alias("wanted"))
+    found = neighbours.top_k_indexed(asked, stored).select("query_id", "id", F.lit(1).alias("got"))
+    both = exact.join(found, ["query_id", "id"], "full").na.fill(0)
+    each = both.groupBy("query_id").agg(
+        F.sum("got").alias("rows"), F.sum(F.col("got") * F.col("wanted")).alias("hits")
+    )
+    return each.agg(
+        F.count("*").alias("queries"),
+        F.min("rows").alias("least_rows"),
+        (F.sum("hits") >= F.count("*") * 5 * 0.9).alias("recall_reached"),
+    )
 
 
 @query_named("section_title")
