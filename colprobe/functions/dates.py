@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 DEFAULT_FORMAT = "%Y-%m-%d"
 
 # Format directives and their counterparts. Single letters accept one or
@@ -27,8 +32,46 @@ DIRECTIVES = {
     "R": "H:m",
     "%": "%",
 }
-# Legal directives that Spark's parser has no counterpart for.
-UNSUPPORTED = frozenset("aAcGuUVwWxXZ")
+# Directives that stand for others.
+SHORTHANDS = {
+    "c": "%a %b %d %H:%M:%S %Y",
+    "x": "%m/%d/%y",
+    "X": "%H:%M:%S",
+    "T": "%H:%M:%S",
+    "F": "%Y-%m-%d",
+    "D": "%m/%d/%y",
+    "R": "%H:%M",
+}
+# Directives that a date has to show but that say nothing about which it is.
+ASIDE = {
+    "a": "(?:mon|tue|wed|thu|fri|sat|sun)",
+    "A": "(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)",
+    "w": "[0-6]",
+    "u": "[1-7]",
+    "U": "(?:5[0-3]|[0-4][0-9]|[0-9])",
+    "W": "(?:5[0-3]|[0-4][0-9]|[0-9])",
+    "Z": "(?:utc|gmt)",
+}
+# What the other directives look like.
+SHAPES = {
+    "Y": "[0-9]{4}",
+    "y": "[0-9]{2}",
+    "m": "(?:1[0-2]|0[1-9]|[1-9])",
+    "d": "(?:3[01]|[12][0-9]|0[1-9]|[1-9])",
+    "H": "(?:2[0-3]|[01][0-9]|[0-9])",
+    "I": "(?:1[0-2]|0[1-9]|[1-9])",
+    "M": "[0-5]?[0-9]",
+    "S": "(?:6[01]|[0-5]?[0-9])",
+    "f": "[0-9]{1,6}",
+    "p": "(?:am|pm)",
+    "b": "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)",
+    "B": "(?:january|february|march|april|may|june|july|august|september|october|november|december)",
+    "j": "(?:36[0-6]|3[0-5][0-9]|[12][0-9][0-9]|0[0-9][0-9]|[0-9]{1,2})",
+    "z": "(?:[+-][0-9]{2}:?[0-9]{2}|z)",
+}
+# ISO years and weeks name a date only together, and neither Spark's parser nor a test
+# of their shape can tell whether they do.
+UNSUPPORTED = frozenset("GV")
 
 
 class IllegalFormat(ValueError):
@@ -48,8 +91,6 @@ def to_spark_format(fmt: str) -> str:
             parts.append((char.isalpha() or char in "'[]{}#", char))
             continue
         directive = next(pieces, "")
-        if directive in UNSUPPORTED and directive:
-            raise NotImplementedError(f"date format directive %{directive}")
         if directive not in DIRECTIVES:
             raise IllegalFormat(fmt)
         parts.append((False, DIRECTIVES[directive]))
@@ -62,3 +103,41 @@ def to_spark_format(fmt: str) -> str:
     if quoted:
         out.append("'")
     return "".join(out)
+
+
+def follows(text: Column, fmt: str) -> Column:
+    """Whether a text is a date in a strptime format.
+
+    Formats with parts that Spark's parser lacks are taken apart by a pattern: all parts
+    have to look right, and those that name the date are put together and parsed.
+    """
+    found = set(re.findall("%(.)", fmt.replace("%%", ""), re.DOTALL))
+    for directive in sorted(found & UNSUPPORTED):
+        raise NotImplementedError(f"Date format directive %{directive} is not supported")
+    if not found & (set(ASIDE) | {"c", "x", "X"}):
+        return F.try_to_timestamp(text, F.lit(to_spark_format(fmt))).isNotNull()
+    pattern, kept = [], []
+    pieces = iter(re.sub("%([cxXTFDR])", lambda m: SHORTHANDS[m[1]], fmt))
+    for char in pieces:
+        directive = next(pieces, "") if char == "%" else None
+        if directive is None or directive == "%":
+            pattern.append("\\s+" if char.isspace() else re.escape(char))
+        elif directive in ASIDE:
+            pattern.append(ASIDE[directive])
+        elif directive in SHAPES:
+            pattern.append(f"({SHAPES[directive]})")
+            kept.append(directive)
+        else:
+            raise IllegalFormat(fmt)
+    whole = f"(?i)^{''.join(pattern)}$"
+    named = [F.regexp_extract(text, whole, n + 1) for n in range(len(kept))]
+    # months and halves of the day are read in one spelling only
+    named = [
+        F.initcap(part) if d in "bB" else F.upper(part) if d in "pz" else part
+        for d, part in zip(kept, named, strict=True)
+    ]
+    shown = F.coalesce(F.rlike(text, F.lit(whole)), F.lit(False))
+    if not kept:
+        return shown
+    parser = "|".join(DIRECTIVES[d] for d in kept)
+    return shown & F.try_to_timestamp(F.concat_ws("|", *named), F.lit(parser)).isNotNull()

@@ -124,3 +124,20 @@ def per_field(fields: list[Field], value) -> Column:
     table = {f.ix: value(f) for f in fields}
     width = max(table, default=-1) + 1
     return F.expr(f"get(array({', '.join(_literal(table.get(i)) for i in range(width))}), column_ix)")
+
+
+# Whole-stage code generation gives up beyond 100 fields (spark.sql.codegen.maxFields).
+LARGEST_AGGREGATE = 96
+
+
+def in_passes(planned: list, width) -> list[list]:
+    """Items cut into passes whose aggregates, ``width`` of each item, stay small."""
+    passes, size = [[]], 0
+    for item in planned:
+        own = width(item)
+        if passes[-1] and size + own > LARGEST_AGGREGATE:
+            passes.append([])
+            size = 0
+        passes[-1].append(item)
+        size += own
+    return passes

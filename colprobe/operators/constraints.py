@@ -15,8 +15,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colprobe.functions.dates import DEFAULT_FORMAT, IllegalFormat, to_spark_format
-from colprobe.functions.types import Field, fields_of
+from colprobe.functions.dates import DEFAULT_FORMAT, IllegalFormat, follows
+from colprobe.functions.types import Field, fields_of, in_passes
 from colprobe.operators.frequencies import frequency_metrics
 from colprobe.operators.privacy import share
 
@@ -113,10 +113,11 @@ def _compile(spark: SparkSession, ix: int, field: Field | None, constraint: dict
         if field.is_datetime:
             return Check(ix, column, kind, value, field, settled=(True, ""))
         try:
-            pattern = to_spark_format(value)
-            test = F.try_to_timestamp(cell.cast("string"), F.lit(pattern)).isNotNull()
+            test = follows(cell.cast("string"), value)
         except IllegalFormat:
             test = F.lit(False)  # no text can follow a format that does not exist
+        except NotImplementedError as error:
+            return failed(str(error))
         return tested(test, "values don't match date format")
     return failed("Unknown constraint type")
 
@@ -159,27 +160,17 @@ def apply_constraints(df: DataFrame, constraints: list[dict]) -> DataFrame:
     checks = compile_constraints(df, constraints)
     if not checks:
         return _empty_result(df.sparkSession)
+    settled = [c for c in checks if c.settled is not None]
     scanned = [c for c in checks if c.test is not None]
-    aggregates = [F.count(F.lit(1)).alias("n")]
-    for name in dict.fromkeys(c.field.name for c in scanned):
-        field = next(c.field for c in scanned if c.field.name == name)
-        aggregates.append(F.count(field.clean()).alias(f"v{field.ix}"))
-    aggregates += [F.count_if(c.test).alias(f"good{c.ix}") for c in scanned]
-    rows = []
-    for check in checks:
-        if check.settled is not None:
-            passed, message = check.settled
-            rate = F.lit(1.0 if passed else 0.0)
-            rows.append(_result(check, F.lit(passed), F.lit(message), rate))
-        elif check.test is not None:
-            whole = F.col("n") if check.kind == "not_null" else F.col(f"v{check.field.ix}")
-            good = F.col(f"good{check.ix}")
-            rows.append(_row(check, good, share(good, whole, empty=1.0), whole - good))
     parts = []
-    if scanned:
-        parts.append(df.agg(*aggregates).select(F.inline(F.array(*rows))))
-    elif rows:
+    if settled:
+        rows = [
+            _result(c, F.lit(c.settled[0]), F.lit(c.settled[1]), F.lit(float(c.settled[0])))
+            for c in settled
+        ]
         parts.append(df.sparkSession.range(1).select(F.inline(F.array(*rows))))
+    if scanned:
+        parts += [_scanned_rows(df, part) for part in in_passes(scanned, lambda check: 2)]
     distinct = [c for c in checks if c.kind == "unique" and c.settled is None]
     if distinct:
         parts.append(_unique_rows(df, distinct))
@@ -189,6 +180,20 @@ def apply_constraints(df: DataFrame, constraints: list[dict]) -> DataFrame:
     return result.orderBy("constraint_ix")
 
 
+def _scanned_rows(df: DataFrame, checks: list[Check]) -> DataFrame:
+    """Checks that count good cells, in one aggregation."""
+    aggregates = [F.count(F.lit(1)).alias("n")]
+    for field in {c.field.ix: c.field for c in checks}.values():
+        aggregates.append(F.count(field.clean()).alias(f"v{field.ix}"))
+    aggregates += [F.count_if(c.test).alias(f"good{c.ix}") for c in checks]
+    rows = []
+    for check in checks:
+        whole = F.col("n") if check.kind == "not_null" else F.col(f"v{check.field.ix}")
+        good = F.col(f"good{check.ix}")
+        rows.append(_row(check, good, share(good, whole, empty=1.0), whole - good))
+    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+
+
 def _unique_rows(df: DataFrame, checks: list[Check]) -> DataFrame:
     metrics = frequency_metrics(df, sorted({c.field.name for c in checks}))
     same = F.col("distinct_count") == F.col("value_count")

@@ -15,7 +15,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colprobe.functions.types import INTEGRAL, Field, fields_of, per_field, sql_name, sql_text
+from colprobe.functions.types import (
+    INTEGRAL,
+    Field,
+    fields_of,
+    in_passes,
+    per_field,
+    sql_name,
+    sql_text,
+)
 
 # Text up to this many characters is its own grouping key. A digest with its prefix
 # is longer, so a digest can never equal a plain key.
@@ -68,7 +76,7 @@ def _counted(
 
         def cell(field: Field) -> str:
             if field.dtype.simpleString() == "binary":
-                return f"hex({sql_name(field.name)})"
+                return _binary_as_text(field)
             return text_key(field.cell) if by_digest else field.cell
 
         cells = unfold(df, counted_as, members, cell)
@@ -156,13 +164,16 @@ def approximate_distinct_counts(
     For tables so large that exact counts are not worth their shuffle.
     """
     fields = fields_of(df, columns)
-    sketches = df.agg(*[F.approx_count_distinct(f.clean(), error).alias(f"d{f.ix}") for f in fields])
-    rows = ", ".join(
-        f"named_struct('column_ix', {f.ix}, 'column_name', {sql_text(f.name)}, "
-        f"'distinct_count', d{f.ix})"
-        for f in fields
-    )
-    return sketches.selectExpr(f"inline(array({rows}))")
+    parts = []
+    for part in in_passes(fields, lambda field: 1):
+        sketched = [F.approx_count_distinct(f.clean(), error).alias(f"d{f.ix}") for f in part]
+        rows = ", ".join(
+            f"named_struct('column_ix', {f.ix}, 'column_name', {sql_text(f.name)}, "
+            f"'distinct_count', d{f.ix})"
+            for f in part
+        )
+        parts.append(df.agg(*sketched).selectExpr(f"inline(array({rows}))"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def metrics_from_counts(
@@ -209,13 +220,26 @@ def metrics_from_counts(
     )
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: (row_count, duplicate_rows), counting every repeat after the first."""
-    keys = [
-        f"{text_key(f.cell) if f.cell_is_text else f.cell} AS k{f.ix}"
-        for f in fields_of(df)
+def row_digest(fields: list[Field]) -> str:
+    """SQL for a 256-bit stand-in of a row: cells with their lengths, NULL apart from any text."""
+    cells = [
+        f"CASE WHEN {text} IS NULL THEN '-' ELSE concat(length({text}), ':', {text}) END"
+        for text in (f"CAST({_binary_as_text(f)} AS STRING)" for f in fields)
     ]
-    copies = df.selectExpr(*keys).groupBy(*[f"k{f.ix}" for f in fields_of(df)]).count()
+    return f"unhex(sha2(concat({', '.join(cells)}), 256))"
+
+
+def _binary_as_text(field: Field) -> str:
+    binary = field.dtype.simpleString() == "binary"
+    return f"hex({sql_name(field.name)})" if binary else field.cell
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """One row: (row_count, duplicate_rows), counting every repeat after the first.
+
+    Rows are compared by their digests, so the shuffle does not grow with the columns.
+    """
+    copies = df.selectExpr(f"{row_digest(fields_of(df))} AS digest").groupBy("digest").count()
     return copies.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"),

@@ -2,8 +2,9 @@
 
 In one dimension the forest's mean path length is a step function of the value. Each
 column's forest is grown in one task from a sample of bounded size and kept as sorted
-breakpoints with a score per step. The sample thins every value's frequency binomially,
-driven by a hash of the value, so neither row order nor partitioning influence it.
+breakpoints with a score per step. Every row enters every tree with the same probability,
+whatever the number of rows: the entries of a value are one binomial draw driven by a
+hash of the value, so neither row order nor partitioning influence them.
 Scoring counts the rows per step; columns with many repeats are reduced to their
 frequencies first, the others are scored where they lie, without a shuffle.
 """
@@ -29,11 +30,10 @@ SEED = 42
 TREES = 100
 TREE_SAMPLE = 256
 
-# Expected sample per column: enough to draw every tree without replacement.
-SAMPLE_SIZE = 28_000
 # Columns whose step functions are shipped to the executors together (about 0.4 MB each).
 COLUMNS_AT_ONCE = 64
-MEDIAN_BUCKETS = 256
+# Of the sketch that brackets a median: its rank is off by at most rows / accuracy.
+MEDIAN_ACCURACY = 10_000
 # Rows per distinct value from which on counting values first pays for its shuffle.
 REPEATS = 20
 
@@ -102,14 +102,15 @@ def _grow_tree(points: np.ndarray, rng: np.random.Generator) -> tuple[list, list
     return splits, leaves
 
 
-def grow_forest(points: np.ndarray, rows: int, seed) -> tuple[np.ndarray, np.ndarray]:
-    """Breakpoints and anomaly scores: step ``i`` ends at breakpoint ``i``, inclusive."""
+def grow_forest(samples: list[np.ndarray], size: int, seed) -> tuple[np.ndarray, np.ndarray]:
+    """Breakpoints and anomaly scores: step ``i`` ends at breakpoint ``i``, inclusive.
+
+    One tree grows from each of the sorted samples, which have ``size`` points expected.
+    """
     rng = np.random.default_rng(seed)
-    size = min(TREE_SAMPLE, rows, len(points))
     breaks, jumps, base = [], [], 0.0
-    for _ in range(TREES):
-        drawn = np.sort(rng.choice(points, size=size, replace=False))
-        splits, leaves = _grow_tree(drawn, rng)
+    for drawn in samples:
+        splits, leaves = _grow_tree(drawn, rng) if len(drawn) else ([], [0.0])
         breaks += splits
         jumps += list(np.diff(leaves))
         base += leaves[0]
@@ -117,7 +118,7 @@ def grow_forest(points: np.ndarray, rows: int, seed) -> tuple[np.ndarray, np.nda
     total = base + np.concatenate([[0.0], np.cumsum(np.asarray(jumps, dtype=float)[order])])
     normal = max(_average_path(size), 1.0)
     # rounding removes the summation noise that would break ties between equal steps
-    scores = np.round(2.0 ** (-total / TREES / normal), 12)
+    scores = np.round(2.0 ** (-total / len(samples) / normal), 12)
     return np.asarray(breaks, dtype=float)[order], scores
 
 
@@ -149,14 +150,19 @@ def _forest_of(pdf: pd.DataFrame) -> pd.DataFrame:
     """One column's sample to its step function and its rows per distinct value."""
     pdf = pdf.sort_values(["number", "seed"])
     rows, p = int(pdf["rows"].iloc[0]), float(pdf["p"].iloc[0])
-    copies = _copies(
-        pdf["freq"].to_numpy(), pdf["u"].to_numpy(), p, pdf["seed"].to_numpy(dtype=np.int64)
-    )
-    points = np.repeat(pdf["number"].to_numpy(dtype=float), copies)
     ix = int(pdf["column_ix"].iloc[0])
-    breaks, scores = grow_forest(points, rows, [SEED, ix])
+    freq, number = pdf["freq"].to_numpy(), pdf["number"].to_numpy(dtype=float)
+    if p >= 1.0:  # every tree sees every row
+        copies = freq
+        samples = [np.repeat(number, freq)] * TREES
+    else:
+        copies = _copies(freq * TREES, pdf["u"].to_numpy(), p, pdf["seed"].to_numpy(dtype=np.int64))
+        points = np.repeat(number, copies)
+        tree = np.random.default_rng([SEED, ix, 1]).integers(0, TREES, len(points))
+        samples = [points[tree == t] for t in range(TREES)]
+    breaks, scores = grow_forest(samples, min(TREE_SAMPLE, rows), [SEED, ix])
     # summed over all rows, 1 / freq gives the number of distinct values
-    repeats = 1.0 / np.average(1.0 / pdf["freq"].to_numpy(dtype=float), weights=copies)
+    repeats = 1.0 / np.average(1.0 / freq.astype(float), weights=copies)
     found = {"column_ix": [ix], "breaks": [breaks], "scores": [scores], "repeats": [repeats]}
     return pd.DataFrame(found)
 
@@ -183,46 +189,42 @@ def column_stats(df: DataFrame, numeric: list[Field]) -> dict[int, ColumnStats]:
     return found
 
 
-def exact_medians(freqs: DataFrame, stats: dict[int, ColumnStats]) -> dict[int, float]:
-    """Exact medians of columns by repeatedly cutting the value range that holds them.
+def exact_medians(cells: DataFrame, stats: dict[int, ColumnStats]) -> dict[int, float]:
+    """Exact medians of columns of (column_ix, number) cells, in two passes.
 
-    ``freqs`` has (column_ix, number, freq), plain rows count once. Each round counts a few hundred buckets per column in one aggregation and keeps the
-    bucket with the wanted rank, until that bucket holds a single value. No group is
-    ever gathered or sorted as a whole.
+    A sketch with a known error gives two values with the median between them. The second
+    pass counts the cells below and keeps the few in between, counted by value, among
+    which the wanted ranks are found.
     """
-    spark = freqs.sparkSession
-    targets = {}
-    for ix, s in stats.items():
-        values = s.rows - s.missing
-        for rank in {(values - 1) // 2, values // 2}:
-            targets[ix, rank] = [s.low, s.high, 0]
-    while any(low < high for low, high, _ in targets.values()):
-        open_ = [(ix, r, lo, hi) for (ix, r), (lo, hi, _) in targets.items() if lo < hi]
-        brackets = spark.createDataFrame(open_, "column_ix int, rank long, low double, high double")
-        place = (F.col("number") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
-        counted = (
-            freqs.join(F.broadcast(brackets), "column_ix")  # two rows per column at most
-            .where(F.col("number").between(F.col("low"), F.col("high")))
-            .groupBy("column_ix", "rank", F.floor(place * MEDIAN_BUCKETS).alias("bucket"))
-            .agg(F.sum("freq").alias("n"), F.min("number").alias("low"), F.max("number").alias("high"))
-            .orderBy("column_ix", "rank", "low")
-            .collect()  # a few hundred buckets per column
+    margin = 3.0 / MEDIAN_ACCURACY
+    around = F.array(F.lit(0.5 - margin), F.lit(0.5 + margin))
+    present = cells.where("number IS NOT NULL").select("column_ix", "number")
+    brackets = present.groupBy("column_ix").agg(
+        F.percentile_approx("number", around, F.lit(MEDIAN_ACCURACY)).alias("around")
+    )
+    inner = F.when(F.col("number") >= F.col("around")[0], F.col("number"))
+    counted = (
+        present.join(F.broadcast(brackets), "column_ix")  # one row per column
+        .where(F.col("number") <= F.col("around")[1])
+        .groupBy("column_ix", inner.alias("number"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    ranks = [(ix, (s.rows - s.missing - 1) // 2, (s.rows - s.missing) // 2) for ix, s in stats.items()]
+    wanted = cells.sparkSession.createDataFrame(ranks, "column_ix int, lower long, upper long")
+    by_value = W.partitionBy("column_ix").orderBy(F.col("number").asc_nulls_first())
+    through, before = F.sum("n").over(by_value), F.col("through") - F.col("n")
+    found = (
+        counted.withColumn("through", through)
+        .join(F.broadcast(wanted), "column_ix")  # one row per column
+        .select(
+            "column_ix",
+            F.when((before <= F.col("lower")) & (F.col("lower") < F.col("through")), F.col("number")).alias("a"),
+            F.when((before <= F.col("upper")) & (F.col("upper") < F.col("through")), F.col("number")).alias("b"),
         )
-        done = set()
-        for row in counted:
-            key = row["column_ix"], row["rank"]
-            if key in done:
-                continue
-            before = targets[key][2]
-            if before + row["n"] > row["rank"]:
-                targets[key] = [row["low"], row["high"], before]
-                done.add(key)
-            else:
-                targets[key][2] = before + row["n"]
-    found: dict[int, list[float]] = {}
-    for (ix, _), (low, _, _) in targets.items():
-        found.setdefault(ix, []).append(low)
-    return {ix: sum(v) / len(v) for ix, v in found.items()}
+        .groupBy("column_ix")
+        .agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    )
+    return {r["column_ix"]: (r["a"] + r["b"]) / 2 for r in found.collect()}  # one row per column
 
 
 # --- the operator -----------------------------------------------------------------
@@ -257,15 +259,16 @@ def _filled(prepared: Prepared) -> Column:
 def survivor(prepared: Prepared) -> Column:
     """The value as (number, freq, u, seed) if any of its rows gets into the sample, or NULL.
 
-    To be applied to a frequency table. At least one of ``freq`` rows survives with
-    probability ``1 - (1 - p) ^ freq``; how many do is settled when the forest is grown.
+    To be applied to a frequency table. Each row enters each tree with the probability
+    ``p = min(1, TREE_SAMPLE / rows)``, so a value gets into the sample with probability
+    ``1 - (1 - p) ^ (TREES * freq)``; how often it does is settled when the forest is grown.
     """
     ix, freq, number = F.col("column_ix"), F.col("freq"), _filled(prepared)
-    rates = {i: min(1.0, SAMPLE_SIZE / s.rows) for i, s in prepared.stats.items() if s.rows}
+    rates = {i: min(1.0, TREE_SAMPLE / s.rows) for i, s in prepared.stats.items() if s.rows}
     p = per_field(prepared.fields, lambda f: rates.get(f.ix)).cast("double")
     seed = F.xxhash64(ix, number, F.lit(SEED))
     u = F.shiftrightunsigned(seed, 11) * F.lit(2.0**-53)
-    alive = (p >= 1.0) | (u < -F.expm1(freq * F.log1p(-F.least(p, F.lit(0.999999)))))
+    alive = (p >= 1.0) | (u < -F.expm1(freq * TREES * F.log1p(-F.least(p, F.lit(0.999999)))))
     value = F.struct(number.alias("number"), freq.alias("freq"), u.alias("u"), seed.alias("seed"))
     return F.when((freq > 0) & p.isNotNull() & alive, value)
 
@@ -278,7 +281,7 @@ def fit_forests(sample: DataFrame, prepared: Prepared) -> dict[int, Forest]:
     rows = per_field(prepared.fields, lambda f: prepared.stats[f.ix].rows)
     forests = (
         sample.select("column_ix", "drawn.*", rows.alias("rows"))
-        .withColumn("p", F.least(F.lit(1.0), SAMPLE_SIZE / F.col("rows")))
+        .withColumn("p", F.least(F.lit(1.0), TREE_SAMPLE / F.col("rows")))
         .groupBy("column_ix")
         .applyInPandas(
             _forest_of,

@@ -2,49 +2,50 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colprobe.functions.types import fields_of, per_field
-from colprobe.operators.frequencies import unfold
+from colprobe.functions.types import Field, fields_of, per_field
+from colprobe.operators.frequencies import COLUMNS_AT_ONCE, unfold
 
-# Last digits of the hash that split a column's values into groups for the bound.
-_GROUPS = "02468ace"
+# Groups of hashes per wanted sample, for the bound.
+_GROUPS = 4
+
+
+def _hashed(df: DataFrame, fields: list[Field]) -> DataFrame:
+    """(column_ix, value, hash, place) of the present cells; the place orders as the hash does."""
+    parts = [
+        unfold(df, "string", fields[start : start + COLUMNS_AT_ONCE], lambda f: f.cell)
+        for start in range(0, len(fields), COLUMNS_AT_ONCE)
+    ]
+    cells = reduce(DataFrame.unionByName, parts).where("value IS NOT NULL")
+    cells = cells.withColumn("hash", F.md5("value"))
+    return cells.withColumn("place", F.conv(F.left("hash", F.lit(15)), 16, 10).cast("bigint"))
 
 
 def column_samples(df: DataFrame, size: int = 5, columns: list[str] | None = None) -> DataFrame:
     """Up to ``size`` distinct non-missing values per column, smallest MD5 first.
 
-    A first pass takes the smallest hash within each of several hash groups. The
-    ``size``-th smallest of those is the hash of a real value, so at least ``size``
-    distinct values lie at or below it: filtering with it loses none of the wanted
-    values and leaves a handful per column to de-duplicate and rank. Columns with too
-    few occupied groups are not filtered; they have few distinct values, which the
-    map-side de-duplication collapses.
+    A first pass takes the smallest hash within each of several hash groups, counted
+    where the cells lie. The ``size``-th smallest of those is the hash of a real value,
+    so at least ``size`` distinct values lie at or below it: filtering with it loses none
+    of the wanted values and leaves a handful per column to de-duplicate and rank.
+    Columns with too few occupied groups are not filtered; they have few distinct values,
+    which the map-side de-duplication collapses. Wide tables are read in parts, each with
+    columns of its own.
     """
-    if size > len(_GROUPS):
-        raise ValueError(f"at most {len(_GROUPS)} samples per column")
     fields = fields_of(df, columns)
-    hashed = df.selectExpr(*[f"md5(CAST({f.cell} AS STRING)) AS h{f.ix}" for f in fields])
-    minima = [
-        f"min(CASE WHEN endswith(h{f.ix}, '{g}') THEN h{f.ix} END) AS m{f.ix}_{g}"
-        for f in fields
-        for g in _GROUPS
-    ]
-    bounds = []
-    for f in fields:
-        present = f"array_compact(array({', '.join(f'm{f.ix}_{g}' for g in _GROUPS)}))"
-        bound = f"get(array_sort({present}), {size - 1})"
-        bounds.append(f"named_struct('column_ix', {f.ix}, 'bound', {bound})")
-    bounds = hashed.agg(*map(F.expr, minima)).selectExpr(f"inline(array({', '.join(bounds)}))")
+    cells = _hashed(df, fields)
+    group = F.pmod(F.xxhash64("place"), F.lit(_GROUPS * size)).alias("group")
+    minima = cells.groupBy("column_ix", group).agg(F.min("place").alias("place"))
+    ordered = F.array_sort(F.collect_list("place"))  # at most as many as there are groups
+    bounds = minima.groupBy("column_ix").agg(F.get(ordered, F.lit(size - 1)).alias("bound"))
     candidates = (
-        unfold(df, "string", fields, lambda f: f.cell)
-        .withColumn("hash", F.md5("value"))
-        .where(F.col("value").isNotNull())
-        .join(F.broadcast(bounds), "column_ix")  # one row per column
-        .where(F.col("bound").isNull() | (F.col("hash") <= F.col("bound")))
+        cells.join(F.broadcast(bounds), "column_ix")  # one row per column
+        .where(F.col("bound").isNull() | (F.col("place") <= F.col("bound")))
         .groupBy("column_ix", "hash", "value")
         .agg(F.lit(1).alias("seen"))
     )

@@ -15,11 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colprobe.functions.patterns import PATTERNS, holds_personal_data, matches
-from colprobe.functions.types import FRACTIONAL, Field, fields_of, sql_text
+from colprobe.functions.types import FRACTIONAL, Field, fields_of, in_passes, sql_text
 
 ALL_MEASURES = ("patterns", "empty", "case", "number")
-# Whole-stage code generation gives up beyond 100 fields (spark.sql.codegen.maxFields).
-LARGEST_AGGREGATE = 96
 
 # Result columns next to the counts that every column has.
 _COUNTS = (
@@ -52,17 +50,6 @@ def _tests(field: Field, measures: tuple[str, ...]) -> dict[str, str]:
     return tests
 
 
-def _passes(planned: list[tuple[Field, dict]]) -> list[list[tuple[Field, dict]]]:
-    passes, size = [[]], 0
-    for field, tests in planned:
-        if passes[-1] and size + len(tests) + 1 > LARGEST_AGGREGATE:
-            passes.append([])
-            size = 0
-        passes[-1].append((field, tests))
-        size += len(tests) + 1
-    return passes
-
-
 def scan_columns(
     df: DataFrame,
     columns: list[str] | None = None,
@@ -75,7 +62,8 @@ def scan_columns(
     planned = [(f, _tests(f, measures)) for f in fields_of(df, columns)]
     if not planned:
         raise ValueError("no column to scan")
-    return reduce(DataFrame.unionByName, [_one_pass(df, part) for part in _passes(planned)])
+    passes = in_passes(planned, lambda item: len(item[1]) + 1)
+    return reduce(DataFrame.unionByName, [_one_pass(df, part) for part in passes])
 
 
 def _one_pass(df: DataFrame, planned: list[tuple[Field, dict]]) -> DataFrame:

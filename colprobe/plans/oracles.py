@@ -670,6 +670,37 @@ FINISHED = f"""
     FROM finished LEFT JOIN listed USING (query_id)"""
 
 
+# The messages of the prompts, with the figures of the customer table.
+PROMPTS = f"""
+    WITH {CITED},
+    contexts AS (SELECT query_id AS label, string_agg('Document ' || rank || ' [#' || citation_id || '] (Source: ' ||
+                        source_filename || ', Page: ' || page || '):' || chr(10) || content || chr(10),
+                        chr(10) ORDER BY rank) AS context FROM cited GROUP BY query_id),
+    private AS (SELECT '{{"overall_privacy_score":' || round(overall_privacy_score, 6) ||
+                       ',"high_risk_columns":"' || high_risk_columns ||
+                       '","high_risk_count":' || high_risk_count || '}}' AS told FROM ({summary('customer')})),
+    sound AS (SELECT '{{"completeness":' || round(completeness, 6) || ',"validity":' || round(validity, 6) ||
+                     ',"overall_quality_score":' || round(overall_quality_score, 6) || '}}' AS told
+              FROM ({quality_scores('customer')})),
+    asked AS (SELECT conv_id || '/' || turn AS query_id, conv_id % 12 AS label, text FROM conversations
+              WHERE role = 'user')
+    SELECT query_id, 0 AS position, 'system' AS role,
+           'You advise owners of a dataset on its privacy risks and its quality before they share '
+           || 'it. Tie every recommendation to the figures below, name the trade-offs, and decline '
+           || 'questions that are not about data sharing.' || chr(10) || chr(10)
+           || 'Current dataset context:' || chr(10) || private.told || chr(10) || sound.told || chr(10) AS content
+    FROM asked, private, sound
+    UNION ALL
+    SELECT query_id, 1, 'system', 'Relevant Singapore policy information: '
+           || coalesce(context, 'No specific Singapore policy information found for this query.')
+    FROM asked LEFT JOIN contexts USING (label)
+    UNION ALL
+    SELECT query_id, 2, 'system', 'When referencing policies, use citation markers like [1], [2], etc. '
+           || 'and provide a list of references at the end.' FROM asked
+    UNION ALL
+    SELECT query_id, 3, 'human', text FROM asked"""
+
+
 def report(source: str) -> str:
     """The report row of a table, every column taken to be accurate."""
     levels = assessed(source)
@@ -713,7 +744,9 @@ ORACLES: dict[str, str] = {
     "dataset_overview": "SELECT count(*) AS num_rows, 6 AS num_columns, "
     f"{quoted(', '.join(TABLES['orders']))} AS column_names FROM orders",
     "corpus_load": "SELECT doc_id, source, 0 AS page, text FROM documents",
-    "chunk_store": f"SELECT doc_id, chunk_index, chunk_text FROM ({CHUNKS})",
+    "chunk_store": f"SELECT c.doc_id, chunk_index, chunk_text, coalesce(len(embedding), 0)::INTEGER AS dimensions, "
+    "round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last "
+    f"FROM ({CHUNKS}) c LEFT JOIN embeddings ON vec_id = c.doc_id",
     "corpus_stats": "SELECT count(*) AS document_chunks, count(DISTINCT doc_id) AS documents, "
     f"CASE WHEN count(*) = 0 THEN 'No documents ingested' ELSE 'Ready' END AS status FROM ({CHUNKS})",
     # column primitives
@@ -983,7 +1016,37 @@ ORACLES: dict[str, str] = {
                {section('u.text')} AS section, 'conversations' AS source, u.turn::VARCHAR AS page,
                CASE WHEN length(u.text) > 200 THEN left(u.text, 200) || '...' ELSE u.text END AS preview
         FROM answers a JOIN users u ON a.conv_id = u.conv_id AND a.n = u.n""",
+    "prompt_frames": PROMPTS,
+    "chunk_checks": "SELECT doc_id, true AS all_short, true AS all_inside, true AS all_unit, true AS all_words "
+    "FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0",
+    "report_fields": f"""
+        SELECT 'Data Privacy and Quality Analysis' AS report_type, '2024-01-01T00:00:00' AS timestamp,
+               'customer' AS name, {rows_of('customer')} AS num_rows, {len(TABLES['customer'])} AS num_columns,
+               round(overall_privacy_score, 6) AS overall_privacy_score,
+               round(avg_shannon_entropy, 6) AS avg_shannon_entropy,
+               round(avg_hartley_measure, 6) AS avg_hartley_measure,
+               round(completeness, 6) AS completeness, round(validity, 6) AS validity,
+               round(uniqueness, 6) AS uniqueness, round(integrity, 6) AS integrity,
+               round(consistency, 6) AS consistency, ({duplicates_of('customer')})::BIGINT AS duplicate_rows
+        FROM ({summary('customer')}), ({quality_scores('customer')})""",
+    "accuracy_checks": union(
+        [
+            f"SELECT '{c}' AS column_name, count(*) AS num_rows, true AS only_numeric, "
+            "true AS at_most_a_tenth, true AS adds_up FROM orders"
+            for c in TABLES["orders"]
+        ]
+    ),
     # interactions and streams
+    "chat_append": """
+        WITH first AS (SELECT conv_id, arg_min(text, turn) AS asked FROM conversations
+                       WHERE role = 'user' GROUP BY conv_id),
+        ends AS (SELECT conv_id, max(turn) + 1 AS next FROM conversations GROUP BY conv_id)
+        SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL
+        SELECT conv_id, next, 'user', 'Again: ' || asked FROM first JOIN ends USING (conv_id)
+        UNION ALL
+        SELECT conv_id, next + 1, 'assistant', 'As said: ' || left(asked, 20)
+        FROM first JOIN ends USING (conv_id)""",
     "feedback_latest": FEEDBACK,
     "chat_history": "SELECT conv_id, turn, role, text AS content FROM conversations",
     "stream_value_frequencies": frequencies("events"),

@@ -27,6 +27,21 @@ from colprobe.operators.scan import scan_columns
 from colprobe.session import stage
 
 
+# Columns of the overall row that make up the privacy section of a report.
+PRIVATE = (
+    "overall_privacy_score",
+    "overall_privacy_factor",
+    "avg_shannon_entropy",
+    "avg_hartley_measure",
+    "high_risk_columns",
+    "medium_risk_columns",
+    "low_risk_columns",
+    "high_risk_count",
+    "medium_risk_count",
+    "low_risk_count",
+)
+
+
 class TableProfile:
     """Privacy and quality of one table.
 
@@ -156,7 +171,7 @@ class TableProfile:
             )
         # each row fills other columns
         document = rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns])
-        private = [c for c in document.columns if "risk" in c or "privacy" in c or "avg_" in c]
+        private = [c for c in PRIVATE if c in document.columns]
         sound = [*quality.WEIGHTS, "overall_quality_score", "duplicate_rows"]
         dataset = F.struct(
             F.lit(name).alias("name"),

@@ -19,6 +19,7 @@ from colprobe.operators import embedding as emb
 from colprobe.operators import frequencies as freq
 from colprobe.operators import privacy, quality, samples, scan
 from colprobe.operators.outliers import outliers
+from colprobe.operators.prompts import prompt_batch as prompts_of
 from colprobe.plans import corpus as corpus_plans
 from colprobe.plans.profile import TableProfile
 from colprobe.session import new_path, spread, stage
@@ -136,9 +137,20 @@ def corpus_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks stored with the vector of their document, and opened again."""
+    stored = vectors(spark, sf_dir).select(F.col("id").alias("doc_id"), "vector")
+    chunks = chunking.chunk_fixed(corpus(spark, sf_dir)).join(stored, "doc_id", "left")
     path = new_path(spark, "chunks")
-    corpus_source.save_chunks(chunking.chunk_fixed(corpus(spark, sf_dir)), path)
-    return corpus_source.open_chunks(spark, path).select("doc_id", "chunk_index", "chunk_text")
+    corpus_source.save_chunks(chunks.withColumnRenamed("vector", "embedding"), path)
+    opened = corpus_source.open_chunks(spark, path)
+    return opened.select(
+        "doc_id",
+        "chunk_index",
+        "chunk_text",
+        F.size(F.coalesce("embedding", F.array().cast("array<float>"))).alias("dimensions"),
+        F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"),
+        F.round(F.get("embedding", F.lit(63)).cast("double"), 6).alias("last"),
+    )
 
 
 @query
@@ -146,11 +158,6 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_source.corpus_stats(chunking.chunk_fixed(corpus(spark, sf_dir)))
 
 
-@query
-def corpus_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_source.corpus_listing(spark, sf_dir, "*.parquet", recursive=True)
-
-
 # --- column primitives --------------------------------------------------------------
 
 
@@ -797,6 +804,107 @@ def prompt_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_plans.prompts_for(questions, chunks, model)
 
 
+@query
+def prompt_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of a prompt for every user turn, with the profile of the customers.
+
+    Passages are those of the label that the conversation's number names; two of twelve
+    have none.
+    """
+    profile = TableProfile(table(spark, sf_dir, "customer"), with_accuracy=False)
+    users = table(spark, sf_dir, "conversations").where("role = 'user'")
+    contexts = stage(citations.context_text(label_citations(spark, sf_dir)), "contexts")
+    asked = users.select(
+        F.concat_ws("/", "conv_id", "turn").alias("query_id"),
+        F.col("text").alias("question"),
+        (F.col("conv_id") % 12).alias("label"),
+    )
+    own = asked.join(contexts.withColumnRenamed("query_id", "label"), "label")
+    prompts = prompts_of(
+        asked.select("query_id", "question"),
+        own.select("query_id", "context"),
+        shown(
+            profile.privacy_summary(), "overall_privacy_score", "high_risk_columns", "high_risk_count"
+        ),
+        shown(profile.quality_summary(), "completeness", "validity", "overall_quality_score"),
+    )
+    return prompts.select(
+        "query_id", F.posexplode("messages").alias("position", "message")
+    ).select("query_id", "position", "message.role", "message.content")
+
+
+@query
+def chunk_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has to hold for the recursive chunks of every document and their vectors."""
+    documents = corpus(spark, sf_dir)
+    chunks, _ = corpus_plans.ingest(documents)
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    whole = documents.select("doc_id", F.col("text").alias("whole"))
+    each = chunks.join(whole, "doc_id").select(
+        "doc_id",
+        (F.length("text") <= 1000).alias("short"),
+        F.contains("whole", "text").alias("inside"),
+        ((F.abs(norm - 1) < 1e-5) | (norm == 0)).alias("unit"),
+        words.alias("words"),
+    )
+    found = each.groupBy("doc_id").agg(
+        F.bool_and("short").alias("all_short"),
+        F.bool_and("inside").alias("all_inside"),
+        F.bool_and("unit").alias("all_unit"),
+        F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"),
+    )
+    every = documents.select("doc_id", words.alias("wanted"))
+    return found.join(every, "doc_id").select(
+        "doc_id",
+        "all_short",
+        "all_inside",
+        "all_unit",
+        (F.size(F.array_except("wanted", "words")) == 0).alias("all_words"),
+    )
+
+
+@query
+def report_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the JSON report says, but for what depends on the outlier model."""
+    report = json_report(spark, sf_dir)
+
+    def field(path: str, kind: str) -> Column:
+        return F.get_json_object("report", f"$.{path}").cast(kind).alias(path.split(".")[-1])
+
+    return shown(
+        report.select(
+            field("report_type", "string"),
+            field("timestamp", "string"),
+            field("dataset.name", "string"),
+            field("dataset.num_rows", "bigint"),
+            field("dataset.num_columns", "int"),
+            *[field(f"privacy_analysis.{n}", "double") for n in REPORTED_PRIVACY],
+            *[field(f"quality_analysis.{n}", "double") for n in REPORTED_QUALITY],
+            field("quality_analysis.duplicate_rows", "bigint"),
+        )
+    )
+
+
+REPORTED_PRIVACY = ("overall_privacy_score", "avg_shannon_entropy", "avg_hartley_measure")
+REPORTED_QUALITY = ("completeness", "validity", "uniqueness", "integrity", "consistency")
+
+
+@query
+def accuracy_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has to hold for the outliers of every column of the orders."""
+    df = table(spark, sf_dir, "orders")
+    numeric = F.col("column_name").isin([f.name for f in fields_of(df) if f.is_numeric])
+    rows = df.agg(F.count("*").alias("num_rows"))
+    return outliers(df).crossJoin(F.broadcast(rows)).select(  # rows is one row
+        "column_name",
+        "num_rows",
+        (numeric | (F.col("outlier_count") == 0)).alias("only_numeric"),
+        (F.col("outlier_count") <= F.ceil(F.col("num_rows") * 0.1)).alias("at_most_a_tenth"),
+        (F.abs(F.col("outlier_percentage") + F.col("accuracy_score") - 1) < 1e-9).alias("adds_up"),
+    )
+
+
 # --- interactions and streams ----------------------------------------------------------------
 
 
@@ -824,6 +932,19 @@ def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.chat_history(users, turns.where(F.col("role") != "user"))
 
 
+@query
+def chat_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with one exchange appended: its first question asked again."""
+    turns = table(spark, sf_dir, "conversations")
+    first = turns.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("asked"))
+    exchanges = first.select(
+        "conv_id",
+        F.concat(F.lit("Again: "), "asked").alias("question"),
+        F.concat(F.lit("As said: "), F.left("asked", F.lit(20))).alias("answer"),
+    )
+    return interactions.append_turns(turns, exchanges)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # as a glob the path may be a single file as well as a folder of files

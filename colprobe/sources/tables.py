@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colprobe.functions.types import fields_of, ref
+from colprobe.functions.types import Field, fields_of, in_passes, ref
 
 # Cell texts that mean "missing".
 MISSING_TOKENS = (
@@ -99,21 +99,13 @@ def _names_a_time(name: str) -> bool:
 
 
 def infer_types(texts: DataFrame) -> dict[str, T.DataType]:
-    """Narrowest type all present cells of each column agree on; one aggregation."""
-    aggregates = []
-    for field in fields_of(texts):
-        cell = ref(field.name)
-        whole = cell.rlike(_WHOLE) & F.trim(cell).try_cast("bigint").isNotNull()
-        tests = {
-            "n": cell.isNotNull(),
-            "w": whole,
-            "d": cell.rlike(_DECIMAL),
-            "b": cell.isin(*_BOOLEAN),
-        }
-        if _names_a_time(field.name):
-            tests["t"] = cell.try_cast("timestamp_ntz").isNotNull()
-        aggregates += [F.count_if(test).alias(f"{key}{field.ix}") for key, test in tests.items()]
-    counts = texts.agg(*aggregates).first().asDict()
+    """Narrowest type all present cells of each column agree on.
+
+    One aggregation, or as many as a wide table needs, each over columns of its own.
+    """
+    counts: dict[str, int] = {}
+    for part in in_passes(fields_of(texts), lambda field: 5):
+        counts |= texts.agg(*_type_tests(part)).first().asDict()
     found = {}
     for field in fields_of(texts):
         present = counts[f"n{field.ix}"]
@@ -134,6 +126,23 @@ def infer_types(texts: DataFrame) -> dict[str, T.DataType]:
     return found
 
 
+def _type_tests(fields: list[Field]) -> list[Column]:
+    aggregates = []
+    for field in fields:
+        cell = ref(field.name)
+        whole = cell.rlike(_WHOLE) & F.trim(cell).try_cast("bigint").isNotNull()
+        tests = {
+            "n": cell.isNotNull(),
+            "w": whole,
+            "d": cell.rlike(_DECIMAL),
+            "b": cell.isin(*_BOOLEAN),
+        }
+        if _names_a_time(field.name):
+            tests["t"] = cell.try_cast("timestamp_ntz").isNotNull()
+        aggregates += [F.count_if(test).alias(f"{key}{field.ix}") for key, test in tests.items()]
+    return aggregates
+
+
 def normalize(df: DataFrame) -> DataFrame:
     """NaN becomes NULL, negative zero becomes zero, nested columns become JSON text."""
     return df.select(*[f.clean().alias(f.name) for f in fields_of(df)])

@@ -1,6 +1,10 @@
 import pytest
 
-from colprobe.functions.dates import IllegalFormat, to_spark_format
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from colprobe.functions.dates import IllegalFormat, follows, to_spark_format
 from colprobe.operators.constraints import (
     apply_constraints,
     constraint_summary,
@@ -101,5 +105,61 @@ def test_formats():
     assert to_spark_format("%d o'clock") == "d 'o''clock'"
     with pytest.raises(IllegalFormat):
         to_spark_format("%Q")
-    with pytest.raises(NotImplementedError):
-        to_spark_format("%A")
+
+
+def parses(text, fmt):
+    try:
+        datetime.strptime(text, fmt)
+        return True
+    except ValueError:
+        return False
+
+
+@pytest.mark.parametrize(
+    "fmt",
+    [
+        "%a %d %b %Y",
+        "%A, %d. %B %Y",
+        "%d/%m/%Y %w",
+        "%c",
+        "%x",
+        "%X",
+        "%x %X",
+        "%Y week %U",
+        "%Y-%m-%d %Z",
+        "%a",
+        "%d %b %Y at %I:%M %p",
+        "%Y-%m-%dT%H:%M:%S",
+    ],
+)
+def test_dates_follow_strptime(spark, fmt):
+    texts = [
+        "Mon 05 Feb 2024", "mon 5 feb 2024", "Xyz 05 Feb 2024", "Fri 31 Feb 2024",
+        "Sunday, 7. July 2024", "Sun, 7. July 2024", "07/07/2024 3", "07/07/2024 7",
+        "Mon Feb  5 10:11:12 2024", "Mon Feb 5 25:11:12 2024", "02/29/24", "02/29/23", "13/01/24",
+        "10:11:12", "24:00:00", "02/29/24 10:11:12", "2024 week 53", "2024 week 54",
+        "2024-02-03 UTC", "2024-02-03 gmt", "2024-02-03 XYZ", "Tue", "tuesday", "", "x",
+        "5 Feb 2024 at 11:05 pm", "5 Feb 2024 at 13:05 pm", "2024-02-03T04:05:06",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", follows(F.col("t"), fmt).alias("found")).collect()
+    assert {r["t"]: r["found"] for r in rows} == {t: parses(t, fmt) for t in texts}
+
+
+def test_an_unusable_format_fails_its_own_row_only(people):
+    rows = apply_constraints(
+        people,
+        [
+            {"column": "day", "type": "date_format", "value": "%G-%V"},
+            {"column": "id", "type": "not_null", "value": ""},
+        ],
+    ).collect()
+    assert [r["passed"] for r in rows] == [False, True]
+    assert rows[0]["error"] == "Date format directive %G is not supported"
+
+
+def test_long_lists_of_constraints(people):
+    many = [{"column": "id", "type": "min_value", "value": str(n)} for n in range(300)]
+    rows = apply_constraints(people, many).collect()
+    assert [r["constraint_ix"] for r in rows] == list(range(300))
+    assert [r["pass_rate"] for r in rows[:5]] == [1.0, 1.0, 0.75, 0.25, 0.25]

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from colprobe.functions.types import fields_of
 from colprobe.operators import outliers as mod
-from colprobe.operators.frequencies import frequency_counts
 
 
 def counts(df):
@@ -40,7 +39,10 @@ def test_both_ways_of_scoring_agree(spark, monkeypatch):
 def test_planted_extreme_is_isolated():
     rng = np.random.default_rng(1)
     points = np.sort(np.append(rng.normal(size=500), 1000.0))
-    breaks, scores = mod.grow_forest(points, len(points), [42, 0])
+    rng = np.random.default_rng(4)
+    samples = [np.sort(rng.choice(points, 256, replace=False)) for _ in range(mod.TREES)]
+    samples[0] = samples[0][:0]  # a tree may stay without points
+    breaks, scores = mod.grow_forest(samples, 256, [42, 0])
     assert np.all(np.diff(breaks) >= 0)
     assert len(scores) == len(breaks) + 1
     step = np.searchsorted(breaks, points, side="left")
@@ -82,25 +84,39 @@ def test_thinning_keeps_the_distribution():
     assert total / draws == pytest.approx(freq * p, rel=0.15, abs=0.01)
 
 
-def test_large_columns_are_sampled(spark, monkeypatch):
-    monkeypatch.setattr(mod, "SAMPLE_SIZE", 1000)
-    df = spark.range(20000).select(
-        (F.pmod(F.xxhash64("id"), F.lit(5000)) / 7.0).alias("x"), F.lit(3).alias("same")
-    )
-    found = counts(df)
-    assert 1500 <= found["x"] <= 2100
-    assert found["same"] == 0
+def test_columns_of_all_sizes_follow_one_rule(spark):
+    for rows in (200, 256, 300, 20000):
+        df = spark.range(rows).select(
+            (F.pmod(F.xxhash64("id"), F.lit(5000)) / 7.0).alias("x"), F.lit(3).alias("same")
+        )
+        found = counts(df)
+        assert 0.07 * rows <= found["x"] <= 0.105 * rows
+        assert found["same"] == 0
 
 
 def test_exact_medians(spark, monkeypatch):
-    monkeypatch.setattr(mod, "MEDIAN_BUCKETS", 4)
     df = spark.range(1001).selectExpr(
         "double(pmod(xxhash64(id), 97)) - 40 AS a",
         "CASE WHEN id % 3 > 0 THEN exp(double(id) / 50) END AS b",
         "CASE WHEN id = 7 THEN 2.5D END AS c",
     )
-    freqs = frequency_counts(df).where("freq > 0")
-    stats = mod.column_stats(df, fields_of(df))
-    found = mod.exact_medians(freqs, stats)
+    fields = fields_of(df)
+    stats = mod.column_stats(df, fields)
     expected = df.agg(*[F.median(c) for c in "abc"]).first()
-    assert [found[i] for i in range(3)] == pytest.approx(list(expected))
+    for accuracy in (10_000, 20):
+        monkeypatch.setattr(mod, "MEDIAN_ACCURACY", accuracy)
+        found = mod.exact_medians(mod._cells(df, fields), stats)
+        assert [found[i] for i in range(3)] == pytest.approx(list(expected))
+
+
+def test_medians_take_as_many_jobs_for_any_data(spark):
+    def jobs(expression):
+        df = spark.range(20_000).selectExpr(f"CASE WHEN id % 5 > 0 THEN {expression} END AS x")
+        group = f"medians {expression}"
+        spark.sparkContext.setJobGroup(group, group)
+        prepared = mod.prepare(df)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert prepared.medians[0] == pytest.approx(df.agg(F.median("x")).first()[0])
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs("exp(double(id) / 50)") == jobs("double(id)")

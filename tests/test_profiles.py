@@ -3,6 +3,7 @@
 import datetime
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -12,6 +13,7 @@ from colprobe.operators import assess, privacy, quality, samples, scan
 from colprobe.operators import frequencies as freq
 from colprobe.plans.profile import TableProfile, write_report
 from colprobe.session import new_path
+from colprobe.sources import tables
 
 
 def by_column(df):
@@ -306,3 +308,31 @@ def test_dates_are_counted_as_dates(spark):
     df = spark.createDataFrame([(day,), (day,), (None,)], "t timestamp")
     found = by_column(privacy.entropy_profile(df))["t"]
     assert found["privacy_factor"] == pytest.approx((0.5 + 0.0) / 2)
+
+
+def test_duplicates_compare_digests_of_whole_rows(spark):
+    rows = [("a", None), ("a", ""), ("a", "NULL"), ("a", "-"), (None, "a"), ("1:a", "b"), ("1", ":a1:b"), ("a", None)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    found = freq.duplicate_rows(df)
+    assert tuple(found.first()) == (8, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(digest" in plan
+
+
+def test_large_samples_and_wide_tables(spark):
+    one = spark.range(100).selectExpr("id % 30 AS v")
+    assert samples.column_samples(one, 20).count() == 20
+    assert samples.column_samples(one, 50).count() == 30
+    wide = spark.range(50).selectExpr(*[f"id * {n} AS c{n}" for n in range(1000)])
+    began = time.monotonic()
+    found = samples.column_samples(wide).groupBy("column_name").count()
+    assert found.where("count = 5").count() == 999  # c0 has one value
+    assert time.monotonic() - began < 120
+    assert freq.approximate_distinct_counts(wide).where("distinct_count > 1").count() == 999
+    assert freq.duplicate_rows(wide).first()["duplicate_rows"] == 0
+
+
+def test_types_of_a_wide_file(spark):
+    wide = spark.range(3).selectExpr(*[f"cast(id * {n} AS string) AS c{n}" for n in range(150)])
+    found = tables.infer_types(wide)
+    assert len(found) == 150 and {t.simpleString() for t in found.values()} == {"bigint"}
