@@ -24,6 +24,7 @@ WEIGHTS = {
     "integrity": 0.10,
     "consistency": 0.15,
 }
+# Weights of the legacy quality score.
 LEGACY_WEIGHTS = {"missing": 0.5, "outlier": 0.3, "consistency": 0.2}
 # A column name holding one of these marks a likely identifier.
 ID_MARKS = ("id", "key", "code", "num", "uuid")
@@ -286,13 +287,6 @@ def uniqueness_overall(df: DataFrame) -> DataFrame:
     )
 
 
-def quality_columns(df: DataFrame, strict_strings: bool = False) -> DataFrame:
-    """All column metrics of all dimensions, one row per column, accuracy taken as 1."""
-    scanned = scan_columns(df, measures=("empty", "case", "number"))
-    joined = frequency_metrics(df).join(F.broadcast(per_cell_counts(scanned)), "column_ix")
-    return with_quality(joined, fields_of(df), None, strict_strings)
-
-
 def per_cell_counts(scanned: DataFrame) -> DataFrame:
     """The scan without what the frequency metrics hold too; one row per column."""
     return scanned.drop("column_name", "total_count", "missing_count", "value_count")

@@ -6,9 +6,65 @@ the table, so the SQL shares no structure with the Spark plans it checks.
 
 from __future__ import annotations
 
-from colprobe.functions.patterns import PATTERNS
-from colprobe.operators import assess
-from colprobe.operators.privacy import ADVICE, RISK_LEVELS
+# Fixed values, written out here so that the SQL does not lean on what it checks.
+PATTERNS = {
+    'email': r'\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b',
+    'phone': r'\b(\+\d{1,3}[- ]?)?\(?\d{3}\)?[- ]?\d{3}[- ]?\d{4}\b',
+    'credit_card': r'\b(?:\d{4}[- ]?){3}\d{4}\b',
+    'singapore_nric': r'\b[STFG]\d{7}[A-Z]\b',
+    'address': r'\b\d+\s+[A-Za-z]+\s+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd)\b',
+    'date_of_birth': r'\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b',
+    'ip_address': r'\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b',
+}
+RISK_LEVELS = {
+    "High Risk": (
+        "Your data contains sensitive information that needs protection.",
+        "Apply masking or anonymization to high-risk fields before sharing.",
+    ),
+    "Medium Risk": (
+        "Your data has some privacy concerns to address.",
+        "Review medium-risk fields and consider privacy-enhancing techniques.",
+    ),
+    "Low Risk": (
+        "Your data appears to have good privacy protection.",
+        "Continue with your current anonymization approach.",
+    ),
+}
+ADVICE = {
+    "High Risk": [
+        "Apply data masking or tokenization to personally identifiable information",
+        "Consider aggregating or generalizing sensitive fields",
+        "Remove unique identifiers or replace with category values",
+        "Implement k-anonymity to prevent re-identification",
+        "Obtain explicit consent before sharing this dataset",
+    ],
+    "Medium Risk": [
+        "Review and transform high-risk fields to reduce identifiability",
+        "Consider data generalization techniques (e.g., age ranges instead of exact ages)",
+        "Document privacy measures taken for data sharing compliance",
+        "Implement access controls when sharing this dataset",
+    ],
+    "Low Risk": [
+        "Document the privacy-preserving measures already in place",
+        "Maintain current anonymization levels in future updates",
+        "Consider periodic re-assessment if data structure changes",
+    ],
+}
+RISKY_AND_POOR = (
+    "This dataset presents significant privacy risks and poor data quality. Consider substantial revisions before sharing."
+)
+RISKY_BUT_GOOD = (
+    "While the data quality is good, the high privacy risk requires mitigation measures before sharing."
+)
+SAFE_BUT_POOR = (
+    "The data has low privacy risk but poor quality. Focus on improving data quality before sharing."
+)
+SAFE_AND_GOOD = (
+    "This dataset has both low privacy risk and good quality, making it suitable for sharing with minimal changes."
+)
+IN_BETWEEN = (
+    "Consider addressing both privacy and quality aspects before sharing this dataset."
+)
 
 N, S, T = "numeric", "string", "datetime"
 
@@ -525,11 +581,11 @@ def assessed(source: str) -> str:
                    AS privacy_level,
                CASE WHEN {q} < 0.4 THEN 'poor' WHEN {q} < 0.7 THEN 'moderate' ELSE 'good' END
                    AS quality_level,
-               CASE WHEN {p} > 0.7 AND {q} < 0.4 THEN {quoted(assess.RISKY_AND_POOR)}
-                    WHEN {p} > 0.7 AND {q} > 0.7 THEN {quoted(assess.RISKY_BUT_GOOD)}
-                    WHEN {p} < 0.4 AND {q} < 0.4 THEN {quoted(assess.SAFE_BUT_POOR)}
-                    WHEN {p} < 0.4 AND {q} > 0.7 THEN {quoted(assess.SAFE_AND_GOOD)}
-                    ELSE {quoted(assess.IN_BETWEEN)} END AS recommendation
+               CASE WHEN {p} > 0.7 AND {q} < 0.4 THEN {quoted(RISKY_AND_POOR)}
+                    WHEN {p} > 0.7 AND {q} > 0.7 THEN {quoted(RISKY_BUT_GOOD)}
+                    WHEN {p} < 0.4 AND {q} < 0.4 THEN {quoted(SAFE_BUT_POOR)}
+                    WHEN {p} < 0.4 AND {q} > 0.7 THEN {quoted(SAFE_AND_GOOD)}
+                    ELSE {quoted(IN_BETWEEN)} END AS recommendation
         FROM ({summary(source)}), ({quality_scores(source)})"""
 
 
