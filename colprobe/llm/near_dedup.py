@@ -18,8 +18,8 @@ SIMILARITY = 0.8
 # Of two texts at the threshold, 1 - (1 - 0.8^5)^30 = 0.99999 share a band.
 BANDS, BAND_ROWS = 30, 5
 REGISTERS = BANDS * BAND_ROWS
-# Largest bucket whose members of different groups are compared at once.
-BUCKET = 64
+# Largest bucket whose members of different groups are all compared.
+BUCKET = 32
 REMEMBERED_WORDS = 500_000
 
 _U = np.uint64
@@ -65,8 +65,9 @@ class Shingler:
         return np.unique(total, return_counts=True)
 
 
-def digest(shingles: np.ndarray, counts: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(shingles.tobytes() + counts.tobytes())
+def digest(shingles: np.ndarray, counts: np.ndarray) -> int:
+    """The number by which equal multisets know each other."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes() + counts.tobytes()) - (1 << 63)
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -174,13 +175,13 @@ def sketches(docs: DataFrame) -> DataFrame:
             weight = np.bincount(owner, counts, size).astype(np.int64)
             columns = [
                 batch.column("doc_id").cast(kind),
-                pa.array([digest(s, c) for s, c in each], pa.binary()),
+                pa.array([digest(s, c) for s, c in each], pa.int64()),
                 pa.array(weight),
                 pa.FixedSizeListArray.from_arrays(bands.ravel(), BANDS).cast(pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "weight", "bands"])
 
-    schema = f"doc_id {id_type(docs)}, node binary, weight bigint, bands array<bigint>"
+    schema = f"doc_id {id_type(docs)}, node bigint, weight bigint, bands array<bigint>"
     return texts(docs).mapInArrow(run, schema)
 
 
@@ -201,12 +202,13 @@ def _multisets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 if digest(shingles, counts) == node:  # ids may repeat with other texts
                     bag = np.sort(np.repeat((shingles >> _U(32)).astype("<u4"), counts))
                     rows.append((node, bag.tobytes()))
+            kinds = (pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[n] for r in rows], pa.binary()) for n in (0, 1)], names=["node", "bag"]
+                [pa.array([r[n] for r in rows], kinds[n]) for n in (0, 1)], names=["node", "bag"]
             )
 
     needed = texts(docs).join(shipped_if_small(nodes), "doc_id").select("node", "text")
-    return needed.mapInArrow(run, "node binary, bag binary").dropDuplicates(["node"])
+    return needed.mapInArrow(run, "node bigint, bag binary").dropDuplicates(["node"])
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -221,11 +223,8 @@ def overlap(a: bytes, b: bytes) -> float:
     return common / max(len(both) - common, 1)
 
 
-def similar(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose multisets overlap enough; staged."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = stage(reps.join(ends, "node").select("doc_id", "node"), "ends")
-    bags = stage(_multisets(docs, needed), "bags")
 
     def named(end: str) -> DataFrame:
         return bags.select(F.col("node").alias(end), F.col("bag").alias(f"bag_{end}"))
@@ -236,8 +235,8 @@ def similar(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
             near = [overlap(a, b) >= SIMILARITY for a, b in zip(*bags, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    joined = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "bag_a", "bag_b")
-    return stage(joined.mapInArrow(verify, "a binary, b binary"), "links")
+    joined = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "bag_a", "bag_b")
+    return stage(joined.mapInArrow(verify, "a bigint, b bigint"), "links")
 
 
 def _near_weight(a: Column, b: Column) -> Column:
@@ -245,78 +244,111 @@ def _near_weight(a: Column, b: Column) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * SIMILARITY
 
 
-def star_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b): every member of a bucket with the bucket's first node."""
-    first = F.min(F.struct("node", "weight")).alias("first")
-    firsts = buckets.groupBy("key").agg(first, F.count("*").alias("size")).where("size > 1")
-    pairs = buckets.join(firsts, "key").where(
-        (F.col("node") != F.col("first.node")) & _near_weight(F.col("weight"), F.col("first.weight"))
+def _pairs(pivots: DataFrame, rows: DataFrame, also: Column | None = None) -> DataFrame:
+    """(a, b): the pivot of each bucket (key, pivot, pivot_weight) with other members."""
+    near = (F.col("node") != F.col("pivot")) & _near_weight(F.col("weight"), F.col("pivot_weight"))
+    met = rows.join(pivots, "key").where(near if also is None else near & also)
+    return met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+
+
+def crowded(drawn: DataFrame) -> DataFrame:
+    """(key, node, weight, size, score): members of buckets that hold several multisets; staged.
+
+    The buckets are found by counts that meet early; only their keys are joined to the
+    band keys of all rows. The score of a node adds up the sizes of its buckets: the
+    text that others were copied from shares most with them.
+    """
+    banded = drawn.select("node", "weight", F.explode("bands").alias("key"))
+    ends = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    keys = stage(ends.where("low != high").select("key"), "buckets")
+    members = banded.join(shipped_if_small(keys), "key")
+    members = stage(members.groupBy("key", "node").agg(F.min("weight").alias("weight")), "members")
+    sizes = shipped_if_small(stage(members.groupBy("key").agg(F.count("*").alias("size")), "sizes"))
+    sized = members.join(sizes, "key")
+    scores = sized.groupBy("node").agg(F.sum("size").alias("score"))
+    return stage(sized.join(shipped_if_small(stage(scores, "scores")), "node"), "crowded")
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): every member of a bucket with the bucket's member of highest score."""
+    best = F.max(F.struct("score", "node", "weight")).alias("best")
+    pivots = members.groupBy("key").agg(best).select(
+        "key", F.col("best.node").alias("pivot"), F.col("best.weight").alias("pivot_weight")
     )
-    return pairs.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    return _pairs(shipped_if_small(stage(pivots, "pivots")), members).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that links lead to; nodes without links are left out.
 
     Alternates between linking all larger neighbours and all smaller neighbours of a
-    node to the smallest one, until nothing changes; rounds grow with the logarithm of
-    the nodes. Neighbourhoods are never gathered.
+    node to the smallest one, until every node is linked to one root that is linked to
+    none; rounds grow with the logarithm of the nodes. Neighbourhoods are never gathered.
     """
-    edges = stage(links.where("a != b").distinct(), "edges")
-    mark = None
+    edges = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = stage(edges, "edges")
     while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = edges.select("a", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+            edges.select(F.col("b").alias("a"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+        )
+        ends = ends.groupBy("a").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        if ends.where("down > 1 OR (down > 0 AND up > 0)").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
-        large = large.where("a != b").distinct()
-        down = stage(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "large")
+        large = both.where("b > a").join(least, "a")
+        large = large.select(F.col("b").alias("a"), F.col("root").alias("b")).where("a != b")
+        down = stage(large, "large")
         low = down.groupBy("a").agg(F.min("b").alias("root"))
-        small = down.join(low, "a")
         small = (
-            small.select(F.col("b").alias("a"), F.col("root").alias("b"))
+            down.join(low, "a")
+            .select(F.col("b").alias("a"), F.col("root").alias("b"))
             .unionByName(low.select("a", F.col("root").alias("b")))
             .where("a != b")
             .distinct()
         )
         edges = stage(small, "small")
-        seen = edges.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")
-        ).first()
-        if seen == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = seen
 
 
-def cross_pairs(buckets: DataFrame, rooted: DataFrame, tried: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b): pairs in a bucket whose groups differ and that have not been compared.
-
-    Members of one group need no comparison. Buckets beyond BUCKET members are parted
-    by the key of every further band, since similar texts share many bands; a bucket
-    that stays large even so is compared whole, by a join that is split where it is
-    skewed.
-    """
+def mixed_buckets(members: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Members of buckets with several groups, their group and the bucket's main one; staged."""
     group = F.coalesce("root", "node").alias("group")
-    rows = buckets.join(rooted, "node", "left").select("key", "node", "weight", group)
-    mixed = rows.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("group").alias("low"), F.max("group").alias("high")
-    )
-    rows = stage(rows.join(mixed.where("low != high"), "key").select("key", "node", "weight", "group", "size"), "mixed")
-    few = rows.where(F.col("size") <= BUCKET).drop("size")
-    many = rows.where(F.col("size") > BUCKET).drop("size")
-    bands = reps.select("node", F.posexplode("bands").alias("band", "band_key"))
-    parted = many.join(bands, "node").where(F.col("band_key") != F.col("key"))
-    parted = parted.withColumn(
-        "key", F.xxhash64(F.least("key", "band_key"), F.greatest("key", "band_key"))
-    ).drop("band", "band_key").distinct()
-    rows = few.unionByName(parted)
-    other = rows.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", "weight", "group")])
-    pairs = rows.join(other, "key").where(
+    rows = members.join(shipped_if_small(rooted), "node", "left")
+    rows = stage(rows.select("key", "node", "weight", "size", "score", group), "grouped")
+    best = F.max(F.struct("score", "node", "group")).alias("best")
+    mixed = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), best)
+    mixed = mixed.where("low != high").select("key", F.col("best.group").alias("main"))
+    return stage(rows.join(shipped_if_small(stage(mixed, "mixed")), "key"), "mixed")
+
+
+def small_bucket_pairs(mixed: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different groups in the buckets of up to BUCKET members."""
+    few = mixed.where(F.col("size") <= BUCKET).select("key", "node", "weight", "group")
+    other = few.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", "weight", "group")])
+    every = few.join(other, "key").where(
         (F.col("node") < F.col("other_node"))
         & (F.col("group") != F.col("other_group"))
         & _near_weight(F.col("weight"), F.col("other_weight"))
     )
-    pairs = pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    return every.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
+
+
+def large_bucket_pairs(mixed: DataFrame, turn: int) -> DataFrame:
+    """(a, b): in the larger buckets, a member outside the main group with all other groups.
+
+    It is another one every ``turn``; pairs never grow with the square of a bucket.
+    """
+    many = mixed.where(F.col("size") > BUCKET)
+    drawn = F.max(F.struct(F.xxhash64("node", F.lit(turn)), "node", "weight", "group")).alias("best")
+    pivots = many.where("group != main").groupBy("key").agg(drawn)
+    pivots = pivots.select(
+        "key",
+        F.col("best.node").alias("pivot"),
+        F.col("best.weight").alias("pivot_weight"),
+        F.col("best.group").alias("pivot_group"),
+    )
+    pivots = shipped_if_small(stage(pivots, "pivots"))
+    return _pairs(pivots, many, F.col("group") != F.col("pivot_group"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -326,9 +358,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Jaccard similarity of at least 0.8; groups are what links connect, directly or
     through others, and the smallest id of a group stays. Equal multisets are one node
     from the start, so copies are never compared. Texts that share a band of their
-    sketches are candidates: first each with the first of its bucket, then, where a
-    bucket still holds several groups, the members of different groups; every candidate
-    is verified on the whole multisets.
+    sketches are candidates: first each with the most typical text of its bucket, then,
+    where a bucket still holds several groups, members of different groups, turn after
+    turn until a turn finds no further link. Every candidate is verified on the whole
+    multisets.
 
     Texts without a word (null, empty, white space) are alone, and so are rows without
     an id; rows that repeat an id and its text share their answer. An empty table gives
@@ -336,22 +369,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     drawn = stage(sketches(docs), "sketches")
     usable = drawn.where("weight > 0 AND doc_id IS NOT NULL")
-    reps = usable.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"),
-        F.count("*").alias("copies"),
-        F.first("weight").alias("weight"),
-        F.first("bands").alias("bands"),
-    )
+    reps = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     reps = stage(reps, "nodes")
-    buckets = reps.select("node", "weight", F.explode("bands").alias("key"))
-    tried = stage(star_pairs(buckets), "pairs")
-    links = similar(docs, tried, reps)
-    rooted = components(links)
-    rest = stage(cross_pairs(buckets, rooted, tried, reps), "rest")
-    if not rest.isEmpty():
-        more = similar(docs, rest, reps)
-        if not more.isEmpty():
-            rooted = components(links.unionByName(more))
+    members = crowded(usable)
+    needed = reps.join(members.select("node").distinct(), "node").select("doc_id", "node")
+    bags = stage(_multisets(docs, stage(needed, "needed")), "bags")
+
+    tried = stage(star_pairs(members), "pairs")
+    rooted = components(similar(tried, bags))
+    mixed = mixed_buckets(members, rooted)
+    rest = small_bucket_pairs(mixed).unionByName(large_bucket_pairs(mixed, 0)).distinct()
+    links, turn = rooted.toDF("a", "b"), 0
+    while True:
+        rest = stage(rest.join(shipped_if_small(tried), ["a", "b"], "left_anti"), "pairs")
+        more = similar(rest, bags)
+        if more.isEmpty():
+            break
+        links, tried, turn = links.unionByName(more), tried.unionByName(rest), turn + 1
+        rest = large_bucket_pairs(mixed, turn).distinct()
+    if turn:
+        rooted = components(links)
 
     nodes = reps.join(rooted, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "doc_id", "copies"
