@@ -20,6 +20,25 @@ from colprobe.functions.types import Field, fields_of, in_passes
 from colprobe.operators.frequencies import frequency_metrics
 from colprobe.operators.privacy import share
 
+# Error messages; those of counts follow the number of bad cells.
+NO_COLUMN = "Column not found in dataset"
+HAS_NULLS = "null values found"
+HAS_COPIES = "duplicate values found"
+NOT_NUMERIC = "Column is not numeric"
+BELOW = "values below minimum"
+ABOVE = "values above maximum"
+NO_PATTERN = "No regex pattern provided"
+BAD_PATTERN = "Invalid regex pattern"
+NOT_STRING = "Column is not string type"
+NO_MATCH = "values don't match pattern"
+NO_LIST = "No list of values provided"
+BAD_LIST = "Invalid list format or type mismatch"
+NOT_LISTED = "values not in allowed list"
+NO_DATE = "values don't match date format"
+UNKNOWN_KIND = "Unknown constraint type"
+BAD_MINIMUM = "Invalid minimum value"
+BAD_MAXIMUM = "Invalid maximum value"
+
 KINDS = (
     "not_null",
     "unique",
@@ -65,49 +84,49 @@ def _compile(spark: SparkSession, ix: int, field: Field | None, constraint: dict
         return Check(ix, column, kind, value, field, test=test, complaint=complaint)
 
     if field is None:
-        return failed("Column not found in dataset")
+        return failed(NO_COLUMN)
     cell = field.clean()
     if kind == "not_null":
-        return tested(cell.isNotNull(), "null values found")
+        return tested(cell.isNotNull(), HAS_NULLS)
     if kind == "unique":
-        return Check(ix, column, kind, value, field, complaint="duplicate values found")
+        return Check(ix, column, kind, value, field, complaint=HAS_COPIES)
     if kind in ("min_value", "max_value"):
         low = kind == "min_value"
         try:
             bound = float(value) if value else 0.0
         except ValueError:
-            return failed(f"Invalid {'minimum' if low else 'maximum'} value")
+            return failed(BAD_MINIMUM if low else BAD_MAXIMUM)
         if not field.is_numeric:
-            return failed("Column is not numeric")
+            return failed(NOT_NUMERIC)
         number = field.number()
         test = number >= bound if low else number <= bound
         if math.isnan(bound):
             test = F.lit(False)
-        return tested(test, "values below minimum" if low else "values above maximum")
+        return tested(test, BELOW if low else ABOVE)
     if kind == "regex":
         if not value:
-            return failed("No regex pattern provided")
+            return failed(NO_PATTERN)
         try:
             re.compile(value)
         except re.error:
-            return failed("Invalid regex pattern")
+            return failed(BAD_PATTERN)
         if not field.is_string:
-            return failed("Column is not string type")
-        return tested(cell.rlike(_anchored(spark, value)), "values don't match pattern")
+            return failed(NOT_STRING)
+        return tested(cell.rlike(_anchored(spark, value)), NO_MATCH)
     if kind == "value_in_list":
         if not value:
-            return failed("No list of values provided")
+            return failed(NO_LIST)
         allowed = [v.strip() for v in value.split(",")]
         if field.is_numeric:
             try:
                 test = field.number().isin([float(v) for v in allowed])
             except ValueError:
-                return failed("Invalid list format or type mismatch")
+                return failed(BAD_LIST)
         elif field.is_datetime:
             test = cell.isin([F.try_to_timestamp(F.lit(v)).cast(field.dtype) for v in allowed])
         else:
             test = cell.cast("string").isin(allowed)
-        return tested(test, "values not in allowed list")
+        return tested(test, NOT_LISTED)
     if kind == "date_format":
         value = value or DEFAULT_FORMAT
         if field.is_datetime:
@@ -118,8 +137,8 @@ def _compile(spark: SparkSession, ix: int, field: Field | None, constraint: dict
             test = F.lit(False)  # no text can follow a format that does not exist
         except NotImplementedError as error:
             return failed(str(error))
-        return tested(test, "values don't match date format")
-    return failed("Unknown constraint type")
+        return tested(test, NO_DATE)
+    return failed(UNKNOWN_KIND)
 
 
 def _anchored(spark: SparkSession, pattern: str) -> str:
