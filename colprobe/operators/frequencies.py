@@ -19,10 +19,8 @@ from colprobe.functions.types import (
     INTEGRAL,
     Field,
     fields_of,
-    in_passes,
     per_field,
     sql_name,
-    sql_text,
 )
 
 # Text up to this many characters is its own grouping key. A digest with its prefix
@@ -164,16 +162,23 @@ def approximate_distinct_counts(
     For tables so large that exact counts are not worth their shuffle.
     """
     fields = fields_of(df, columns)
-    parts = []
-    for part in in_passes(fields, lambda field: 1):
-        sketched = [F.approx_count_distinct(f.clean(), error).alias(f"d{f.ix}") for f in part]
-        rows = ", ".join(
-            f"named_struct('column_ix', {f.ix}, 'column_name', {sql_text(f.name)}, "
-            f"'distinct_count', d{f.ix})"
-            for f in part
-        )
-        parts.append(df.agg(*sketched).selectExpr(f"inline(array({rows}))"))
-    return reduce(DataFrame.unionByName, parts)
+
+    def hashed(field: Field) -> str:
+        cell = _binary_as_text(field)
+        return f"CASE WHEN {cell} IS NOT NULL THEN xxhash64({cell}) END"
+
+    # a sketch per group: side by side in one row, those of many columns would outgrow
+    # generated code
+    parts = [
+        unfold(df, "bigint", fields[start : start + COLUMNS_AT_ONCE], hashed)
+        for start in range(0, len(fields), COLUMNS_AT_ONCE)
+    ]
+    seeds = _seed_rows(df, fields).select("column_ix", F.lit(None).cast("bigint").alias("value"))
+    parts.append(seeds)
+    cells = reduce(DataFrame.unionByName, parts)
+    return cells.groupBy("column_ix").agg(
+        F.approx_count_distinct("value", error).alias("distinct_count")
+    ).select("column_ix", per_field(fields, lambda f: f.name).alias("column_name"), "distinct_count")
 
 
 def metrics_from_counts(
