@@ -24,9 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colprobe.llm.common import id_type, short_batches, texts
+from colprobe.session import stage
 
 # Words in the lexicon.
 LEXICON_WORDS = 50_000
@@ -364,12 +366,25 @@ def encoder(path: str, lexicon: str) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, limit: int) -> list[str]:
-    """The most frequent words of all texts; counted where they lie, then summed."""
+    """Up to ``limit`` words, the most frequent of all texts, most frequent first.
+
+    Words are counted where they lie, then summed. How often a word has to occur follows
+    from the number of words of every frequency, so only the chosen ones are gathered;
+    words that are equally frequent are taken together or not at all.
+    """
     word = F.explode(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).alias("word")
-    counted = texts(docs).select(word).groupBy("word").count()
+    counted = texts(docs).select(word).groupBy("word").agg(F.count("*").alias("times"))
     # a repeated word pays for its place, a single one does not
-    top = counted.where("count > 1 AND octet_length(word) <= 64").orderBy(F.desc("count"), "word")
-    return [row["word"] for row in top.select("word").limit(limit).collect()]
+    counted = stage(counted.where("times > 1 AND octet_length(word) <= 64"), "words")
+    # far fewer different frequencies than words
+    by_times = counted.groupBy("times").agg(F.count("*").alias("words"))
+    through = F.sum("words").over(W.orderBy(F.desc("times")))
+    fit = by_times.withColumn("through", through).where(F.col("through") <= limit)
+    least = fit.agg(F.min("times")).first()[0]
+    if least is None:
+        return []
+    rows = counted.where(F.col("times") >= least).collect()  # at most ``limit``
+    return [r["word"] for r in sorted(rows, key=lambda r: (-r["times"], r["word"]))]
 
 
 def ship_lexicon(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> str:
