@@ -26,11 +26,12 @@ ENTRY_BLOCK = 4096
 QUERY_BLOCK = 4096
 
 
-def usable(vectors: DataFrame) -> DataFrame:
+def usable(vectors: DataFrame, width: int | None = None) -> DataFrame:
     """(vec_id, vector as bytes of doubles) of the vectors that take part.
 
     Null and zero vectors, those with null, infinite or NaN components and those of
-    another length than most take no part; nor do rows without an id.
+    another length than ``width``, by default that of most, take no part; nor do rows
+    without an id.
     """
     value = F.col("embedding").cast("array<double>")
     finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -38,9 +39,10 @@ def usable(vectors: DataFrame) -> DataFrame:
     rows = vectors.select("vec_id", value.alias("value")).where(
         F.col("vec_id").isNotNull() & finite & some
     )
-    widths = rows.groupBy(F.size("value").alias("width")).count()
-    widest = widths.orderBy(F.desc("count"), "width").first()
-    width = widest["width"] if widest else 0
+    if width is None:
+        widths = rows.groupBy(F.size("value").alias("width")).count()
+        widest = widths.orderBy(F.desc("count"), "width").first()
+        width = widest["width"] if widest else 0
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -173,9 +175,12 @@ def search_index(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = vectors.sparkSession
     nothing = "query_id bigint, rank int, vec_id bigint, score double"
     rows = stage(usable(vectors), "vectors")
-    asked = stage(usable(queries), "queries")
+    some = rows.first()
+    if some is None:
+        return spark.createDataFrame([], nothing)
+    asked = stage(usable(queries, len(some["vector"]) // 8), "queries")
     count, wanted = rows.count(), asked.count()
-    if not count or not wanted:
+    if not wanted:
         return spark.createDataFrame([], nothing)
     books = fit_books(rows, count)
     shipped = spark.sparkContext.broadcast(books)

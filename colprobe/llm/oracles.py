@@ -50,7 +50,7 @@ SECRETS = _digest(
         ),
         _spans("access", 1, "AKIA[A-Z0-9]+", "length(m) >= 20"),
         _spans("hex", 2, "[0-9a-f]+", "length(m) >= 24"),
-        _spans("pem", 3, r"-----BEGIN\x20(?:[A-Z0-9]+\x20)*PRIVATE\x20KEY-----", "true"),
+        _spans("pem", 3, r"-----BEGIN\x20[A-Z0-9\x20]*PRIVATE\x20KEY-----", "true"),
     ],
     ["assign", "access", "hex"],
     "s, place",

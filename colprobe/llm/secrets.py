@@ -17,7 +17,7 @@ ASSIGN_LENGTH = 6
 # Maximal runs, so asking for the length in the pattern loses no match.
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-PEM = r"-----BEGIN\x20(?:[A-Z0-9]+\x20)*PRIVATE\x20KEY-----"
+PEM = r"-----BEGIN\x20[A-Z0-9\x20]*PRIVATE\x20KEY-----"
 # Order breaks ties between spans that start together; "pem" is the added kind.
 KINDS = ("assign", "access", "hex", "pem")
 BASE = KINDS[:3]

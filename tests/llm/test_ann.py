@@ -80,6 +80,7 @@ def test_odd_vectors(spark):
         (9, 2, 4.0),
     ]
     assert ann.search_index(rows, rows.limit(0), 20).count() == 0
+    assert ann.search_index(rows, rows.where("vec_id = 10"), 20).count() == 0  # too long
     assert ann.search_index(rows.limit(0), rows, 20).count() == 0
 
 
