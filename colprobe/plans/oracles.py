@@ -713,14 +713,16 @@ ANSWERS = f"""
 FINISHED = f"""
     WITH {marked(
         f"WITH {CITED} {ANSWERS}",
-        f"WITH {CITED} SELECT query_id, rank AS n, section, {phrases('content')} AS phrases FROM cited",
+        f"WITH {CITED} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n, "
+        f"section, {phrases('content')} AS phrases FROM cited",
     )},
     listed AS (
         WITH {CITED}
-        SELECT query_id, '**References:**' || chr(10) || string_agg('[' || rank || '] ' || source_filename ||
+        SELECT query_id, '**References:**' || chr(10) || string_agg('[' || n || '] ' || source_filename ||
                    CASE WHEN section <> 'Unknown section' THEN ': ' || section ELSE '' END,
-                   chr(10) ORDER BY rank) AS lines
-        FROM cited GROUP BY query_id)
+                   chr(10) ORDER BY n) AS lines
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM cited)
+        GROUP BY query_id)
     SELECT response_id, citation_count,
            marked || CASE WHEN lines IS NULL THEN '' ELSE chr(10) || chr(10) || lines END AS content
     FROM finished LEFT JOIN listed USING (query_id)"""
