@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colprobe.llm.common import id_type, short_batches, texts
@@ -20,6 +21,12 @@ BANDS, BAND_ROWS = 30, 5
 REGISTERS = BANDS * BAND_ROWS
 # Largest bucket whose members of different groups are all compared.
 BUCKET = 32
+# Members of larger buckets that meet in one task for a shingle they share.
+PREFIX_BLOCK = 1024
+# Rows of shingles, at about this number, that leave Python together.
+TOKENS = 1 << 16
+# What floating point may be off in a bound.
+ROUNDING = 1e-6
 REMEMBERED_WORDS = 500_000
 
 _U = np.uint64
@@ -333,22 +340,87 @@ def small_bucket_pairs(mixed: DataFrame) -> DataFrame:
     return every.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
 
 
-def large_bucket_pairs(mixed: DataFrame, turn: int) -> DataFrame:
-    """(a, b): in the larger buckets, a member outside the main group with all other groups.
+def _tokens(bags: DataFrame) -> DataFrame:
+    """(node, token): a row for each shingle of a bag and each time it occurs.
 
-    It is another one every ``turn``; pairs never grow with the square of a bucket.
+    The n-th occurrence of a shingle is a token of its own, so that what two bags have in
+    common is the number of tokens they share.
     """
-    many = mixed.where(F.col("size") > BUCKET)
-    drawn = F.max(F.struct(F.xxhash64("node", F.lit(turn)), "node", "weight", "group")).alias("best")
-    pivots = many.where("group != main").groupBy("key").agg(drawn)
-    pivots = pivots.select(
-        "key",
-        F.col("best.node").alias("pivot"),
-        F.col("best.weight").alias("pivot_weight"),
-        F.col("best.group").alias("pivot_group"),
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table() -> pa.RecordBatch:
+            columns = [pa.array(np.repeat(nodes, sizes), pa.int64()), pa.array(np.concatenate(parts))]
+            return pa.RecordBatch.from_arrays(columns, names=["node", "token"])
+
+        for batch in batches:
+            nodes, sizes, parts = [], [], []
+            for node, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "bag")), strict=True):
+                bag = np.frombuffer(raw, "<u4")
+                nth = np.arange(len(bag)) - np.searchsorted(bag, bag)
+                nodes.append(node)
+                sizes.append(len(bag))
+                parts.append((bag.astype(_U) << _U(32) | nth.astype(_U)).view(np.int64))
+                if sum(sizes) >= TOKENS:
+                    yield table()
+                    nodes, sizes, parts = [], [], []
+            if nodes:
+                yield table()
+
+    return bags.mapInArrow(run, "node bigint, token bigint")
+
+
+def _prefixes(nodes: DataFrame, bags: DataFrame) -> DataFrame:
+    """(token, node, weight, group, place): the rarest tokens of each node; staged.
+
+    Tokens are put in one order for all nodes, by the number of nodes that have them.
+    Two bags that overlap enough share one of the first ``weight - 0.8 weight + 1`` of
+    each. Tokens of one node only come first and link nothing; they are only counted.
+    """
+    tokens = _tokens(bags.join(shipped_if_small(nodes.select("node")), "node"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    shared = tokens.join(shipped_if_small(stage(held, "held")), "token")
+    every = W.partitionBy("node")
+    rows = shared.select(
+        "token",
+        "node",
+        F.count("*").over(every).alias("shared"),
+        F.row_number().over(every.orderBy("held", "token")).alias("row"),
+    ).join(shipped_if_small(nodes), "node")
+    rows = rows.withColumn("place", F.col("weight") - F.col("shared") + F.col("row") - 1)
+    rows = rows.where(F.col("place") <= (1 - SIMILARITY) * F.col("weight") + ROUNDING)
+    return stage(rows.select("token", "node", "weight", "group", "place"), "prefixes")
+
+
+def large_bucket_pairs(mixed: DataFrame, bags: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different groups in the larger buckets that can overlap enough.
+
+    Found by the rarest tokens that two nodes share, not by their buckets: what all
+    variants of a template have in common is not rare. From the place of a shared token
+    on, both nodes have to have tokens enough to overlap. The nodes of a token meet in
+    blocks, so that no task takes all of a frequent one.
+    """
+    nodes = mixed.where(F.col("size") > BUCKET).select("node", "weight", "group").distinct()
+    rows = _prefixes(stage(nodes, "large"), bags)
+    ends = rows.groupBy("token").agg(
+        F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("held")
     )
-    pivots = shipped_if_small(stage(pivots, "pivots"))
-    return _pairs(pivots, many, F.col("group") != F.col("pivot_group"))
+    blocks = F.ceil(F.col("held") / PREFIX_BLOCK).cast("int").alias("blocks")
+    meeting = stage(ends.where("low != high").select("token", blocks), "tokens")
+    rows = rows.join(shipped_if_small(meeting), "token")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    few = rows.withColumn("other_block", each)
+    names = {c: f"other_{c}" for c in ("node", "weight", "group", "place", "block")}
+    other = rows.select("token", *[F.col(c).alias(n) for c, n in names.items()], each.alias("block"))
+    weights = F.col("weight") + F.col("other_weight")
+    ahead = F.least(F.col("weight") - F.col("place"), F.col("other_weight") - F.col("other_place"))
+    met = few.join(other, ["token", "block", "other_block"]).where(
+        (F.col("node") < F.col("other_node"))
+        & (F.col("group") != F.col("other_group"))
+        & _near_weight(F.col("weight"), F.col("other_weight"))
+        & (ahead * (1 + SIMILARITY) >= weights * SIMILARITY - ROUNDING)
+    )
+    return met.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -359,9 +431,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     through others, and the smallest id of a group stays. Equal multisets are one node
     from the start, so copies are never compared. Texts that share a band of their
     sketches are candidates: first each with the most typical text of its bucket, then,
-    where a bucket still holds several groups, members of different groups, turn after
-    turn until a turn finds no further link. Every candidate is verified on the whole
-    multisets.
+    where a bucket still holds several groups, members of different groups: all of them
+    in small buckets, in larger ones all that share a rare enough shingle, without which
+    they cannot be near. Every candidate is verified on the whole multisets.
 
     Texts without a word (null, empty, white space) are alone, and so are rows without
     an id; rows that repeat an id and its text share their answer. An empty table gives
@@ -378,17 +450,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = stage(star_pairs(members), "pairs")
     rooted = components(similar(tried, bags))
     mixed = mixed_buckets(members, rooted)
-    rest = small_bucket_pairs(mixed).unionByName(large_bucket_pairs(mixed, 0)).distinct()
-    links, turn = rooted.toDF("a", "b"), 0
-    while True:
-        rest = stage(rest.join(shipped_if_small(tried), ["a", "b"], "left_anti"), "pairs")
-        more = similar(rest, bags)
-        if more.isEmpty():
-            break
-        links, tried, turn = links.unionByName(more), tried.unionByName(rest), turn + 1
-        rest = large_bucket_pairs(mixed, turn).distinct()
-    if turn:
-        rooted = components(links)
+    rest = small_bucket_pairs(mixed).unionByName(large_bucket_pairs(mixed, bags)).distinct()
+    rest = stage(rest.join(shipped_if_small(tried), ["a", "b"], "left_anti"), "pairs")
+    rooted = components(rooted.toDF("a", "b").unionByName(similar(rest, bags)))
 
     nodes = reps.join(rooted, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "doc_id", "copies"

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colprobe.llm import near_dedup as nd
 
@@ -105,6 +106,61 @@ def test_groups_are_those_of_all_pairs(make_docs, monkeypatch, bucket):
         assert r["kept"] == (r["doc_id"] == r["keep_id"])
 
 
+def template(seed=7):
+    """Variants of one text, mostly less than 0.8 alike, and pairs at 0.8 that share nothing else."""
+    rng = random.Random(seed)
+    base = [f"w{n}" for n in range(100)]
+    texts, fresh = [], iter(range(10**9))
+
+    def variant(*places):
+        words = list(base)
+        for place in places:
+            words[place : place + 5] = [f"own{next(fresh)}" for _ in range(5)]
+        texts.append(" ".join(words))
+
+    for place in range(5, 95, 15):
+        variant(place)
+        variant(place)
+    for _ in range(400):
+        variant(*rng.sample(range(4, 92), 2))
+    rng.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+def test_links_within_a_large_bucket(make_docs, monkeypatch):
+    """All texts share one bucket, so that no other one can help."""
+    real, one = nd.sketches, F.array(F.lit(1).cast("bigint"))
+    monkeypatch.setattr(nd, "sketches", lambda docs: real(docs).withColumn("bands", one))
+    texts = template()
+    expected = groups(texts)
+    assert len(texts) - len(set(expected.values())) >= 6
+    rows = nd.near_duplicates(make_docs(list(texts.items()))).collect()
+    assert {r["doc_id"]: r["keep_id"] for r in rows} == expected
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_prefixes_lose_no_pair(spark, monkeypatch, block):
+    """Random bags with repeated and frequent shingles: candidates hold all near pairs."""
+    monkeypatch.setattr(nd, "PREFIX_BLOCK", block)
+    monkeypatch.setattr(nd, "BUCKET", 1)
+    rng = np.random.default_rng(8)
+    bags = []
+    for _ in range(12):
+        core = rng.zipf(1.6, rng.integers(3, 60)) % 200
+        bags += [np.r_[core, rng.zipf(1.6, rng.integers(0, 9)) % 200] for _ in range(8)]
+    bags = [np.sort(b).astype("<u4") for b in bags]
+    near = {
+        (a, b)
+        for a, b in combinations(range(len(bags)), 2)
+        if nd.overlap(bags[a].tobytes(), bags[b].tobytes()) >= nd.SIMILARITY
+    }
+    rows = [(0, n, len(b), len(bags), n) for n, b in enumerate(bags)]
+    mixed = spark.createDataFrame(rows, "key bigint, node bigint, weight bigint, size bigint, `group` bigint")
+    frame = spark.createDataFrame([(n, b.tobytes()) for n, b in enumerate(bags)], "node bigint, bag binary")
+    found = {(r["a"], r["b"]) for r in nd.large_bucket_pairs(mixed, frame).collect()}
+    assert len(near) > 50 and near <= found and len(found) < 96 * 95 / 2
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(n, n + 1) for n in range(300)]
     random.Random(1).shuffle(chain)
