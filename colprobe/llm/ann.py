@@ -126,12 +126,21 @@ def visit(first: np.ndarray, second: np.ndarray, counts: np.ndarray, depth: int,
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to smaller ids; -inf does not count."""
-    place = np.flatnonzero(scores > -np.inf)
-    if len(place) > k:
-        limit = np.partition(scores[place], len(place) - k)[len(place) - k]
-        place = place[scores[place] >= limit]
-    return place[np.lexsort((ids[place], -scores[place]))][:k]
+    """Places of the k ids of largest score, ties to smaller ids; -inf does not count.
+
+    An id that occurs several times counts once, with its largest score.
+    """
+    every, wanted = np.flatnonzero(scores > -np.inf), k
+    while True:
+        place = every
+        if len(every) > wanted:
+            limit = np.partition(scores[every], len(every) - wanted)[len(every) - wanted]
+            place = every[scores[every] >= limit]
+        place = place[np.lexsort((ids[place], -scores[place]))]
+        first = np.unique(ids[place], return_index=True)[1]
+        if len(first) >= k or len(place) == len(every):
+            return place[np.sort(first)][:k]
+        wanted *= 2
 
 
 def exact(rows: DataFrame, asked: pd.DataFrame, k: int, columns: list[str]) -> DataFrame:
@@ -156,29 +165,50 @@ def exact(rows: DataFrame, asked: pd.DataFrame, k: int, columns: list[str]) -> D
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
+    """The k best ids of each query, each with its best row."""
+    more = [c for c in found.columns if c not in ("query_id", "vec_id", "score")]
+    best = F.max(F.struct("score", *more)).alias("best")
+    found = found.groupBy("query_id", "vec_id").agg(best).select("query_id", "vec_id", "best.*")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def once(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Repeated rows reduced to one, staged, and the most rows that an id then has."""
+
+    def most(rows: DataFrame) -> int:
+        return rows.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0
+
+    rows = stage(rows, name)
+    if most(rows) > 1:  # only then do the vectors travel
+        rows = stage(rows.distinct(), name)
+    return rows, most(rows)
+
+
 def search_index(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows found for each query.
 
     Both frames have (vec_id, embedding). Each half of a vector is quantised by its own
     codebook; a pair of centroids is a cell. A query visits cells by falling sum of the
     inner products of its halves with the centroids until the cells hold as many rows as
-    the depth asks, and at least k, so only a table with fewer rows gives fewer. The
+    the depth asks, and at least k other ids, so only a table with fewer gives fewer. The
     depth is what reaches nearly all exact neighbours of a bounded draw of the queries.
     Rows of visited cells are scored exactly, those of one first centroid together, in
     blocks of bounded size. Ties go to the smaller id; a query's own id is no candidate;
     what ``usable`` leaves out takes no part; empty tables give no rows.
+
+    Repeated rows, of queries or of vectors, count once: every query id has one list of
+    up to k different ids. Where an id has several different vectors, all of them ask or
+    are candidates, and the score of two ids is the largest of their vectors.
     """
     spark = vectors.sparkSession
     nothing = "query_id bigint, rank int, vec_id bigint, score double"
-    rows = stage(usable(vectors), "vectors")
+    rows, most = once(usable(vectors), "vectors")
     some = rows.first()
     if some is None:
         return spark.createDataFrame([], nothing)
-    asked = stage(usable(queries, len(some["vector"]) // 8), "queries")
+    asked, _ = once(usable(queries, len(some["vector"]) // 8), "queries")
+    least = (k + 1) * most  # so many rows hold k ids besides the query's own
     count, wanted = rows.count(), asked.count()
     if not wanted:
         return spark.createDataFrame([], nothing)
@@ -209,7 +239,7 @@ def search_index(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             sums = [half @ book.T for half, book in zip(halves, books, strict=True)]
             for n, (query, vector) in enumerate(zip(batch["vec_id"], batch["vector"], strict=True)):
                 cells: dict[int, list[int]] = {}
-                for i, j in visit(sums[0][n], sums[1][n], counts, depth, k + 1):
+                for i, j in visit(sums[0][n], sums[1][n], counts, depth, least):
                     cells.setdefault(i, []).append(j)
                 yield pd.DataFrame(
                     {
@@ -277,6 +307,7 @@ def _depth(
     share = min(1.0, 2 * TRIAL_QUERIES / wanted)
     drawn = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1e6) + 1)
     trials = drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIAL_QUERIES).toPandas()
+    trials = trials.drop_duplicates("vec_id", ignore_index=True)
     if not len(trials):
         return int(counts.sum())
     truth = exact(index, trials, k, ["vec_id", "first", "second"]).collect()

@@ -84,6 +84,38 @@ def test_odd_vectors(spark):
     assert ann.search_index(rows.limit(0), rows, 20).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 30])
+def test_repeated_rows(spark, copies):
+    """Repeated rows count once; the score of ids with several vectors is the largest."""
+    rng = np.random.default_rng(4)
+    ids = np.r_[np.arange(120), 0, 7, 7]  # 0 asks with two vectors, 7 is found by three
+    vectors = rng.normal(size=(len(ids), 6))
+    again = np.isin(ids, [0, 3, 20])  # queries and a candidate
+    many = np.r_[np.arange(len(ids)), np.repeat(np.flatnonzero(again), copies - 1)]
+    rows = spark.createDataFrame(
+        [(int(ids[n]), [float(x) for x in vectors[n]]) for n in many],
+        "vec_id bigint, embedding array<double>",
+    )
+    found = ann.search_index(rows, rows.where("vec_id % 20 = 0"), 10).collect()
+    scores = vectors @ vectors.T
+    hits = 0
+    for query in range(0, 120, 20):
+        own = [r for r in found if r["query_id"] == query]
+        best = {int(i): scores[np.ix_(ids == query, ids == i)].max() for i in set(ids) - {query}}
+        assert sorted(r["rank"] for r in own) == list(range(1, 11))
+        assert len({r["vec_id"] for r in own}) == 10
+        hits += len({r["vec_id"] for r in own} & set(sorted(best, key=lambda i: (-best[i], i))[:10]))
+        for r in own:
+            assert r["score"] <= best[r["vec_id"]] + 1e-12
+    assert hits >= 54
+
+
+def test_best_takes_every_id_once():
+    scores, ids = np.array([9.0, 9.0, 9.0, 8.0, 7.0, 7.0, -np.inf]), np.array([5, 5, 5, 5, 2, 1, 0])
+    assert ids[ann._best(scores, ids, 2)].tolist() == [5, 1]
+    assert ids[ann._best(scores, ids, 9)].tolist() == [5, 1, 2]
+
+
 def test_cells_come_by_falling_sum():
     rng = np.random.default_rng(1)
     first, second, counts = rng.normal(size=9), rng.normal(size=7), rng.integers(0, 3, (9, 7))
