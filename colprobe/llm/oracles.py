@@ -119,9 +119,74 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
        NULL::INT AS grown_shard
 FROM placed"""
 
+# Two trees of the same shape: one per source (t is its rank), one over the subroots.
+_LEVELS = """
+{name} AS (
+  SELECT t, 0 AS lvl, i, n, h FROM {leaves}
+  UNION ALL
+  SELECT t, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM {name} WHERE n > 1 GROUP BY t, lvl, i // 3, n
+),
+{name}_ways AS (
+  SELECT t, lvl, i, coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name} WHERE n > 1 WINDOW run AS (PARTITION BY t, lvl, i // 3 ORDER BY i)
+)"""
+_CLIMBED = """
+{name} AS (
+  SELECT {columns}, {t} AS t, 0 AS lvl, {i} AS i, {folded} AS folded, {proof} AS proof, false AS over FROM {start}
+  UNION ALL
+  SELECT {columns}, t, c.lvl + (w.t IS NOT NULL)::INT, CASE WHEN w.t IS NULL THEN c.i ELSE c.i // 3 END,
+         CASE WHEN w.t IS NULL THEN folded ELSE sha256(w.l || folded || w.r) END,
+         CASE WHEN w.t IS NULL THEN proof ELSE proof || w.l || w.r END, w.t IS NULL
+  FROM {name} c LEFT JOIN {ways} w USING (t, lvl, i) WHERE NOT over
+)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    fields = [_field(v) for v in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+MERKLE = f"""
+WITH RECURSIVE entries AS (
+  SELECT list(c ORDER BY n) AS crc FROM (
+    SELECT n, list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: {_STEP}) AS c
+    FROM (SELECT unnest(range(256)) AS n))
+),
+chosen AS (
+  SELECT d.*, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT,
+      list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda a, b: xor(a >> 8, crc[xor(a & 255, b) + 1]))) % 2 = 0 AS altered
+  FROM documents d, entries
+),
+leaves AS (
+  SELECT doc_id, {_leaf("text")} AS h,
+         CASE WHEN altered THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS other,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM chosen
+),
+{_LEVELS.format(name="own", leaves="leaves")},
+subroots AS (SELECT 0 AS t, t AS i, count(*) OVER () AS n, h FROM own WHERE n = 1),
+{_LEVELS.format(name="upper", leaves="subroots")},
+{_CLIMBED.format(name="first", columns="doc_id, leaf, source_rank", t="t", i="i", folded="other", proof="''", ways="own_ways", start="(SELECT *, h AS leaf, t AS source_rank FROM leaves)")},
+{_CLIMBED.format(name="last", columns="doc_id, leaf, source_rank", t="0", i="source_rank", folded="folded", proof="proof", ways="upper_ways", start="(SELECT * FROM first WHERE over)")}
+SELECT doc_id, leaf, s.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = u.h AS verified
+FROM last JOIN subroots s ON s.i = source_rank, (SELECT h FROM upper WHERE n = 1) u
+WHERE over"""
+
 ORACLES: dict[str, str] = {
     "op3_blob_ledger": SECRETS,
     "op5_anchor_expansion": PERSONAL,
     "op6_patricia_owners": EXACT,
     "op9_prefix_sums": SHARDS,
+    "op13_recursive_climb": MERKLE,
 }

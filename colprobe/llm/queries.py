@@ -12,6 +12,7 @@ from colprobe.llm import (
     bpe,
     exact_dedup,
     language,
+    merkle,
     near_dedup,
     packing,
     pii,
@@ -68,6 +69,10 @@ def op10_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
 
 
+def op13_recursive_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(read(spark, sf_dir, "documents"), merkle.without_newlines())
+
+
 QUERIES: dict[str, Query] = {
     "op1_family_svm": op1_family_svm,
     "op2_multi_index": op2_multi_index,
@@ -79,4 +84,5 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_decreasing": op8_best_fit_decreasing,
     "op9_prefix_sums": op9_prefix_sums,
     "op10_additive_model": op10_additive_model,
+    "op13_recursive_climb": op13_recursive_climb,
 }
