@@ -78,3 +78,18 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], name: str) -> Da
         "size",
         (F.col("row") + F.col("offset")).alias("line"),
     )
+
+
+def draw_limit(share: float) -> int:
+    """The 63-bit number below which hashes have to lie for ``share`` of them to do so."""
+    return int(min(max(share, 0.0), 1.0) * 2.0**63)
+
+
+def drawn(key: Column, share: float) -> Column:
+    """True for about ``share`` of the keys, by 63 bits of their hash.
+
+    Fine enough for any table: of 10^15 keys, a share for 1 000 of them still draws them.
+    """
+    if share >= 1:
+        return F.lit(True)
+    return F.shiftrightunsigned(F.xxhash64(key), 1) < F.lit(draw_limit(share))

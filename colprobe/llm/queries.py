@@ -19,6 +19,7 @@ from colprobe.llm import (
     quality,
     secrets,
     sharding,
+    toxicity,
 )
 from colprobe.llm.common import read
 
@@ -69,6 +70,11 @@ def op10_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
 
 
+def op12_ftrl_proximal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
 def op13_recursive_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(read(spark, sf_dir, "documents"), merkle.without_newlines())
 
@@ -84,5 +90,6 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_decreasing": op8_best_fit_decreasing,
     "op9_prefix_sums": op9_prefix_sums,
     "op10_additive_model": op10_additive_model,
+    "op12_ftrl_proximal": op12_ftrl_proximal,
     "op13_recursive_climb": op13_recursive_climb,
 }
