@@ -183,10 +183,49 @@ SELECT doc_id, leaf, s.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256,
 FROM last JOIN subroots s ON s.i = source_rank, (SELECT h FROM upper WHERE n = 1) u
 WHERE over"""
 
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents)
+),
+grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS words FROM (
+    SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i
+    FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+),
+f AS (SELECT lang, k, words, count(*) AS f FROM grams GROUP BY lang, k, words),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, words, f AS a FROM f WHERE k >= 2 AND f >= 30),
+cuts AS (
+  SELECT c.*, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN f x ON x.lang = c.lang AND x.words = c.words[:cut]
+  JOIN f y ON y.lang = c.lang AND y.words = c.words[cut + 1:]
+),
+best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1
+),
+inner_words AS (
+  SELECT lang, words[i:i + s - 1] AS words, max(a) AS most FROM (
+    SELECT *, unnest(range(1, k - s + 2)) AS i
+    FROM (SELECT *, unnest(range(2, k)) AS s FROM candidates WHERE k >= 3))
+  GROUP BY ALL
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT b.lang, array_to_string(b.words, ' ') AS phrase, a, l, r, n, score,
+         row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.words, ' ')) AS rank
+  FROM best b JOIN totals USING (lang) LEFT JOIN inner_words i ON i.lang = b.lang AND i.words = b.words
+  WHERE most IS NULL OR 100 * most < 80 * a)
+WHERE rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op3_blob_ledger": SECRETS,
     "op5_anchor_expansion": PERSONAL,
     "op6_patricia_owners": EXACT,
     "op9_prefix_sums": SHARDS,
+    "op11_setm_phrases": COLLOCATIONS,
     "op13_recursive_climb": MERKLE,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from colprobe.llm import (
     ann,
     bpe,
+    collocations,
     exact_dedup,
     language,
     merkle,
@@ -70,6 +71,10 @@ def op10_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_ftrl_proximal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.toxicity_scores(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_decreasing": op8_best_fit_decreasing,
     "op9_prefix_sums": op9_prefix_sums,
     "op10_additive_model": op10_additive_model,
+    "op11_setm_phrases": op11_setm_phrases,
     "op12_ftrl_proximal": op12_ftrl_proximal,
     "op13_recursive_climb": op13_recursive_climb,
 }
