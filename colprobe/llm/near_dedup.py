@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colprobe.llm.common import id_type, short_batches, texts
 from colprobe.session import shipped_if_small, stage
@@ -23,11 +23,13 @@ REGISTERS = BANDS * BAND_ROWS
 BUCKET = 32
 # Members of larger buckets that meet in one task for a shingle they share.
 PREFIX_BLOCK = 1024
-# Rows of shingles, at about this number, that leave Python together.
-TOKENS = 1 << 16
+# Slots that tokens are counted in, and how many of them are summed together.
+SLOTS, SLOT_PART = 1 << 18, 1 << 12
 # What floating point may be off in a bound.
 ROUNDING = 1e-6
 REMEMBERED_WORDS = 500_000
+# Names of columns that meet those of the documents.
+_ID, _MULTISET = "_id_of_answer", "_multiset_of_text"
 
 _U = np.uint64
 
@@ -340,55 +342,84 @@ def small_bucket_pairs(mixed: DataFrame) -> DataFrame:
     return every.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
 
 
-def _tokens(bags: DataFrame) -> DataFrame:
-    """(node, token): a row for each shingle of a bag and each time it occurs.
+def _tokens(bag: bytes) -> np.ndarray:
+    """A number for each shingle of a bag and each time it occurs, in rising order.
 
     The n-th occurrence of a shingle is a token of its own, so that what two bags have in
     common is the number of tokens they share.
     """
+    shingles = np.frombuffer(bag, "<u4")
+    nth = np.arange(len(shingles)) - np.searchsorted(shingles, shingles)
+    return shingles.astype(_U) << _U(32) | nth.astype(_U)
+
+
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return (_mix(tokens) & _U(SLOTS - 1)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def table() -> pa.RecordBatch:
-            columns = [pa.array(np.repeat(nodes, sizes), pa.int64()), pa.array(np.concatenate(parts))]
-            return pa.RecordBatch.from_arrays(columns, names=["node", "token"])
 
+def _token_counts(bags: DataFrame) -> np.ndarray:
+    """How many tokens of all bags fall on each of SLOTS slots: a table of fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for bag in batch.column("bag").to_pylist():
+                total += np.bincount(_slots(_tokens(bag)), minlength=SLOTS)
+        parts = total.reshape(-1, SLOT_PART)
+        used = np.flatnonzero(parts.any(1))
+        yield rows(used.tolist(), [parts[n] for n in used])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            nodes, sizes, parts = [], [], []
-            for node, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "bag")), strict=True):
-                bag = np.frombuffer(raw, "<u4")
-                nth = np.arange(len(bag)) - np.searchsorted(bag, bag)
-                nodes.append(node)
-                sizes.append(len(bag))
-                parts.append((bag.astype(_U) << _U(32) | nth.astype(_U)).view(np.int64))
-                if sum(sizes) >= TOKENS:
-                    yield table()
-                    nodes, sizes, parts = [], [], []
-            if nodes:
-                yield table()
-
-    return bags.mapInArrow(run, "node bigint, token bigint")
+            for part, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "held")), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(raw, np.int64)
+        yield rows(list(sums), list(sums.values()))
+
+    def rows(part: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array(part, pa.int32()), pa.array([h.tobytes() for h in held], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "held"])
+
+    schema = "part int, held binary"
+    parts = bags.select("bag").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
+    table = np.zeros(SLOTS, np.int64)
+    for row in parts.collect():  # SLOTS / SLOT_PART rows at most
+        table[row["part"] * SLOT_PART :][:SLOT_PART] = np.frombuffer(row["held"], np.int64)
+    return table
 
 
 def _prefixes(nodes: DataFrame, bags: DataFrame) -> DataFrame:
     """(token, node, weight, group, place): the rarest tokens of each node; staged.
 
-    Tokens are put in one order for all nodes, by the number of nodes that have them.
-    Two bags that overlap enough share one of the first ``weight - 0.8 weight + 1`` of
-    each. Tokens of one node only come first and link nothing; they are only counted.
+    Two bags that overlap enough share one of the first ``weight - 0.8 weight + 1`` tokens
+    of each, whatever the order of tokens, as long as all bags have the same. Tokens go
+    by the count of their slot, then by themselves, so that rare ones mostly come first,
+    and no more of a bag leaves its task than these.
     """
-    tokens = _tokens(bags.join(shipped_if_small(nodes.select("node")), "node"))
-    held = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    shared = tokens.join(shipped_if_small(stage(held, "held")), "token")
-    every = W.partitionBy("node")
-    rows = shared.select(
-        "token",
-        "node",
-        F.count("*").over(every).alias("shared"),
-        F.row_number().over(every.orderBy("held", "token")).alias("row"),
-    ).join(shipped_if_small(nodes), "node")
-    rows = rows.withColumn("place", F.col("weight") - F.col("shared") + F.col("row") - 1)
-    rows = rows.where(F.col("place") <= (1 - SIMILARITY) * F.col("weight") + ROUNDING)
-    return stage(rows.select("token", "node", "weight", "group", "place"), "prefixes")
+    own = bags.join(shipped_if_small(nodes), "node").select("node", "weight", "group", "bag")
+    counts = bags.sparkSession.sparkContext.broadcast(_token_counts(own))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picked, sizes = [], []
+            for bag in batch.column("bag").to_pylist():
+                tokens = _tokens(bag)
+                first = int((1 - SIMILARITY) * len(tokens) + ROUNDING) + 1
+                order = np.lexsort((tokens, counts.value[_slots(tokens)]))[:first]
+                picked.append(tokens[order].view(np.int64))
+                sizes.append(len(order))
+            if not sizes:
+                continue
+            of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            place = np.concatenate([np.arange(n) for n in sizes])
+            columns = [pa.array(np.concatenate(picked))]
+            columns += [batch.column(c).take(of) for c in ("node", "weight", "group")]
+            columns.append(pa.array(place, pa.int64()))
+            names = ["token", "node", "weight", "group", "place"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "token bigint, node bigint, weight bigint, `group` bigint, place bigint"
+    return stage(own.mapInArrow(cut, schema), "prefixes")
 
 
 def large_bucket_pairs(mixed: DataFrame, bags: DataFrame) -> DataFrame:
@@ -424,7 +455,7 @@ def large_bucket_pairs(mixed: DataFrame, bags: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, shingles) of every row.
+    """(doc_id, keep_id, group_size, kept, shingles, multiset) of every row.
 
     Two texts are linked when the multisets of their five-word shingles have a weighted
     Jaccard similarity of at least 0.8; groups are what links connect, directly or
@@ -436,8 +467,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     they cannot be near. Every candidate is verified on the whole multisets.
 
     Texts without a word (null, empty, white space) are alone, and so are rows without
-    an id; rows that repeat an id and its text share their answer. An empty table gives
-    no rows.
+    an id; rows that repeat an id and its text share their answer. Texts are shingled
+    whole, however long; of equally typical texts of a bucket the one with the larger
+    digest is its pivot, which changes no group. ``multiset`` is the digest by which
+    equal multisets know each other. An empty table gives no rows. Further columns of
+    ``docs``, whatever their names, are ignored.
     """
     drawn = stage(sketches(docs), "sketches")
     usable = drawn.where("weight > 0 AND doc_id IS NOT NULL")
@@ -469,4 +503,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.when(has_group, F.col("group_size")).otherwise(F.lit(1)).cast("bigint").alias("group_size"),
         keep.eqNullSafe(F.col("doc_id")).alias("kept"),
         F.col("weight").alias("shingles"),
+        F.col("node").alias("multiset"),
     )
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
+
+    A row is known by its id and the multiset of its shingles, so where an id occurs with
+    several texts, each has its own answer; rows that repeat both stay or go together.
+    Rows without an id and texts without a word, null or empty, stay. Only ids that go
+    are joined to the texts; digests are taken again only where an id has both answers.
+    An empty table stays empty; further columns may have any names.
+    """
+    answers = stage(near_duplicates(docs).select("doc_id", "multiset", "kept"), "answers")
+    named = answers.where("doc_id IS NOT NULL")
+    of_id = named.groupBy("doc_id").agg(F.min("kept").alias("all"), F.max("kept").alias("some"))
+    gone = stage(of_id.where("NOT all").select(F.col("doc_id").alias(_ID), "some"), "gone")
+    stay = docs.join(shipped_if_small(gone.select(_ID)), docs["doc_id"] == F.col(_ID), "left_anti")
+    mixed = gone.where("some").select(_ID)
+    if mixed.isEmpty():
+        return stay
+    short_batches(docs.sparkSession)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            own = [digest(*shingler.shingles(t or "")) for t in batch.column("text").to_pylist()]
+            columns = [*batch.columns, pa.array(own, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, _MULTISET])
+
+    unsure = docs.join(shipped_if_small(stage(mixed, "mixed")), docs["doc_id"] == F.col(_ID), "left_semi")
+    marked = unsure.mapInArrow(mark, T.StructType([*docs.schema, T.StructField(_MULTISET, T.LongType())]))
+    kept = named.where("kept").select(F.col("doc_id").alias(_ID), F.col("multiset").alias("_kept_multiset"))
+    same = (F.col("doc_id") == F.col(_ID)) & (F.col(_MULTISET) == F.col("_kept_multiset"))
+    return stay.unionByName(marked.join(kept, same, "left_semi").select(*docs.columns))

@@ -178,3 +178,26 @@ def test_odd_rows(odd_docs, no_docs):
     assert by_id[5]["keep_id"] == 4 and by_id[5]["group_size"] == 3 and not by_id[5]["kept"]
     assert all(r["kept"] for r in rows if r["doc_id"] is None)
     assert nd.near_duplicates(no_docs).count() == 0
+
+
+def test_rows_are_known_by_id_and_text(make_docs):
+    """An id with a near copy of another text and a text of its own keeps the latter."""
+    rng = random.Random(11)
+    one = [f"w{rng.randrange(900)}" for _ in range(80)]
+    near = [*one[:-1], "other"]
+    own = " ".join(f"v{n}" for n in range(40))
+    rows = [(1, " ".join(one)), (5, " ".join(near)), (5, own), (5, own), (6, " ".join(near)), (None, own), (7, None)]
+    docs = make_docs(rows)
+    kept = nd.first_of_groups(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert found == sorted([rows[0], rows[2], rows[3], rows[5], rows[6]], key=str)
+
+
+def test_slots_count_all_tokens(spark):
+    rng = np.random.default_rng(3)
+    bags = [np.sort(rng.zipf(1.5, 50) % 300).astype("<u4") for _ in range(40)]
+    frame = spark.createDataFrame([(b.tobytes(),) for b in bags], "bag binary").repartition(7)
+    tokens = np.concatenate([nd._tokens(b.tobytes()) for b in bags])
+    assert (nd._token_counts(frame) == np.bincount(nd._slots(tokens), minlength=nd.SLOTS)).all()
+    assert len(set(nd._tokens(bags[0].tobytes()).tolist())) == len(bags[0])
