@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ UNKNOWN = "und"
 # Where two phrases share a bit, more is counted, and nothing is lost.
 SLOTS = 1 << 27
 # Distinct words, and phrases, that a task gathers before it hands on their counts.
-WORDS_AT_ONCE = 400_000
-PHRASES_AT_ONCE = 2_000_000
+WORDS_AT_ONCE = 200_000
+PHRASES_AT_ONCE = 1_000_000
 # Copies of a row that is looked up, so that a frequent word is no hot key.
 COPIES = 8
 
@@ -57,9 +57,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
         found: dict[str, Counter] = {}
 
         def table() -> pa.RecordBatch:
-            rows = [(lang, word, n) for lang, own in found.items() for word, n in own.items()]
-            kinds = (pa.string(), pa.binary(), pa.int64())
-            columns = [pa.array([r[c] for r in rows], kinds[c]) for c in range(3)]
+            langs = np.repeat(np.arange(len(found)), [len(own) for own in found.values()])
+            columns = [
+                pa.array(list(found), pa.string()).take(pa.array(langs)),
+                pa.array(chain.from_iterable(found.values()), pa.binary()),
+                pa.array(chain.from_iterable(own.values() for own in found.values()), pa.int64()),
+            ]
             found.clear()
             return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "f"])
 
