@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colprobe.llm.common import drawn
 from colprobe.session import stage
 
 # Rows, at about this number, that the codebooks are fitted on.
@@ -85,8 +86,7 @@ def _halves(vectors: np.ndarray) -> list[np.ndarray]:
 
 def fit_books(rows: DataFrame, count: int) -> list[np.ndarray]:
     """One codebook per half, each fitted in a task of its own on a bounded sample."""
-    share = int(min(1.0, SAMPLE_ROWS / max(count, 1)) * 1_000_000)
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share)
+    sample = rows.where(drawn(F.col("vec_id"), SAMPLE_ROWS / max(count, 1)))
     size = book_size(count)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -95,7 +95,7 @@ def fit_books(rows: DataFrame, count: int) -> list[np.ndarray]:
         found = centroids(_halves(points)[half], size)
         return pd.DataFrame({"half": [half], "book": [found.tobytes()], "size": [len(found)]})
 
-    both = drawn.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    both = sample.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
     fitted = both.groupBy("half").applyInPandas(fit, "half int, book binary, size int")
     books = {r["half"]: np.frombuffer(r["book"]).reshape(r["size"], -1) for r in fitted.collect()}
     return [books[0], books[1]]
@@ -304,9 +304,8 @@ def _depth(
     k: int,
 ) -> int:
     """Rows that a search has to meet to reach nearly all exact neighbours of the trials."""
-    share = min(1.0, 2 * TRIAL_QUERIES / wanted)
-    drawn = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1e6) + 1)
-    trials = drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIAL_QUERIES).toPandas()
+    some = asked.where(drawn(F.col("vec_id"), 2 * TRIAL_QUERIES / wanted))
+    trials = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIAL_QUERIES).toPandas()
     trials = trials.drop_duplicates("vec_id", ignore_index=True)
     if not len(trials):
         return int(counts.sum())

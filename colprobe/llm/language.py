@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colprobe.llm.common import fold, id_type, short_batches, texts
+from colprobe.llm.common import draw_limit, fold, id_type, short_batches, texts
 
 # Bound of the labelled rows per language that the machines are fitted on (expected).
 ROWS_PER_LANGUAGE = 1_000
@@ -99,10 +99,10 @@ def learn(docs: DataFrame, held_out_fold: int = 2, rows: int = ROWS_PER_LANGUAGE
     machines = plan(languages)
     if not machines:
         return {"languages": languages, "machines": [], "weights": np.zeros((0, WIDTH + 1))}
-    bound = F.create_map(
-        *[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows / n) * 1e6)]
-    )
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < bound[F.col("lang")])
+    # the 63-bit number below which hashes of a language's ids have to lie
+    limits = [F.lit(x) for lang, n in counts.items() for x in (lang, min(draw_limit(rows / n), 2**63 - 1))]
+    bound = F.create_map(*limits)
+    chosen = usable.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= bound[F.col("lang")])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, held_out_fold: int = 2, rows: int = ROWS_PER_LANGUAGE
         weights = fit(data.astype(np.float32), group["sign"].to_numpy(np.float32))
         return pd.DataFrame({"machine": group["machine"][:1], "weights": [weights.astype(np.float32).tobytes()]})
 
-    measured = drawn.select("lang", "text").mapInArrow(measure, "machine int, sign double, row binary")
+    measured = chosen.select("lang", "text").mapInArrow(measure, "machine int, sign double, row binary")
     grown = measured.groupBy("machine").applyInPandas(grow, "machine int, weights binary")
     weights = np.zeros((len(machines), WIDTH + 1), np.float32)
     for row in grown.collect():  # one per machine

@@ -8,6 +8,7 @@ characters around it, so the cost beyond that pass follows the number of anchors
 from __future__ import annotations
 
 import hashlib
+import re
 import string
 from collections.abc import Iterator
 
@@ -123,13 +124,19 @@ def _phone(text: str, plus: int) -> tuple[int | None, int]:
     return (end if 8 <= digits <= 15 else None), end
 
 
+_NOT_IN_LOGIN = re.compile(r"[\s/@]")
+
+
 def _login(text: str, start: int) -> int | None:
-    """End of ``user:password@host`` after a scheme."""
-    at = text.find("@", start, start + 256)
-    user = text[start:at] if at > start else ""
-    if ":" not in user or any(c.isspace() or c == "/" for c in user):
+    """End of ``user:password@host`` after a scheme; the password may be of any length.
+
+    Looks no further than the first white space, slash or at-sign, so schemes that
+    follow each other are read once.
+    """
+    found = _NOT_IN_LOGIN.search(text, start)
+    if found is None or found[0] != "@" or ":" not in text[start : found.start()]:
         return None
-    return _domain(text, at + 1)
+    return _domain(text, found.end())
 
 
 def _iban(text: str, start: int) -> tuple[int, int] | None:

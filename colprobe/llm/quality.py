@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colprobe.llm.common import fold, id_type, short_batches, texts
+from colprobe.llm.common import drawn, fold, id_type, short_batches, texts
 
 # Bound of the labelled rows that the model is fitted on (expected number).
 LABELLED_ROWS = 12_000
@@ -254,11 +254,10 @@ def learn(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, rows: int
         F.col("quality").isin(0, 1) & (fold(3) != held_out_fold)
     )
     count = usable.count()
-    share = min(1.0, rows / count) if count else 1.0
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = usable.where(drawn(F.col("doc_id"), rows / max(count, 1)))
     # one label per document, and no more rows than asked for
-    drawn = drawn.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = texts(docs).join(F.broadcast(drawn), "doc_id").select("text", "quality")
+    chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "quality")
     short_batches(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colprobe.llm.common import texts
-from colprobe.session import new_path
+from colprobe.session import files_of, new_path
 
 RULE_VERSION = 1
 _WORDS = "password|passwd|secret|token|api_?key"
@@ -85,13 +85,14 @@ def update_ledger(
 
     The ledger is a folder of Parquet files with (blob, rule_version, kind, start, end);
     a blob is the SHA-256 of a text. Copies and versions scanned earlier cost a lookup.
-    A new folder in the shared work folder serves where none is given. Returns the path.
+    A new folder in the shared work folder serves where none is given; a named folder
+    that isn't there yet is made. Returns the path.
     """
     spark = docs.sparkSession
-    first = ledger is None
     path = ledger or new_path(spark, "secrets")
+    system, folder = files_of(spark, path)
     blobs = texts(docs).select(F.unhex(F.sha2("text", 256)).alias("blob"), "text")
-    if not first:
+    if ledger is not None and system.exists(folder):
         seen = spark.read.schema(LEDGER).parquet(path).where(F.col("rule_version") == rule_version)
         known = seen.where("kind IS NULL").select("blob")
         blobs = blobs.join(known, "blob", "left_anti")

@@ -136,3 +136,23 @@ def test_ledger_scans_only_what_is_new(spark, make_docs, odd_docs, no_docs, tmp_
     assert scanned() == 5  # new rules look at everything again
     assert secrets.secret_spans(odd_docs).count() == odd_docs.count()
     assert secrets.secret_spans(no_docs).count() == 0
+
+
+def test_login_of_any_length(make_docs):
+    """The password is searched to its end, also in a very long text of many schemes."""
+    long = "https://user:" + "p#" * 50_000 + "@host.example"
+    many = "https://" * 20_000 + " https://a/b@c https://u:p@q@r.s"
+    docs = make_docs([(1, f"see {long} there"), (2, many), (3, "ftp://u:p w@h.example")])
+    spans = {r["doc_id"]: r["spans"] for r in pii.personal_spans(docs).collect()}
+    assert f"login:{4 + len('https://')}:{4 + len(long)}" in spans[1].split(",")
+    assert "login" not in spans[2] and "login" not in spans[3]
+    masked = {r["doc_id"]: r["text"] for r in pii.masked(docs).collect()}
+    assert "p#" not in masked[1]
+
+
+def test_a_new_ledger_folder_is_made(make_docs, tmp_path):
+    docs = make_docs([(1, "password=hunter22"), (2, None)])
+    folder = str(tmp_path / "new" / "ledger")
+    first = sorted(map(tuple, secrets.secret_spans(docs, folder).collect()))
+    assert sorted(map(tuple, secrets.secret_spans(docs, folder).collect())) == first
+    assert [r[1] for r in first] == [1, 0]
