@@ -4,29 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from colprobe.llm import exact_dedup, near_dedup, packing, pii, quality
-from colprobe.session import new_path, shipped_if_small, stage
+from colprobe.session import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model accepts; learned from the labels of these documents."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.accepted(docs, quality.learn(docs, labels))
-
-
-def without(docs: DataFrame, answers: DataFrame) -> DataFrame:
-    """``docs`` without the documents that ``answers`` does not keep.
+    """Documents that the quality model accepts; learned from the labels of these documents.
 
-    Only the ids that go are joined. Documents without an id can't be named by one and
-    stay.
+    Null texts are scored as empty ones, long texts whole; repeated rows share their fate.
     """
-    gone = answers.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    gone = shipped_if_small(stage(gone.where("gone IS NOT NULL"), "gone"))
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.accepted(docs, quality.learn(docs, labels))
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +26,11 @@ def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates."""
-    return without(docs, near_dedup.near_duplicates(docs))
+    """One document of every group of near duplicates.
+
+    Rows are told apart by id and text; those without an id or without a word stay.
+    """
+    return near_dedup.first_of_groups(docs)
 
 
 def masked_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
