@@ -23,8 +23,9 @@ REGISTERS = BANDS * BAND_ROWS
 BUCKET = 32
 # Members of larger buckets that meet in one task for a shingle they share.
 PREFIX_BLOCK = 1024
-# Slots that tokens are counted in, and how many of them are summed together.
-SLOTS, SLOT_PART = 1 << 18, 1 << 12
+# Slots that tokens are counted in, how many of them are summed together, and how many
+# tokens a task gathers before it hands on their counts.
+SLOTS, SLOT_PART, TOKENS = 1 << 22, 1 << 14, 1 << 20
 # What floating point may be off in a bound.
 ROUNDING = 1e-6
 REMEMBERED_WORDS = 500_000
@@ -359,32 +360,43 @@ def _slots(tokens: np.ndarray) -> np.ndarray:
 
 def _token_counts(bags: DataFrame) -> np.ndarray:
     """How many tokens of all bags fall on each of SLOTS slots: a table of fixed size."""
+    names, kinds = ["part", "slot", "held"], (pa.int32(), pa.binary(), pa.binary())
+
+    def rows(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        raw = [(part, slot.tobytes(), held.tobytes()) for part, slot, held in found]
+        columns = [pa.array([r[n] for r in raw], kind) for n, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        slot, n = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.flatnonzero(np.diff(slot // SLOT_PART)) + 1
+        parts = zip(np.split(slot, cuts), np.split(n, cuts), strict=True)
+        return rows([(int(s[0]) // SLOT_PART, s % SLOT_PART, m) for s, m in parts])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
-            for bag in batch.column("bag").to_pylist():
-                total += np.bincount(_slots(_tokens(bag)), minlength=SLOTS)
-        parts = total.reshape(-1, SLOT_PART)
-        used = np.flatnonzero(parts.any(1))
-        yield rows(used.tolist(), [parts[n] for n in used])
+            held += [_slots(_tokens(bag)) for bag in batch.column("bag").to_pylist()]
+            if sum(map(len, held)) >= TOKENS:
+                yield summed(held)
+                held = []
+        if sum(map(len, held)):
+            yield summed(held)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "held")), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(raw, np.int64)
-        yield rows(list(sums), list(sums.values()))
-
-    def rows(part: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
-        columns = [pa.array(part, pa.int32()), pa.array([h.tobytes() for h in held], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "held"])
+            for part, slot, held in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                own = sums.setdefault(part, np.zeros(SLOT_PART, np.int64))
+                own[np.frombuffer(slot, np.int64)] += np.frombuffer(held, np.int64)
+        # the order of very frequent tokens does not matter
+        yield rows([(p, s[:0], np.minimum(s, 2**31 - 1).astype(np.int32)) for p, s in sums.items()])
 
-    schema = "part int, held binary"
+    schema = "part int, slot binary, held binary"
     parts = bags.select("bag").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
-    table = np.zeros(SLOTS, np.int64)
-    for row in parts.collect():  # SLOTS / SLOT_PART rows at most
-        table[row["part"] * SLOT_PART :][:SLOT_PART] = np.frombuffer(row["held"], np.int64)
+    table = np.zeros(SLOTS, np.int32)
+    for row in parts.select("part", "held").collect():  # SLOTS / SLOT_PART rows at most
+        table[row["part"] * SLOT_PART :][:SLOT_PART] = np.frombuffer(row["held"], np.int32)
     return table
 
 
@@ -394,27 +406,29 @@ def _prefixes(nodes: DataFrame, bags: DataFrame) -> DataFrame:
     Two bags that overlap enough share one of the first ``weight - 0.8 weight + 1`` tokens
     of each, whatever the order of tokens, as long as all bags have the same. Tokens go
     by the count of their slot, then by themselves, so that rare ones mostly come first,
-    and no more of a bag leaves its task than these.
+    and no more of a bag leaves its task than these. A token that is alone in its slot is
+    in no other bag; it takes its place and links nothing.
     """
     own = bags.join(shipped_if_small(nodes), "node").select("node", "weight", "group", "bag")
     counts = bags.sparkSession.sparkContext.broadcast(_token_counts(own))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            picked, sizes = [], []
+            picked, places = [], []
             for bag in batch.column("bag").to_pylist():
                 tokens = _tokens(bag)
                 first = int((1 - SIMILARITY) * len(tokens) + ROUNDING) + 1
-                order = np.lexsort((tokens, counts.value[_slots(tokens)]))[:first]
-                picked.append(tokens[order].view(np.int64))
-                sizes.append(len(order))
-            if not sizes:
+                held = counts.value[_slots(tokens)]
+                order = np.lexsort((tokens, held))[:first]
+                place = np.flatnonzero(held[order] > 1)
+                picked.append(tokens[order[place]].view(np.int64))
+                places.append(place)
+            if not picked:
                 continue
-            of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            place = np.concatenate([np.arange(n) for n in sizes])
+            of = pa.array(np.repeat(np.arange(len(picked)), list(map(len, picked))))
             columns = [pa.array(np.concatenate(picked))]
             columns += [batch.column(c).take(of) for c in ("node", "weight", "group")]
-            columns.append(pa.array(place, pa.int64()))
+            columns.append(pa.array(np.concatenate(places), pa.int64()))
             names = ["token", "node", "weight", "group", "place"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
