@@ -1051,6 +1051,16 @@ ORACLES: dict[str, str] = {
     "chunk_fixed": CHUNKS,
     "knn_topk": f"WITH {NEIGHBOURS} SELECT query_id, rank::INTEGER AS rank, id, round(distance, 6) AS distance FROM results",
     "knn_recall": "SELECT count(*) AS queries, 5::BIGINT AS least_rows, true AS recall_reached FROM embeddings",
+    "knn_pruned": """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS id,
+                         list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance
+                  FROM v q, v c)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INTEGER AS rank, id,
+               round(distance, 6) AS distance
+        FROM pairs QUALIFY rank <= 5""",
+    "knn_compressed_recall": "SELECT count(*) AS queries, 5::BIGINT AS least_rows, true AS recall_reached, "
+    "true AS few_compared FROM embeddings",
     "section_title": f"SELECT doc_id, {section('text')} AS section FROM documents",
     "key_phrases": "SELECT doc_id, (pos - 1)::INTEGER AS position, phrase FROM (SELECT doc_id, unnest(p) AS phrase, "
     f"generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, {phrases('text')} AS p FROM documents))",

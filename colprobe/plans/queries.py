@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from colprobe.functions.patterns import PATTERNS
 from colprobe.functions.text import key_phrases, section_title
 from colprobe.functions.types import fields_of
-from colprobe.operators import chunking, citations, constraints, interactions, neighbours
+from colprobe.operators import chunking, citations, compressed, constraints, interactions, neighbours
 from colprobe.operators import embedding as emb
 from colprobe.operators import frequencies as freq
 from colprobe.operators import privacy, quality, samples, scan
@@ -645,8 +645,13 @@ def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the exact neighbours of all vectors the inverted file finds."""
     stored = vectors(spark, sf_dir).select("id", "vector")
     asked = stored.withColumnRenamed("id", "query_id")
+    return recall_of(asked, stored, neighbours.top_k_indexed(asked, stored))
+
+
+def recall_of(asked: DataFrame, stored: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: the queries, the fewest rows of one, and whether nine tenths were found."""
     exact = neighbours.top_k(asked, stored).select("query_id", "id", F.lit(1).alias("wanted"))
-    found = neighbours.top_k_indexed(asked, stored).select("query_id", "id", F.lit(1).alias("got"))
+    found = found.select("query_id", "id", F.lit(1).alias("got"))
     both = exact.join(found, ["query_id", "id"], "full").na.fill(0)
     each = both.groupBy("query_id").agg(
         F.sum("got").alias("rows"), F.sum(F.col("got") * F.col("wanted")).alias("hits")
@@ -658,6 +663,34 @@ def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact neighbours of every vector among all vectors, lists out of reach left out."""
+    stored = vectors(spark, sf_dir)
+    return shown(neighbours.top_k_pruned(stored.withColumnRenamed("id", "query_id"), stored))
+
+
+@query
+def knn_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours of every vector, compared by codes of a byte for four dimensions."""
+    stored = vectors(spark, sf_dir)
+    return shown(compressed.top_k_compressed(stored.withColumnRenamed("id", "query_id"), stored))
+
+
+@query
+def knn_compressed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the codes find, and whether less than a tenth of the vectors were compared."""
+    stored = vectors(spark, sf_dir).select("id", "vector")
+    asked = stored.withColumnRenamed("id", "query_id")
+    found = stage(compressed.top_k_compressed(asked, stored), "found")
+    compared = found.agg(F.max("compared").alias("compared"))  # one row, as all that follow
+    rows = stored.agg(F.count("*").alias("rows"))
+    share = (F.col("compared") < 0.1 * F.col("rows")).alias("few_compared")
+    return recall_of(asked, stored, found).join(compared).join(rows).select(
+        "queries", "least_rows", "recall_reached", share
+    )
+
+
 @query_named("section_title")
 def section_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
