@@ -69,9 +69,9 @@ SHAPES = {
     "j": "(?:36[0-6]|3[0-5][0-9]|[12][0-9][0-9]|0[0-9][0-9]|[0-9]{1,2})",
     "z": "(?:[+-][0-9]{2}:?[0-9]{2}|z)",
 }
-# ISO years and weeks name a date only together, and neither Spark's parser nor a test
-# of their shape can tell whether they do.
-UNSUPPORTED = frozenset("GV")
+# ISO years and weeks, which name a date only with each other and a weekday.
+WEEK_SHAPES = {"G": "[0-9]{4}", "V": "(?:5[0-3]|[0-4][0-9]|[0-9])"}
+WEEKDAYS = frozenset("aAwu")
 
 
 class IllegalFormat(ValueError):
@@ -112,11 +112,12 @@ def follows(text: Column, fmt: str) -> Column:
     have to look right, and those that name the date are put together and parsed.
     """
     found = set(re.findall("%(.)", fmt.replace("%%", ""), re.DOTALL))
-    for directive in sorted(found & UNSUPPORTED):
-        raise NotImplementedError(f"Date format directive %{directive} is not supported")
-    if not found & (set(ASIDE) | {"c", "x", "X"}):
+    weeks = found & set(WEEK_SHAPES)
+    if weeks and (len(weeks) == 1 or not found & WEEKDAYS or "j" in found):
+        raise IllegalFormat(fmt)
+    if not found & ({"c", "x", "X"} | set(ASIDE) | weeks):
         return F.try_to_timestamp(text, F.lit(to_spark_format(fmt))).isNotNull()
-    pattern, kept = [], []
+    pattern, groups = [], []
     pieces = iter(re.sub("%([cxXTFDR])", lambda m: SHORTHANDS[m[1]], fmt))
     for char in pieces:
         directive = next(pieces, "") if char == "%" else None
@@ -124,19 +125,26 @@ def follows(text: Column, fmt: str) -> Column:
             pattern.append("\\s+" if char.isspace() else re.escape(char))
         elif directive in ASIDE:
             pattern.append(ASIDE[directive])
-        elif directive in SHAPES:
-            pattern.append(f"({SHAPES[directive]})")
-            kept.append(directive)
+        elif directive in SHAPES or directive in WEEK_SHAPES:
+            pattern.append(f"({SHAPES.get(directive) or WEEK_SHAPES[directive]})")
+            groups.append(directive)
         else:
             raise IllegalFormat(fmt)
     whole = f"(?i)^{''.join(pattern)}$"
-    named = [F.regexp_extract(text, whole, n + 1) for n in range(len(kept))]
+    every = {n: F.regexp_extract(text, whole, n + 1) for n in range(len(groups))}
+    kept = [groups[n] for n in every if groups[n] not in WEEK_SHAPES]
     # months and halves of the day are read in one spelling only
     named = [
-        F.initcap(part) if d in "bB" else F.upper(part) if d in "pz" else part
-        for d, part in zip(kept, named, strict=True)
+        F.initcap(part) if groups[n] in "bB" else F.upper(part) if groups[n] in "pz" else part
+        for n, part in every.items()
+        if groups[n] not in WEEK_SHAPES
     ]
     shown = F.coalesce(F.rlike(text, F.lit(whole)), F.lit(False))
+    if weeks:
+        year, week = (every[groups.index(d)].try_cast("int") for d in "GV")
+        # the 28th of December lies in the last week of its year
+        last = F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))
+        shown = shown & F.coalesce((year >= 1) & (week >= 1) & (week <= last), F.lit(False))
     if not kept:
         return shown
     parser = "|".join(DIRECTIVES[d] for d in kept)

@@ -11,6 +11,7 @@ import math
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,7 +113,7 @@ def _compile(spark: SparkSession, ix: int, field: Field | None, constraint: dict
             return failed(BAD_PATTERN)
         if not field.is_string:
             return failed(NOT_STRING)
-        return tested(cell.rlike(_anchored(spark, value)), NO_MATCH)
+        return tested(_matches(spark, cell, value), NO_MATCH)
     if kind == "value_in_list":
         if not value:
             return failed(NO_LIST)
@@ -135,25 +136,31 @@ def _compile(spark: SparkSession, ix: int, field: Field | None, constraint: dict
             test = follows(cell.cast("string"), value)
         except IllegalFormat:
             test = F.lit(False)  # no text can follow a format that does not exist
-        except NotImplementedError as error:
-            return failed(str(error))
         return tested(test, NO_DATE)
     return failed(UNKNOWN_KIND)
 
 
-def _anchored(spark: SparkSession, pattern: str) -> str:
-    """The Java form of a Python pattern, matched at the start of the text only.
+def _matches(spark: SparkSession, cell: Column, pattern: str) -> Column:
+    """Whether a cell begins with a match of a Python pattern.
 
-    A pattern Java cannot read would fail the whole job, so it is tried here first.
+    Most patterns mean the same in Java and stay inside the JVM. One that Java cannot
+    read would fail the whole job, so it is tried first, and is left to Python, in
+    batches, if it must be.
     """
     java = pattern.replace("(?P<", "(?<")
     java = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", java).replace(r"\Z", r"\z")
     anchored = f"^(?:{java})"
     try:
         spark.range(1).select(F.lit("").rlike(anchored)).collect()
-    except PySparkException as error:
-        raise ValueError(f"pattern not usable on the cluster: {pattern}") from error
-    return anchored
+    except PySparkException:
+
+        @F.pandas_udf("boolean")
+        def begins(cells: pd.Series) -> pd.Series:
+            match = re.compile(pattern).match
+            return cells.map(lambda c: None if c is None else match(c) is not None).astype(object)
+
+        return begins(cell)
+    return cell.rlike(anchored)
 
 
 def _row(check: Check, good: Column, rate: Column, bad: Column) -> Column:

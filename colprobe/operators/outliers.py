@@ -34,6 +34,8 @@ TREE_SAMPLE = 256
 COLUMNS_AT_ONCE = 64
 # Of the sketch that brackets a median: its rank is off by at most rows / accuracy.
 MEDIAN_ACCURACY = 10_000
+# Cells that one task sorts for a median, and steps of the grid that narrows a wider bracket.
+MEDIAN_ROWS, MEDIAN_GRID = 1_000_000, 200
 # Rows per distinct value from which on counting values first pays for its shuffle.
 REPEATS = 20
 
@@ -190,30 +192,41 @@ def column_stats(df: DataFrame, numeric: list[Field]) -> dict[int, ColumnStats]:
 
 
 def exact_medians(cells: DataFrame, stats: dict[int, ColumnStats]) -> dict[int, float]:
-    """Exact medians of columns of (column_ix, number) cells, in two passes.
+    """Exact medians of columns of (column_ix, number) cells.
 
-    A sketch with a known error gives two values with the median between them. The second
-    pass counts the cells below and keeps the few in between, counted by value, among
-    which the wanted ranks are found.
+    A sketch with a known error gives two values with the median between them. Where
+    more cells may lie between than one task should sort (MEDIAN_ROWS), the cells below
+    are counted and a grid of quantiles of those between narrows the bracket, again and
+    again. Then the few cells in between are counted by value, and the wanted ranks are
+    found among them.
     """
     margin = 3.0 / MEDIAN_ACCURACY
-    around = F.array(F.lit(0.5 - margin), F.lit(0.5 + margin))
     present = cells.where("number IS NOT NULL").select("column_ix", "number")
-    brackets = present.groupBy("column_ix").agg(
-        F.percentile_approx("number", around, F.lit(MEDIAN_ACCURACY)).alias("around")
-    )
-    inner = F.when(F.col("number") >= F.col("around")[0], F.col("number"))
+    around = F.percentile_approx("number", F.array(F.lit(0.5 - margin), F.lit(0.5 + margin)), F.lit(MEDIAN_ACCURACY))
+    found = present.groupBy("column_ix").agg(around.alias("around")).collect()  # one row per column
+    brackets = {r["column_ix"]: tuple(r["around"]) for r in found}
+    held = {ix: s.rows - s.missing for ix, s in stats.items()}
+    ranks = {ix: ((n - 1) // 2, n // 2) for ix, n in held.items()}
+    between = {ix: math.ceil(n * 3 * margin) for ix, n in held.items()}
+    while wide := [ix for ix, n in between.items() if n > MEDIAN_ROWS and brackets[ix][0] < brackets[ix][1]]:
+        narrowed = _narrowed(present.where(F.col("column_ix").isin(wide)), brackets, ranks)
+        if all(brackets[ix] == bracket for ix, (bracket, _) in narrowed.items()):
+            break  # nearly all cells repeat the values at its ends
+        for ix, (bracket, most) in narrowed.items():
+            brackets[ix], between[ix] = bracket, most
+
+    inner = F.when(F.col("number") >= F.col("low"), F.col("number"))
     counted = (
-        present.join(F.broadcast(brackets), "column_ix")  # one row per column
-        .where(F.col("number") <= F.col("around")[1])
+        _with_brackets(present, brackets)
+        .where(F.col("number") <= F.col("high"))
         .groupBy("column_ix", inner.alias("number"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranks = [(ix, (s.rows - s.missing - 1) // 2, (s.rows - s.missing) // 2) for ix, s in stats.items()]
-    wanted = cells.sparkSession.createDataFrame(ranks, "column_ix int, lower long, upper long")
+    rows = [(ix, *pair) for ix, pair in ranks.items()]
+    wanted = cells.sparkSession.createDataFrame(rows, "column_ix int, lower long, upper long")
     by_value = W.partitionBy("column_ix").orderBy(F.col("number").asc_nulls_first())
     through, before = F.sum("n").over(by_value), F.col("through") - F.col("n")
-    found = (
+    at_ranks = (
         counted.withColumn("through", through)
         .join(F.broadcast(wanted), "column_ix")  # one row per column
         .select(
@@ -224,7 +237,34 @@ def exact_medians(cells: DataFrame, stats: dict[int, ColumnStats]) -> dict[int,
         .groupBy("column_ix")
         .agg(F.max("a").alias("a"), F.max("b").alias("b"))
     )
-    return {r["column_ix"]: (r["a"] + r["b"]) / 2 for r in found.collect()}  # one row per column
+    return {r["column_ix"]: (r["a"] + r["b"]) / 2 for r in at_ranks.collect()}  # one row per column
+
+
+def _with_brackets(present: DataFrame, brackets: dict[int, tuple[float, float]]) -> DataFrame:
+    rows = [(ix, float(low), float(high)) for ix, (low, high) in brackets.items()]
+    table = present.sparkSession.createDataFrame(rows, "column_ix int, low double, high double")
+    return present.join(F.broadcast(table), "column_ix")  # one row per column
+
+
+def _narrowed(
+    present: DataFrame, brackets: dict[int, tuple[float, float]], ranks: dict[int, tuple[int, int]]
+) -> dict[int, tuple[tuple[float, float], int]]:
+    """Narrower brackets around the ranks, and the most distinct cells within."""
+    inside = (F.col("number") >= F.col("low")) & (F.col("number") <= F.col("high"))
+    grid = F.array(*[F.lit(n / MEDIAN_GRID) for n in range(MEDIAN_GRID + 1)])
+    quantiles = F.percentile_approx(F.when(inside, F.col("number")), grid, F.lit(MEDIAN_ACCURACY))
+    rows = _with_brackets(present, brackets).groupBy("column_ix").agg(
+        F.count_if(F.col("number") < F.col("low")).alias("below"),
+        F.count_if(inside).alias("inside"),
+        quantiles.alias("grid"),
+    )
+    found = {}
+    for r in rows.collect():  # one row per column
+        lower, upper = ((rank - r["below"]) / r["inside"] * MEDIAN_GRID for rank in ranks[r["column_ix"]])
+        first = r["grid"][max(math.floor(lower) - 1, 0)]
+        last = r["grid"][min(math.ceil(upper) + 1, MEDIAN_GRID)]
+        found[r["column_ix"]] = ((first, last), math.ceil(r["inside"] * 5 / MEDIAN_GRID))
+    return found
 
 
 # --- the operator -----------------------------------------------------------------

@@ -109,6 +109,33 @@ def test_exact_medians(spark, monkeypatch):
         assert [found[i] for i in range(3)] == pytest.approx(list(expected))
 
 
+def test_medians_by_narrower_brackets(spark, monkeypatch):
+    """No more cells than MEDIAN_ROWS are sorted by one task, whatever the column holds."""
+    monkeypatch.setattr(mod, "MEDIAN_ROWS", 300)
+    monkeypatch.setattr(mod, "MEDIAN_ACCURACY", 1000)
+    seen, real = [], mod._with_brackets
+
+    def watched(present, brackets):
+        seen.append({ix: present.where(F.col("column_ix") == ix).where(
+            (F.col("number") >= low) & (F.col("number") <= high)).select("number").distinct().count()
+            for ix, (low, high) in brackets.items()})
+        return real(present, brackets)
+
+    monkeypatch.setattr(mod, "_with_brackets", watched)
+    df = spark.range(60_000).selectExpr(
+        "double(pmod(xxhash64(id), 1000003)) AS a",
+        "CASE WHEN id % 3 > 0 THEN exp(double(id) / 900) END AS b",
+        "CASE WHEN id % 2 = 0 THEN 5D ELSE double(id) END AS c",
+        "double(id % 2) AS d",
+    )
+    fields = fields_of(df)
+    stats = mod.column_stats(df, fields)
+    found = mod.exact_medians(mod._cells(df, fields), stats)
+    expected = df.agg(*[F.median(c) for c in "abcd"]).first()
+    assert [found[i] for i in range(4)] == pytest.approx(list(expected))
+    assert len(seen) > 1 and max(seen[-1].values()) <= 300
+
+
 def test_medians_take_as_many_jobs_for_any_data(spark):
     def jobs(expression):
         df = spark.range(20_000).selectExpr(f"CASE WHEN id % 5 > 0 THEN {expression} END AS x")
