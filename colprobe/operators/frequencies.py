@@ -37,17 +37,17 @@ def text_key(text: str) -> str:
     return f"CASE WHEN length({text}) > {LONGEST_PLAIN_KEY} THEN {digest} ELSE {text} END"
 
 
+def _counted_as(field: Field) -> str:
+    if isinstance(field.dtype, INTEGRAL):
+        return "bigint"
+    return "string" if field.type_class in ("string", "other") else field.dtype.simpleString()
+
+
 def _families(fields: list[Field]) -> list[tuple[str, list[Field]]]:
     """Fields grouped by the type their values are counted under."""
     families: dict[str, list[Field]] = {}
     for field in fields:
-        if isinstance(field.dtype, INTEGRAL):
-            counted_as = "bigint"
-        elif field.type_class in ("string", "other"):
-            counted_as = "string"
-        else:
-            counted_as = field.dtype.simpleString()
-        families.setdefault(f"{counted_as}|{field.type_class}", []).append(field)
+        families.setdefault(f"{_counted_as(field)}|{field.type_class}", []).append(field)
     return [
         (key.split("|")[0], members[start : start + COLUMNS_AT_ONCE])
         for key, members in families.items()
@@ -61,6 +61,22 @@ def unfold(df: DataFrame, counted_as: str, members: list[Field], cell) -> DataFr
     return df.selectExpr(f"stack({len(members)}, {pairs}) AS (column_ix, value)")
 
 
+def text_cells(df: DataFrame, fields: list[Field], digest_text: bool = False) -> DataFrame:
+    """(column_ix, value) rows with the values as ``value_frequencies`` shows them.
+
+    All types side by side, for sources that should be read once, such as streams.
+    """
+
+    def shown(field: Field) -> str:
+        cell = _binary_as_text(field)
+        if digest_text and _counted_as(field) == "string":
+            cell = text_key(cell)
+        return cell if _counted_as(field) == "string" else f"CAST({cell} AS {_counted_as(field)})"
+
+    groups = [fields[i : i + COLUMNS_AT_ONCE] for i in range(0, len(fields), COLUMNS_AT_ONCE)]
+    return reduce(DataFrame.unionByName, [unfold(df, "string", some, shown) for some in groups])
+
+
 def _counted(
     df: DataFrame, fields: list[Field], digest_text: bool, unique: tuple[str, ...] = ()
 ):
@@ -163,14 +179,10 @@ def approximate_distinct_counts(
     """
     fields = fields_of(df, columns)
 
-    def hashed(field: Field) -> str:
-        cell = _binary_as_text(field)
-        return f"CASE WHEN {cell} IS NOT NULL THEN xxhash64({cell}) END"
-
     # a sketch per group: side by side in one row, those of many columns would outgrow
     # generated code
     parts = [
-        unfold(df, "bigint", fields[start : start + COLUMNS_AT_ONCE], hashed)
+        unfold(df, "bigint", fields[start : start + COLUMNS_AT_ONCE], hashed_cell)
         for start in range(0, len(fields), COLUMNS_AT_ONCE)
     ]
     seeds = _seed_rows(df, fields).select("column_ix", F.lit(None).cast("bigint").alias("value"))
@@ -239,6 +251,12 @@ def _binary_as_text(field: Field) -> str:
     return f"hex({sql_name(field.name)})" if binary else field.cell
 
 
+def hashed_cell(field: Field) -> str:
+    """SQL for a 64-bit hash of a cell, NULL if it is missing."""
+    cell = _binary_as_text(field)
+    return f"CASE WHEN {cell} IS NOT NULL THEN xxhash64({cell}) END"
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: (row_count, duplicate_rows), counting every repeat after the first.
 

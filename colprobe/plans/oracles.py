@@ -796,6 +796,45 @@ def orders_factors(having: str = "") -> str:
     )
 
 
+WINDOW_MEASURES = """count(*) AS rows, count(value) AS present, round(sum(value), 6) AS total,
+    round(min(value), 6) AS least, round(max(value), 6) AS most"""
+
+HOURLY = f"""
+    SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS from_time,
+        CAST(date_trunc('hour', ts) + INTERVAL 1 HOUR AS VARCHAR) AS until_time,
+        event_type, {WINDOW_MEASURES}
+    FROM events WHERE ts IS NOT NULL GROUP BY date_trunc('hour', ts), event_type"""
+
+SESSIONS = f"""
+    SELECT CAST(min(ts) AS VARCHAR) AS from_time,
+        CAST(max(ts) + INTERVAL 30 MINUTE AS VARCHAR) AS until_time, user_id, {WINDOW_MEASURES}
+    FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
+            SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)
+                + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh
+            FROM events WHERE ts IS NOT NULL))
+    GROUP BY user_id, session"""
+
+
+def identifying(source: str, columns: list[str], k: int, largest: int) -> str:
+    """Every set of columns is counted; a set is a number with one bit per column."""
+    sets = []
+    for mask in range(1, 2 ** len(columns)):
+        chosen = [c for i, c in enumerate(columns) if mask >> i & 1]
+        if len(chosen) <= largest:
+            sets.append(
+                f"SELECT {mask} AS mask, '{', '.join(chosen)}' AS columns, {len(chosen)} AS size, "
+                f"min(n) AS smallest_group, sum(CASE WHEN n < {k} THEN n ELSE 0 END) AS rows_below "
+                f"FROM (SELECT count(*) AS n FROM {source} GROUP BY {', '.join(chosen)})"
+            )
+    return (
+        f"WITH sets AS ({union(sets)}), bad AS (SELECT * FROM sets WHERE smallest_group < {k}) "
+        "SELECT columns, CAST(size AS INTEGER) AS size, smallest_group, "
+        "CAST(rows_below AS BIGINT) AS rows_below FROM bad AS b WHERE NOT EXISTS "
+        "(SELECT 1 FROM bad AS s WHERE s.mask <> b.mask AND (s.mask & b.mask) = s.mask)"
+    )
+
+
 ORACLES: dict[str, str] = {
     # sources
     "load_normalized": "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer",
@@ -1122,6 +1161,26 @@ ORACLES: dict[str, str] = {
         "events", "privacy_factor", "shannon_entropy", "hartley_measure"
     ),
     "stream_feedback": FEEDBACK,
+    "stream_hourly_windows": HOURLY,
+    "stream_user_sessions": SESSIONS,
+    "user_sessions": SESSIONS,
+    "distinct_sketches": union(
+        [
+            f"SELECT '{c}' AS column_name, count(*) AS total_count, "
+            f"count(DISTINCT {c}) AS distinct_count, true AS within_bound FROM lineitem"
+            for c in TABLES["lineitem"]
+        ]
+    ),
+    "identifying_sets": identifying(
+        "lineitem",
+        [
+            "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+            "l_shipdate",
+        ],
+        5,
+        4,
+    ),
+    "identifying_sets_customer": identifying("customer", list(TABLES["customer"]), 5, 3),
 }
 
 

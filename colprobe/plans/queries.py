@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from colprobe.functions.patterns import PATTERNS
 from colprobe.functions.text import key_phrases, section_title
 from colprobe.functions.types import fields_of
-from colprobe.operators import chunking, citations, compressed, constraints, interactions, neighbours
+from colprobe.operators import anonymity, chunking, citations, compressed, constraints, interactions, neighbours
 from colprobe.operators import embedding as emb
 from colprobe.operators import frequencies as freq
-from colprobe.operators import privacy, quality, samples, scan
+from colprobe.operators import privacy, quality, samples, scan, sketches
 from colprobe.operators.outliers import outliers
 from colprobe.operators.prompts import prompt_batch as prompts_of
 from colprobe.plans import corpus as corpus_plans
@@ -25,7 +25,7 @@ from colprobe.plans.profile import TableProfile
 from colprobe.session import new_path, spread, stage
 from colprobe.sources import corpus as corpus_source
 from colprobe.sources import tables
-from colprobe.streaming import increments
+from colprobe.streaming import state, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -183,6 +183,36 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.select("column_name", "distinct_count")
 
 
+@query
+def distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches stored per year of shipment and united, next to the exact counts."""
+    lines, path = table(spark, sf_dir, "lineitem"), new_path(spark, "sketches")
+    sketches.store_sketches(lines, "year(l_shipdate)", path)
+    united = sketches.united_counts(sketches.stored_sketches(spark, path), fields_of(lines))
+    exact = freq.frequency_metrics(lines).select("column_ix", F.col("distinct_count").alias("exact"))
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= F.col("exact") * 0.04
+    # both have one row per column
+    return united.join(F.broadcast(exact), "column_ix").select(
+        "column_name", "total_count", F.col("exact").alias("distinct_count"), near.alias("within_bound")
+    )
+
+
+LINE_FACETS = [
+    "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"
+]
+
+
+@query
+def identifying_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return anonymity.identifying_sets(lines, k=5, columns=LINE_FACETS, max_columns=4)
+
+
+@query
+def identifying_sets_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anonymity.identifying_sets(table(spark, sf_dir, "customer"), k=5)
+
+
 @query
 def column_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples.column_samples(table(spark, sf_dir, "customer"))
@@ -986,26 +1016,57 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_value_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, checkpoint = new_path(spark, "increments"), new_path(spark, "stream")
-    stream = event_stream(spark, sf_dir)
-    increments.stream_value_frequencies(stream, path, checkpoint).awaitTermination()
-    counts = increments.current_frequencies(spark, path)
+    checkpoint, stream = new_path(spark, "stream"), event_stream(spark, sf_dir)
+    state.stream_value_frequencies(stream, checkpoint).awaitTermination()
+    counts = state.current_frequencies(spark, fields_of(stream), checkpoint)
     return counts.select("column_name", "value", "freq")
 
 
 @query
 def stream_entropy_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The information measures of a stream's columns, from its increments."""
-    path, checkpoint = new_path(spark, "increments"), new_path(spark, "stream")
-    stream = event_stream(spark, sf_dir)
-    increments.stream_value_frequencies(stream, path, checkpoint, digest_text=True).awaitTermination()
-    metrics = privacy.with_entropy(increments.current_metrics(spark, path, fields_of(stream)))
+    """The information measures of a stream's columns, from its state."""
+    checkpoint, stream = new_path(spark, "stream"), event_stream(spark, sf_dir)
+    state.stream_value_frequencies(stream, checkpoint, digest_text=True).awaitTermination()
+    metrics = privacy.with_entropy(state.current_metrics(spark, fields_of(stream), checkpoint))
     return shown(metrics, "column_name", "privacy_factor", "shannon_entropy", "hartley_measure")
 
 
 @query
 def stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, checkpoint = new_path(spark, "increments"), new_path(spark, "stream")
-    stream = as_feedback(event_stream(spark, sf_dir))
-    increments.stream_feedback(stream, path, checkpoint).awaitTermination()
-    return feedback_columns(increments.current_feedback(spark, path))
+    checkpoint = new_path(spark, "stream")
+    state.stream_feedback(as_feedback(event_stream(spark, sf_dir)), checkpoint).awaitTermination()
+    return feedback_columns(state.current_feedback(spark, checkpoint))
+
+
+def window_columns(found: DataFrame, key: str) -> DataFrame:
+    times = [F.col(end).cast("string").alias(f"{end}_time") for end in ("from", "until")]
+    return shown(found.select(*times, F.col("key").alias(key), *windows.MEASURES.names))
+
+
+def streamed_windows(spark: SparkSession, sf_dir: str, key: str, **period: str) -> DataFrame:
+    path, checkpoint = new_path(spark, "windows"), new_path(spark, "stream")
+    stream = event_stream(spark, sf_dir)
+    windows.stream_windows(
+        stream, "ts", key, "value", path, checkpoint, delay="1 hour", **period
+    ).awaitTermination()
+    return window_columns(windows.current_windows(spark, path, checkpoint), key)
+
+
+@query
+def stream_hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of every type per hour, closed and open hours together."""
+    return streamed_windows(spark, sf_dir, "event_type", width="1 hour")
+
+
+@query
+def stream_user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of every user; one ends half an hour after its last event."""
+    return streamed_windows(spark, sf_dir, "user_id", gap="30 minutes")
+
+
+@query
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sessions from the table at rest."""
+    events = table(spark, sf_dir, "events")
+    found = windows.windowed(events, "ts", "user_id", "value", gap="30 minutes")
+    return window_columns(found, "user_id")

@@ -2,10 +2,8 @@ import pytest
 from pyspark.sql import types as T
 
 from colprobe.operators import interactions
-from colprobe.operators.frequencies import value_frequencies
-from colprobe.session import new_path, spread, work_dir
+from colprobe.session import spread, work_dir
 from colprobe.sources import tables
-from colprobe.streaming import increments
 
 
 @pytest.fixture(scope="module")
@@ -72,87 +70,6 @@ def test_work_dir_is_the_configured_folder(spark):
     assert work_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-# --- streams ------------------------------------------------------------------------
-
-
-@pytest.fixture(scope="module")
-def landed(spark, tmp_path_factory):
-    """A folder of event files arriving in several micro-batches."""
-    folder = str(tmp_path_factory.mktemp("land") / "events")
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    events.repartition(6).write.parquet(folder)
-    stream = (
-        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
-    )
-    return events, stream
-
-
-def test_streamed_frequencies_equal_batch(spark, landed):
-    events, stream = landed
-    path, checkpoint = new_path(spark, "inc"), new_path(spark, "ck")
-    increments.stream_value_frequencies(stream, path, checkpoint).awaitTermination()
-    assert len(increments.committed(spark, path)) == 3
-    found = increments.current_frequencies(spark, path)
-    assert sorted(map(str, found.collect())) == sorted(map(str, value_frequencies(events).collect()))
-    rows = sorted(map(str, found.collect()))
-    increments.compact(spark, path, increments.summed)
-    assert len(increments.committed(spark, path)) == 1
-    found = increments.current_frequencies(spark, path)
-    assert sorted(map(str, found.collect())) == rows
-    # a restart with nothing new changes nothing
-    increments.stream_value_frequencies(stream, path, checkpoint).awaitTermination()
-    assert increments.current_frequencies(spark, path).count() == found.count()
-
-
-def test_nothing_is_lost_after_compaction(spark, tmp_path):
-    """Count, merge, and go on with a fresh checkpoint whose batches start at 0 again."""
-    path = new_path(spark, "inc")
-
-    def arrive(folder, rows):
-        spark.range(rows).selectExpr("id % 7 AS k").repartition(3).write.parquet(str(tmp_path / folder))
-        stream = spark.readStream.schema("k long").option("maxFilesPerTrigger", 1)
-        return stream.parquet(str(tmp_path / folder))
-
-    def total():
-        return increments.current_frequencies(spark, path).agg({"freq": "sum"}).first()[0]
-
-    first = arrive("a", 1000)
-    increments.stream_value_frequencies(first, path, new_path(spark, "ck")).awaitTermination()
-    increments.compact(spark, path, increments.summed)
-    assert total() == 1000
-    second, checkpoint = arrive("b", 10), new_path(spark, "ck")
-    increments.stream_value_frequencies(second, path, checkpoint).awaitTermination()
-    assert total() == 1010
-    # written but not recorded: half an increment
-    spark.createDataFrame([(0, "k", "1", 99)], "column_ix int, column_name string, value string, freq long") \
-        .write.parquet(f"{path}/data/batch-unrecorded-0")
-    assert total() == 1010
-
-
-def test_compaction_on_schedule(spark, landed):
-    events, stream = landed
-    path = new_path(spark, "inc")
-    trigger = {"processingTime": "0 seconds"}
-    query = increments.stream_value_frequencies(
-        stream, path, new_path(spark, "ck"), trigger=trigger, compact_after=2
-    )
-    query.processAllAvailable()
-    query.stop()
-    assert len(increments.committed(spark, path)) == 1
-    found = increments.current_frequencies(spark, path)
-    assert sorted(map(str, found.collect())) == sorted(map(str, value_frequencies(events).collect()))
-
-
-def test_streamed_feedback_equals_batch(spark, landed):
-    events, stream = landed
-    names = ["user_id AS message_id", "event_type AS feedback", "ts", "event_id"]
-    path, checkpoint = new_path(spark, "inc"), new_path(spark, "ck")
-    increments.stream_feedback(stream.selectExpr(*names), path, checkpoint).awaitTermination()
-    batch = interactions.feedback_latest(events.selectExpr(*names))
-    found = increments.current_feedback(spark, path)
-    assert sorted(map(str, found.collect())) == sorted(map(str, batch.collect()))
-
-
 def test_append_turns(spark):
     schema = "conv_id long, turn long, role string, text string"
     history = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], schema)
