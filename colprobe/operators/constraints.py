@@ -20,6 +20,7 @@ from colprobe.functions.dates import DEFAULT_FORMAT, IllegalFormat, follows
 from colprobe.functions.types import Field, fields_of, in_passes
 from colprobe.operators.frequencies import frequency_metrics
 from colprobe.operators.privacy import share
+from colprobe.operators.repeats import distinct_counts
 
 # Error messages; those of counts follow the number of bad cells.
 NO_COLUMN = "Column not found in dataset"
@@ -181,8 +182,14 @@ def _result(check: Check, passed: Column, error: Column, rate: Column) -> Column
     )
 
 
-def apply_constraints(df: DataFrame, constraints: list[dict]) -> DataFrame:
-    """One row per constraint, numbered in the given order."""
+def apply_constraints(
+    df: DataFrame, constraints: list[dict], few_repeats: bool = False
+) -> DataFrame:
+    """One row per constraint, numbered in the given order.
+
+    ``few_repeats`` checks ``unique`` without shuffling values that occur once; the results are
+    the same, and large tables with keys take less traffic for two more reads.
+    """
     checks = compile_constraints(df, constraints)
     if not checks:
         return _empty_result(df.sparkSession)
@@ -199,7 +206,7 @@ def apply_constraints(df: DataFrame, constraints: list[dict]) -> DataFrame:
         parts += [_scanned_rows(df, part) for part in in_passes(scanned, lambda check: 2)]
     distinct = [c for c in checks if c.kind == "unique" and c.settled is None]
     if distinct:
-        parts.append(_unique_rows(df, distinct))
+        parts.append(_unique_rows(df, distinct, few_repeats))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -220,8 +227,9 @@ def _scanned_rows(df: DataFrame, checks: list[Check]) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
-def _unique_rows(df: DataFrame, checks: list[Check]) -> DataFrame:
-    metrics = frequency_metrics(df, sorted({c.field.name for c in checks}))
+def _unique_rows(df: DataFrame, checks: list[Check], few_repeats: bool) -> DataFrame:
+    counted = distinct_counts if few_repeats else frequency_metrics
+    metrics = counted(df, sorted({c.field.name for c in checks}))
     same = F.col("distinct_count") == F.col("value_count")
     rate = F.when(same, F.lit(1.0)).otherwise(F.lit(0.0))
     bad = F.col("value_count") - F.col("distinct_count")

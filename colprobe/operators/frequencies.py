@@ -77,6 +77,18 @@ def text_cells(df: DataFrame, fields: list[Field], digest_text: bool = False) ->
     return reduce(DataFrame.unionByName, [unfold(df, "string", some, shown) for some in groups])
 
 
+def typed_cells(df: DataFrame, fields: list[Field]):
+    """One (members, cells) pair per type family: (column_ix, value), long texts as digests."""
+    for counted_as, members in _families(fields):
+        is_text = counted_as == "string"
+
+        def cell(field: Field, is_text: bool = is_text) -> str:
+            value = _binary_as_text(field)
+            return text_key(value) if is_text else value
+
+        yield members, unfold(df, counted_as, members, cell)
+
+
 def _counted(
     df: DataFrame, fields: list[Field], digest_text: bool, unique: tuple[str, ...] = ()
 ):

@@ -1193,5 +1193,18 @@ def integrity_overall(source: str) -> str:
     )
 
 
+ORACLES["constraint_unique_keys"] = ORACLES["constraint_unique"]
+ORACLES["duplicate_rows_whole"] = (
+    "SELECT count(*) AS row_count, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) "
+    "AS duplicate_rows FROM lineitem"
+)
+ORACLES["distinct_counts_keys"] = union(
+    [
+        f"SELECT '{c}' AS column_name, count(*) AS total_count, count(*) - count({c}) AS missing_count, "
+        f"count({c}) AS value_count, count(DISTINCT {c}) AS distinct_count, "
+        f"count({c}) - count(DISTINCT {c}) AS duplicate_count FROM orders"
+        for c in TABLES["orders"]
+    ]
+)
 ORACLES["integrity_overall"] = integrity_overall("customer")
 ORACLES["integrity_overall_nulls"] = integrity_overall("orders_nulls")

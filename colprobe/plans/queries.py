@@ -17,7 +17,7 @@ from colprobe.functions.types import fields_of
 from colprobe.operators import anonymity, chunking, citations, compressed, constraints, interactions, neighbours
 from colprobe.operators import embedding as emb
 from colprobe.operators import frequencies as freq
-from colprobe.operators import privacy, quality, samples, scan, sketches
+from colprobe.operators import privacy, quality, repeats, samples, scan, sketches
 from colprobe.operators.outliers import outliers
 from colprobe.operators.prompts import prompt_batch as prompts_of
 from colprobe.plans import corpus as corpus_plans
@@ -224,6 +224,24 @@ def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return freq.duplicate_rows(table(spark, sf_dir, "events").select("event_type", "user_id"))
 
 
+@query
+def distinct_counts_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of ``orders``, keys and facets, unique values staying where they are."""
+    return repeats.distinct_counts(table(spark, sf_dir, "orders")).drop("column_ix")
+
+
+@query
+def duplicate_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.duplicate_rows(table(spark, sf_dir, "lineitem"))
+
+
+@query
+def constraint_unique_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = checks(("o_orderkey", "unique", ""), ("o_custkey", "unique", ""))
+    orders = table(spark, sf_dir, "orders")
+    return shown(constraints.apply_constraints(orders, wanted, few_repeats=True))
+
+
 # --- privacy --------------------------------------------------------------------------
 
 
