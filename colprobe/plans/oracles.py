@@ -1193,6 +1193,14 @@ def integrity_overall(source: str) -> str:
     )
 
 
+ORACLES["corpus_page_files"] = (
+    "SELECT doc_id, sha256(replace(text, chr(12), ' ')) AS text_sha256, true AS in_order FROM documents"
+)
+ORACLES["ingest_refresh"] = (
+    "SELECT doc_id, CASE WHEN doc_id % 6 IN (3, 4) THEN 2 ELSE 1 END::INTEGER AS run, true AS embedded "
+    "FROM documents WHERE doc_id % 6 <> 5 AND "
+    "length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0"
+)
 ORACLES["constraint_unique_keys"] = ORACLES["constraint_unique"]
 ORACLES["duplicate_rows_whole"] = (
     "SELECT count(*) AS row_count, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) "

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colprobe.functions.patterns import PATTERNS
@@ -21,6 +21,7 @@ from colprobe.operators import privacy, quality, repeats, samples, scan, sketche
 from colprobe.operators.outliers import outliers
 from colprobe.operators.prompts import prompt_batch as prompts_of
 from colprobe.plans import corpus as corpus_plans
+from colprobe.plans import refresh as refresh_plans
 from colprobe.plans.profile import TableProfile
 from colprobe.session import new_path, spread, stage
 from colprobe.sources import corpus as corpus_source
@@ -651,6 +652,38 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_source.corpus_stats(chunks)
 
 
+@query
+def ingest_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which run embedded what: a third of the documents is new to the second run or changed by it."""
+    documents, path = corpus(spark, sf_dir), new_path(spark, "store")
+    kind = F.pmod("doc_id", F.lit(6))
+    changed = F.when(kind == 3, F.concat("text", F.lit(" Changed."))).otherwise(F.col("text"))
+    refresh_plans.refresh(documents.where(kind != 4), path)
+    later = documents.where(kind != 5).withColumn("text", changed)
+    chunks, _ = refresh_plans.refresh(later, path)
+    return chunks.groupBy("doc_id").agg(
+        F.max("run").alias("run"),
+        F.bool_and(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x) > 0.99).alias("embedded"),
+    )
+
+
+@query
+def corpus_page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of text files, read back with their page numbers."""
+    folder = new_path(spark, "files")
+    pages = table(spark, sf_dir, "documents").sortWithinPartitions("doc_id").select(
+        F.concat_ws(" ", "doc_id", F.translate("text", corpus_source.PAGE_BREAK, " "))
+    )
+    pages.write.option("lineSep", corpus_source.PAGE_BREAK).text(folder)
+    read = corpus_source.load_corpus_files(spark, folder)
+    number, text = F.split("text", " ", 2)[0].cast("long"), F.split("text", " ", 2)[1]
+    before = F.lag("doc_id").over(Window.partitionBy("source").orderBy("page"))
+    in_order = F.coalesce(before < F.col("doc_id"), F.col("page") == 0)
+    return read.select(
+        "source", "page", number.alias("doc_id"), F.sha2(text, 256).alias("text_sha256")
+    ).select("doc_id", "text_sha256", in_order.alias("in_order"))
+
+
 @query
 def embed_hash_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
