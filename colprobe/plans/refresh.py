@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from colprobe.operators.chunking import chunk_recursive
 from colprobe.operators.embedding import embed, fit_hashed_tfidf
-from colprobe.session import files_of, shipped_if_small, spread, stage
+from colprobe.session import files_of, shipped_if_small, stage
 
 BUCKETS = 256
 # Hex digits of a page's digest that are added up at a time; four such sums are kept.
@@ -69,23 +69,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return system.exists(hadoop)
 
 
-def _model(documents: DataFrame, path: str) -> PipelineModel:
-    if not _exists(documents.sparkSession, f"{path}/model/metadata/_SUCCESS"):
-        model = fit_hashed_tfidf(spread(stage(chunked(documents).select("text"), "texts")))
-        model.write().overwrite().save(f"{path}/model")
-    return PipelineModel.load(f"{path}/model")
-
-
-def _embedded(
-    documents: DataFrame, changes: DataFrame, model: PipelineModel, run: int, buckets: int
-) -> DataFrame:
+def _texts(documents: DataFrame, changes: DataFrame, run: int, buckets: int) -> DataFrame:
+    """Chunks of the documents in ``changes``, without vectors, stored by bucket."""
     digests = shipped_if_small(changes.select(F.col("doc_id").alias("of"), "doc_digest"))
     wanted = documents.join(digests, documents["doc_id"].eqNullSafe(digests["of"]))
-    texts = embed(spread(stage(chunked(wanted, "doc_digest"), "texts")), model)
-    return texts.select(
-        "id", "doc_id", "source", "page", "chunk_index", "text", "embedding", "doc_digest",
+    texts = chunked(wanted, "doc_digest").select(
+        "id", "doc_id", "source", "page", "chunk_index", "text", "doc_digest",
         F.lit(run).alias("run"), bucket_of(F.col("doc_id"), buckets).alias("bucket"),
     )
+    # texts travel, not vectors; a bucket that one document fills is cut into several tasks
+    return stage(texts.hint("rebalance", "bucket"), "texts")
+
+
+def _model(texts: DataFrame, path: str) -> PipelineModel:
+    if not _exists(texts.sparkSession, f"{path}/model/metadata/_SUCCESS"):
+        fit_hashed_tfidf(texts).write().overwrite().save(f"{path}/model")
+    return PipelineModel.load(f"{path}/model")
+
+
+def _embedded(texts: DataFrame, model: PipelineModel) -> DataFrame:
+    return embed(texts, model).select(
+        "id", "doc_id", "source", "page", "chunk_index", "text", "embedding", "doc_digest", "run", "bucket"
+    )
 
 
 def refresh(documents: DataFrame, path: str, buckets: int = BUCKETS) -> tuple[DataFrame, PipelineModel]:
@@ -101,15 +106,10 @@ def refresh(documents: DataFrame, path: str, buckets: int = BUCKETS) -> tuple[Da
     documents = documents.where(F.col("text").rlike(r"\S"))  # blank pages have no chunks
     if first and documents.isEmpty():
         raise ValueError("the first run needs documents")
-    model = _model(documents, path)
     given = document_digests(documents)
     if first:
         changes = given.selectExpr("doc_id", "doc_digest", "true AS embeds")
         known, run = None, 1
-        empty = _embedded(documents.limit(0), given.limit(0), model, run, buckets)
-        empty.write.mode("overwrite").parquet(f"{path}/schema")
-        system, folder = files_of(spark, f"{path}/chunks")
-        system.mkdirs(folder)
     else:
         known = stored_chunks(spark, path)
         held = known.groupBy(F.col("doc_id").alias("held_id")).agg(
@@ -130,19 +130,24 @@ def refresh(documents: DataFrame, path: str, buckets: int = BUCKETS) -> tuple[Da
     # at most as many rows as there are buckets
     touched = [r["bucket"] for r in changes.select("bucket").distinct().collect()]
     if not touched:
-        return stored_chunks(spark, path), model
-    fresh = _embedded(documents, changes.where("embeds"), model, run, buckets)
-    if known is not None:
+        return stored_chunks(spark, path), PipelineModel.load(f"{path}/model")
+    texts = _texts(documents, changes.where("embeds"), run, buckets)
+    model = _model(texts, path)
+    rows, filled = _embedded(texts, model), texts.select("bucket")
+    if known is None:
+        rows.limit(0).write.mode("overwrite").parquet(f"{path}/schema")
+        system, folder = files_of(spark, f"{path}/chunks")
+        system.mkdirs(folder)
+    else:
         gone = shipped_if_small(changes.select(F.col("doc_id").alias("of")))
         kept = known.where(F.col("bucket").isin(touched))
-        fresh = fresh.unionByName(kept.join(gone, kept["doc_id"].eqNullSafe(gone["of"]), "left_anti"))
-    fresh = stage(fresh, "fresh")
-    filled = {r["bucket"] for r in fresh.select("bucket").distinct().collect()}
-    # rebalancing cuts a bucket that one document fills into several files
-    writer = fresh.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
+        kept = kept.join(gone, kept["doc_id"].eqNullSafe(gone["of"]), "left_anti")
+        rows, filled = rows.unionByName(kept), filled.unionAll(kept.select("bucket"))
+    filled = {r["bucket"] for r in filled.distinct().collect()}
+    # new files wait in a folder of their own until all are written, so old ones can be read
+    writer = rows.write.mode("overwrite").partitionBy("bucket")
     writer.option("partitionOverwriteMode", "dynamic").parquet(f"{path}/chunks")
     for bucket in set(touched) - filled:
         system, folder = files_of(spark, f"{path}/chunks/bucket={bucket}")
         system.delete(folder, True)
     return stored_chunks(spark, path), model
-
