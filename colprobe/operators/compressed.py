@@ -26,9 +26,14 @@ SAMPLE_ROWS = 20_000
 VALUES = 256
 ITERATIONS = 15
 # Queries that share a block, codes that meet them in one task, and codes at a time.
-QUERY_BLOCK = 1024
-PART_ROWS = 200_000
+QUERY_BLOCK = 4096
+PART_ROWS = 1_000_000
 CODES_AT_ONCE = 8192
+# Codes of which the limit of a query's short list is foreseen, short rows in memory, and
+# vectors that meet the pairs of a block of queries in one task.
+FORESEEN = 16_384
+SHORT_AT_ONCE = 4_000_000
+VECTOR_ROWS = 100_000
 
 
 class Codebook:
@@ -46,8 +51,7 @@ class Codebook:
         residual = vectors - self.centres[lists]
         codes = [_distances(p, b).argmin(axis=1) for p, b in zip(self.parts(residual), self.books, strict=True)]
         codes = np.stack(codes, axis=1).astype(np.uint8)
-        rebuilt = self.centres[lists] + self.decode(codes)
-        return codes, (rebuilt**2).sum(axis=1)
+        return codes, (self.rebuilt(codes, lists) ** 2).sum(axis=1)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.hstack([b[codes[:, n]] for n, b in enumerate(self.books)])
@@ -59,6 +63,10 @@ class Codebook:
         padded = [np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in products]
         return np.stack(padded, axis=1), queries @ self.centres.T
 
+    def rebuilt(self, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for; products with them are cheaper than many tables."""
+        return self.centres[lists] + self.decode(codes)
+
     def near(self, tables, codes: np.ndarray, lists: np.ndarray, offset: np.ndarray) -> np.ndarray:
         """Distances of queries to codes, less the queries' own squares."""
         products, centres = tables
@@ -108,6 +116,60 @@ def fit_codebook(listed: DataFrame, centres: np.ndarray, count: int, seed: int)
     return Codebook(centres, [found[n].reshape(-1, b - a) for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
+def best_codes(book: Codebook, queries: np.ndarray, codes, lists, own, short: int):
+    """(query, code, distance less the query's square) of the ``short`` nearest codes of each query.
+
+    An even draw of the codes foresees how far the last of them is; where that was too
+    near, all codes are ordered.
+    """
+    total = len(codes)
+
+    def near(rows: np.ndarray, part) -> np.ndarray:
+        return own[part] - 2.0 * queries[rows] @ book.rebuilt(codes[part], lists[part]).T
+
+    step = -(-total // FORESEEN)
+    drawn = slice(None, None, step)
+    count = len(range(0, total, step))
+    place = min(int(short / step * 1.3 + 4 * (short / step) ** 0.5) + 3, count) - 1
+    found = []
+    for low in range(0, len(queries), max(1, SHORT_AT_ONCE // max(short, CODES_AT_ONCE))):
+        rows = np.arange(low, min(low + max(1, SHORT_AT_ONCE // max(short, CODES_AT_ONCE)), len(queries)))
+        limit = np.full(len(rows), np.inf)
+        if total > short and step > 1:
+            limit = np.partition(near(rows, drawn), place, axis=1)[:, place]
+        found.append(_within(near, rows, limit, total, short))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def _within(near, rows: np.ndarray, limit: np.ndarray, total: int, short: int):
+    held = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    seen = 0
+    for start in range(0, total, CODES_AT_ONCE):
+        some = near(rows, slice(start, start + CODES_AT_ONCE))
+        r, c = np.divmod(np.flatnonzero(some <= limit[:, None]), some.shape[1])
+        held.append((r, c + start, some[r, c]))
+        seen += len(r)
+        if seen > 4 * short * len(rows):  # the limit lets through too much; the best so far remain
+            held = [_first(held, short)]
+            seen = len(held[0][0])
+    r, c, distance = _first(held, short)
+    few = np.flatnonzero(np.bincount(r, minlength=len(rows)) < min(short, total))
+    if len(few) and np.isfinite(limit[few]).any():
+        kept = ~np.isin(r, few)
+        more = _within(near, rows[few], np.full(len(few), np.inf), total, short)
+        return [np.concatenate(x) for x in zip((rows[r[kept]], c[kept], distance[kept]), more, strict=True)]
+    return rows[r], c, distance
+
+
+def _first(held, short: int):
+    r, c, distance = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((c, distance, r))
+    r, c, distance = r[order], c[order], distance[order]
+    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]][: len(r)])
+    kept = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)])) < short
+    return r[kept], c[kept], distance[kept]
+
+
 def _codes(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer(b"".join(batch["code"]), np.uint8).reshape(len(batch), -1)
     return codes, batch["list"].to_numpy(), batch["own"].to_numpy()
@@ -196,45 +258,56 @@ def top_k_compressed(
     asked = stage(queries.select("query_id", "vector", probed("vector").alias("lists")), "asked")
     left, visits = neighbours.blocks_of_queries(asked, centres, QUERY_BLOCK)
     parts = -(-count // PART_ROWS)
-    left = left.select("query_id", "vector", "i", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("j"))
+    left = left.select("query_id", "vector", "i", neighbours._each(parts).alias("j"))
     right = coded.join(visits, "list").withColumn("j", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        book, found = shipped.value, []
         if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "near": []})
+            return pd.DataFrame({"query_id": [], "id": [], "near": [], "i": []})
         ids, asked = c["id"].to_numpy(), q["query_id"].to_numpy()
-        codes, lists, own = _codes(c)
-        for at in range(0, len(q), 64):
-            tables = book.tables(_matrix(q["vector"].iloc[at : at + 64]))
-            near = np.hstack(
-                [
-                    book.near(tables, *(x[low : low + CODES_AT_ONCE] for x in (codes, lists, own)))
-                    for low in range(0, len(c), CODES_AT_ONCE)
-                ]
-            )
-            best = np.argpartition(near, short - 1, axis=1)[:, :short] if len(c) > short else np.argsort(near, axis=1)
-            rows = np.arange(len(near))[:, None]
-            found.append(
-                pd.DataFrame(
-                    {
-                        "query_id": np.repeat(asked[at : at + 64], best.shape[1]),
-                        "id": ids[best].ravel(),
-                        "near": near[rows, best].ravel(),
-                    }
-                )
-            )
-        return pd.concat(found)
+        rows, at, near = best_codes(shipped.value, _matrix(q["vector"]), *_codes(c), short)
+        return pd.DataFrame({"query_id": asked[rows], "id": ids[at], "near": near, "i": q["i"].iloc[0]})
 
-    kinds = f"query_id {dict(queries.dtypes)['query_id']}, id {kind}, near double"
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, id {kind}, near double, i int"
     cells = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compare, kinds)
-    best = W.partitionBy("query_id").orderBy("near", "id")
-    listed_short = cells.withColumn("place", F.row_number().over(best)).where(F.col("place") <= short)
-    pairs = listed_short.select("query_id", "id")
-    pairs = pairs.join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
-    pairs = pairs.join(corpus.select("id", F.col("vector").alias("v")), "id")
-    gaps = F.zip_with("q", "v", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    distance = F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x)
-    compared = F.count("*").over(W.partitionBy("query_id")).cast("int")
-    exact = pairs.select("query_id", "id", distance.alias("distance")).withColumn("compared", compared)
-    return _ranked(exact, k).select(*columns)
+    if parts > 1 or not asked.groupBy("query_id").count().where("count > 1").isEmpty():
+        best = W.partitionBy("query_id").orderBy("near", "id")
+        cells = cells.withColumn("place", F.row_number().over(best)).where(F.col("place") <= short)
+    pairs = stage(cells.select("query_id", "id", "i"), "short")
+    return _ranked(_measured(pairs, queries, corpus, count, k), k).select(*columns)
+
+
+def _measured(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, count: int, k: int) -> DataFrame:
+    """(query_id, id, distance, compared): the ``k`` nearest of ``pairs`` (query_id, id, i).
+
+    The pairs of a block ``i`` meet the vectors that any of them names, in parts of bounded
+    size, so a vector is copied for blocks and not for pairs.
+    """
+    part = F.pmod(F.xxhash64("id"), F.lit(-(-count // VECTOR_ROWS))).cast("int").alias("j")
+    pairs = pairs.where("query_id IS NOT NULL AND id IS NOT NULL").select("query_id", "id", "i", part)
+    left = pairs.groupBy("query_id", "i", "j").agg(F.collect_list("id").alias("ids"))
+    left = left.join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
+    named = pairs.select(F.col("i").alias("for_i"), F.col("j").alias("for_j"), "id").distinct()
+    right = named.join(corpus.select("id", F.col("vector").alias("vector")), "id")
+
+    def measure(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "distance": [], "n": []})
+        asked, vectors = _matrix(q["asked"]), _matrix(c["vector"])
+        named = pd.DataFrame({"id": np.concatenate(q["ids"].tolist()), "row": np.repeat(np.arange(len(q)), q["ids"].map(len))})
+        met = named.merge(pd.DataFrame({"id": c["id"], "at": np.arange(len(c))}), on="id")
+        row, at, distance = met["row"].to_numpy(), met["at"].to_numpy(), np.empty(len(met))
+        for low in range(0, len(met), neighbours.PAIRS_AT_ONCE):
+            some = slice(low, low + neighbours.PAIRS_AT_ONCE)
+            distance[some] = ((asked[row[some]] - vectors[at[some]]) ** 2).sum(axis=1)
+        n = np.bincount(row, minlength=len(q))
+        row, ids, distance = neighbours._keep_best((row, met["id"].to_numpy(), distance), k)
+        first = np.r_[True, row[1:] != row[:-1]]  # a query's number of pairs stands once
+        return pd.DataFrame(
+            {"query_id": q["query_id"].to_numpy()[row], "id": ids, "distance": distance, "n": np.where(first, n[row], 0)}
+        )
+
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(corpus.dtypes)['id']}, distance double, n long"
+    found = left.groupBy("i", "j").cogroup(right.groupBy("for_i", "for_j")).applyInPandas(measure, kinds)
+    compared = F.sum("n").over(W.partitionBy("query_id")).cast("int")
+    return found.withColumn("compared", compared).drop("n")
