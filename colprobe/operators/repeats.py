@@ -25,7 +25,7 @@ from colprobe.session import shipped_if_small, stage
 # Slots that different values share by chance: at most about 2^20 at any number of rows.
 LOG_CHANCE = 20
 # Cells gathered by a task before it sends its blocks.
-CELLS_AT_ONCE = 1 << 22
+CELLS_AT_ONCE = 1 << 20
 # Values a range of slots holds on average, up to 2^16 ranges; then ranges grow.
 LOG_RANGE = 18
 # Beyond this many repeated slots all values are grouped, as their repeats combine anyway.

@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from colprobe.operators import chunking
+from colprobe.operators import chunking, repeats
 
 
 def test_texts_reach_python_some_at_a_time(spark):
@@ -18,3 +18,12 @@ def test_texts_reach_python_some_at_a_time(spark):
         return pa.array([len(batch)] * len(batch), pa.int64())
 
     assert texts.agg(F.max(together("text"))).first()[0] < 100  # 40 MB in one batch before
+
+
+def test_slots_are_sent_before_many_are_held(spark):
+    """A task held up to 4 194 304 cells, with several copies of them while it coded."""
+    cells = spark.range(0, 2_500_000, 1, 1).select(F.lit(0).alias("column_ix"), F.col("id").alias("slot"))
+    packed = repeats.packed_slots(cells, 32, 0)
+    assert packed.count() == 3
+    assert repeats.repeated_slots(packed).count() == 0
+    assert repeats.repeated_slots(packed.unionAll(packed)).count() == 2_500_000
