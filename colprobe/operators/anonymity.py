@@ -4,7 +4,8 @@ A set of columns is k-anonymous if every combination of its values that occurs i
 by at least ``k`` rows. More columns only split groups, so every superset of a set that
 isn't k-anonymous isn't either: sets are tried level by level, and one is counted only if
 all its subsets passed. The first level is one count per column. The columns that pass
-it are grouped together once, and the higher levels count the groups of that table.
+it are grouped together once, and the higher levels count the groups of that table, or of one of
+those that lack a column of many values and so are much shorter.
 Driver and plan hold sets of columns, never values.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,29 +24,66 @@ from colprobe.session import stage
 
 # Sets counted by one scan.
 SETS_AT_ONCE = 50
+# Tables without a column, at most, and how much shorter than the whole one they have to be.
+SHORTER_TABLES = 4
+SHORTER = 4
 
 Set = tuple[int, ...]
 
 
 def _smallest(groups: DataFrame, k: int) -> list:
-    """Per set, the rows of its smallest group and of all groups below ``k``."""
+    """Per set, its groups, the rows of the smallest one and those of all below ``k``."""
     small = F.when(F.col("freq") < k, F.col("freq"))
     return (
         groups.groupBy("set_ix")
-        .agg(F.min("freq").alias("smallest_group"), F.coalesce(F.sum(small), F.lit(0)).alias("rows_below"))
+        .agg(
+            F.count("*").alias("groups"),
+            F.min("freq").alias("smallest_group"),
+            F.coalesce(F.sum(small), F.lit(0)).alias("rows_below"),
+        )
         .collect()  # as many rows as there are sets
     )
 
 
-def _groups(table: DataFrame, freq: str, sets: list[Set], names: dict[int, str]) -> DataFrame:
-    """(set_ix, freq), one row per set and combination of its values."""
+def _shorter(table: DataFrame, names: dict[int, str], values: dict[int, int]) -> list[tuple[frozenset, DataFrame]]:
+    """(columns, table) with ``table`` last, shorter ones without a column before it.
+
+    ``values`` are the numbers of values of the columns; their product bounds a table's rows.
+    """
+    whole, rows = frozenset(names), table.count()
+    bounds = {ix: prod(values[other] for other in names if other != ix) for ix in names}
+    found = []
+    for ix in sorted(names, key=bounds.get)[:SHORTER_TABLES]:
+        if len(names) > 2 and bounds[ix] * SHORTER <= rows:
+            kept = [name for other, name in names.items() if other != ix]
+            grouped = table.groupBy(*kept).agg(F.sum("freq").alias("freq"))
+            found.append((whole - {ix}, stage(grouped, "combinations")))
+    return [*found, (whole, table)]
+
+
+def _level(tables: list[tuple[frozenset, DataFrame]], sets: list[Set], names: dict[int, str]) -> DataFrame:
+    """``_groups`` of all sets, each counted in the first table that has its columns."""
+    own: dict[int, list[int]] = {}
+    for place, chosen in enumerate(sets):
+        first = next(n for n, (columns, _) in enumerate(tables) if columns.issuperset(chosen))
+        own.setdefault(first, []).append(place)
+    return reduce(
+        DataFrame.unionByName,
+        [_groups(tables[n][1], "freq", [sets[p] for p in places], names, places) for n, places in own.items()],
+    )
+
+
+def _groups(
+    table: DataFrame, freq: str, sets: list[Set], names: dict[int, str], places: list[int]
+) -> DataFrame:
+    """(set_ix, freq), one row per set and combination of its values; ``places`` are the set_ix."""
     parts = []
     for first in range(0, len(sets), SETS_AT_ONCE):
         some = sets[first : first + SETS_AT_ONCE]
         used = sorted({ix for chosen in some for ix in chosen})
         # the grouping id has a bit for every column that a set leaves out, the first one highest
         ids = [sum(1 << (len(used) - 1 - i) for i, ix in enumerate(used) if ix not in s) for s in some]
-        place = F.create_map(*[F.lit(n) for i, bits in enumerate(ids) for n in (bits, first + i)])
+        place = F.create_map(*[F.lit(n) for i, bits in enumerate(ids) for n in (bits, places[first + i])])
         grouped = table.groupingSets(
             [[F.col(names[ix]) for ix in chosen] for chosen in some], *[names[ix] for ix in used]
         ).agg(F.sum(freq).alias("freq"), F.grouping_id().cast("int").alias("left_out"))
@@ -82,13 +121,15 @@ def identifying_sets(
     counts = frequency_counts(df, columns).where("freq > 0")
     place = per_field(list(fields.values()), list(fields.values()).index)
     single = [(ix,) for ix in fields]
-    passed = passing(single, _smallest(counts.select(place.alias("set_ix"), "freq"), k))
+    alone = _smallest(counts.select(place.alias("set_ix"), "freq"), k)
+    passed = passing(single, alone)
     if len(passed) > 1 and max_columns > 1:
         kept = [ix for (ix,) in passed]
         names = {ix: f"c{ix}" for ix in kept}
         cells = df.selectExpr(*[f"{fields[ix].cell} AS {names[ix]}" for ix in kept])
         grouped = cells.groupBy(*names.values()).agg(F.count(F.lit(1)).alias("freq"))
-        table = stage(grouped, "combinations")
+        values = dict.fromkeys(kept, 1) | {single[row["set_ix"]][0]: row["groups"] for row in alone}
+        tables = _shorter(stage(grouped, "combinations"), names, values)
         for size in range(2, max_columns + 1):
             known = set(passed)
             sets = [
@@ -98,7 +139,7 @@ def identifying_sets(
             ]
             if not sets:
                 break
-            passed = passing(sets, _smallest(_groups(table, "freq", sets, names), k))
+            passed = passing(sets, _smallest(_level(tables, sets, names), k))
     return spark.createDataFrame(
         found, "columns string, size int, smallest_group bigint, rows_below bigint"
     )

@@ -85,3 +85,19 @@ def test_sets_of_small_tables(spark):
     assert anonymity.identifying_sets(same, k=7).count() == 3
     with pytest.raises(ValueError):
         anonymity.identifying_sets(same, k=1)
+
+
+def test_sets_without_a_column_are_counted_in_a_shorter_table(spark, monkeypatch):
+    """Sets of columns with few values came from the whole table of combinations before."""
+    df = spark.range(3000).selectExpr("id % 4 AS a", "id % 3 AS b", "id % 5 AS c", "id % 601 AS d").localCheckpoint()
+    seen, real = [], anonymity._groups
+
+    def counted(table, freq, sets, names, places):
+        seen.append((table.count(), len(sets)))
+        return real(table, freq, sets, names, places)
+
+    monkeypatch.setattr(anonymity, "_groups", counted)
+    found = {tuple(r) for r in anonymity.identifying_sets(df, 4, max_columns=3).collect()}
+    assert (60, 3) in seen
+    monkeypatch.setattr(anonymity, "SHORTER_TABLES", 0)
+    assert found == {tuple(r) for r in anonymity.identifying_sets(df, 4, max_columns=3).collect()} and found
