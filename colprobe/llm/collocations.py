@@ -3,7 +3,8 @@
 Relation ``k`` holds the runs of words in which every phrase of ``k`` words is frequent, in
 the order of the texts, so that the phrase after another one is its neighbour in the row.
 Each step joins neighbours to phrases of one word more, counts them, and keeps of the
-relation what the frequent ones cover.
+relation what the frequent ones cover. From three words on, phrases are first counted
+roughly, in tables of fixed size, and only those that may be frequent are counted exactly.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ UNKNOWN = "und"
 # Bits of the table by which occurrences are tested for frequent phrases: a bound of 16 MB.
 # Where two phrases share a bit, more is counted, and nothing is lost.
 SLOTS = 1 << 27
+# Counters of a rough count, and those of them that are summed together. Where two phrases
+# share a counter, more is counted exactly, and nothing is lost.
+COUNTERS = 1 << 22
+COUNTERS_AT_ONCE = 1 << 16
 # Distinct words, and phrases, that a task gathers before it hands on their counts.
 WORDS_AT_ONCE = 200_000
 PHRASES_AT_ONCE = 1_000_000
@@ -235,47 +240,122 @@ def _names(k: int) -> list[str]:
     return [f"w{j + 1}" for j in range(k)]
 
 
-def phrase_counts(relation: DataFrame, k: int, least: int) -> DataFrame:
-    """(lang, w1..wk, f) of the phrases of ``k`` words that occur often enough; staged.
+def maybe_frequent(relation: DataFrame, k: int, least: int) -> np.ndarray:
+    """One bit for each counter that phrases of ``k`` words reach ``least`` times in all.
 
-    Tasks sum up what they see at a time; a phrase comes once from each such part.
+    Tasks count into tables of fixed size, which are summed part by part. A frequent
+    phrase has its bit, in whichever language it is; few of the rare ones have.
     """
+    enough = max(least, 1)
+    kind = np.min_scalar_type(enough)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, words in _arrays(batch):
+                at = starts(words, k)
+                np.add.at(seen, _counter([words[at + j] for j in range(k)]), 1)
+        seen = np.minimum(seen, enough).astype(kind).reshape(-1, COUNTERS_AT_ONCE)
+        parts = np.flatnonzero(seen.any(axis=1))
+        yield _parts(parts.tolist(), [seen[n].tobytes() for n in parts])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, seen in zip(batch.column("part").to_pylist(), batch.column("held"), strict=True):
+                own = total.setdefault(part, np.zeros(COUNTERS_AT_ONCE, np.int64))
+                own += np.frombuffer(seen.as_buffer(), kind)
+                np.minimum(own, enough, out=own)
+        yield _parts(list(total), [np.packbits(own >= enough, bitorder="little").tobytes() for own in total.values()])
+
+    kept = "part int, held binary"
+    dealt = _few_parts(relation).mapInArrow(run, kept).repartition(partitions(relation.sparkSession), "part")
+    table = np.zeros((COUNTERS // COUNTERS_AT_ONCE, COUNTERS_AT_ONCE // 8), np.uint8)
+    for row in dealt.mapInArrow(summed, kept).collect():  # COUNTERS bits at most
+        table[row["part"]] = np.frombuffer(row["held"], np.uint8)
+    return table.ravel()
+
+
+def _few_parts(relation: DataFrame) -> DataFrame:
+    """One part per core, as a frequent phrase comes from nearly every part, however many there are."""
+    return relation.coalesce(relation.sparkSession.sparkContext.defaultParallelism)
+
+
+def _counter(phrase: list[np.ndarray]) -> np.ndarray:
+    return slots(phrase) & (COUNTERS - 1)
 
-    def counted(parts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
-        phrase = [np.concatenate(p) for p in zip(*parts, strict=True)]
+
+def _parts(parts: list[int], held: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(held, pa.binary())], names=["part", "held"])
+
+
+def partial_counts(relation: DataFrame, k: int, maybe: np.ndarray | None = None) -> DataFrame:
+    """(lang, w1..wk, f) of the phrases of ``k`` words, those with a bit in ``maybe`` if given.
+
+    Tasks sum up what they see at a time; a phrase comes once from each such part.
+    """
+    shipped = None
+    if maybe is not None:
+        relation, shipped = _few_parts(relation), relation.sparkSession.sparkContext.broadcast(maybe)
+
+    def summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """Phrases and their counts; those of a part are one each if it holds none."""
+        columns = [np.concatenate(p) for p in zip(*parts, strict=True)]
+        phrase = columns[:k]
         mixed = reduce(np.bitwise_xor, [_turned(w.view(_U), 17 * j + 1) for j, w in enumerate(phrase)])
         order = np.argsort(mixed)
         phrase = [w[order] for w in phrase]
         # phrases that fall on one mixed number may take turns; their counts meet later
         new = reduce(np.logical_or, [w[1:] != w[:-1] for w in phrase])
         first = np.flatnonzero(np.r_[True, new])
-        return [w[first] for w in phrase], np.diff(np.r_[first, len(order)])
+        if len(columns) > k:
+            n = np.add.reduceat(columns[k][order], first)
+        else:
+            n = np.diff(np.r_[first, len(order)])
+        return [*[w[first] for w in phrase], n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[list[np.ndarray]]] = {}
+        known: dict[str, list[np.ndarray]] = {}
         size: Counter = Counter()
 
-        def table(lang: str) -> pa.RecordBatch:
-            phrase, n = counted(held.pop(lang))
-            size.pop(lang)
-            columns = [pa.array([lang]).take(pa.array(np.zeros(len(n), np.int32))), *map(pa.array, phrase)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], names=["lang", *_names(k), "f"])
+        def count_held() -> None:
+            size.clear()
+            for lang in list(held):
+                own = summed(held.pop(lang))
+                known[lang] = summed([known[lang], own]) if lang in known else own
+
+        def tables() -> Iterator[pa.RecordBatch]:
+            for lang in list(known):
+                columns = known.pop(lang)
+                own = pa.array([lang]).take(pa.array(np.zeros(len(columns[0]), np.int32)))
+                yield pa.RecordBatch.from_arrays([own, *map(pa.array, columns)], names=["lang", *_names(k), "f"])
 
         for batch in batches:
             for lang, words in _arrays(batch):
                 at = starts(words, k)
+                if shipped is not None:
+                    at = at[_is_set(shipped.value, _counter([words[at + j] for j in range(k)]))]
                 if len(at):
                     held.setdefault(lang, []).append([words[at + j] for j in range(k)])
                     size[lang] += len(at)
             if size.total() > PHRASES_AT_ONCE:
-                for lang in list(held):
-                    yield table(lang)
-        for lang in list(held):
-            yield table(lang)
+                count_held()
+                # most phrases that may be frequent come again, others don't
+                if shipped is None or sum(len(own[k]) for own in known.values()) > PHRASES_AT_ONCE:
+                    yield from tables()
+        count_held()
+        yield from tables()
 
-    keys = ["lang", *_names(k)]
     schema = ", ".join(["lang string", *[f"{w} bigint" for w in _names(k)], "f bigint"])
-    seen = relation.mapInArrow(run, schema)
+    return relation.mapInArrow(run, schema)
+
+
+def phrase_counts(relation: DataFrame, k: int, least: int) -> DataFrame:
+    """(lang, w1..wk, f) of the phrases of ``k`` words that occur often enough; staged."""
+    # too many different phrases of two words for a table of fixed size
+    seen = partial_counts(relation, k, maybe_frequent(relation, k, least) if k > 2 else None)
+    keys = ["lang", *_names(k)]
     # tasks have summed up already; dealt out first, rows are summed only once more
     dealt = seen.repartition(partitions(relation.sparkSession), *keys)
     return stage(dealt.groupBy(*keys).agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")

@@ -120,6 +120,57 @@ def test_places_are_the_same_in_both_forms(spark):
         assert np.unpackbits(bits).sum() == len(set(own))
 
 
+def relation_of(spark, rows):
+    """(lang, words) of phrases, one text per row and part."""
+    rows = [(lang, [*words, 0]) for lang, words in rows]
+    return spark.createDataFrame(rows, "lang string, words array<bigint>").repartition(len(rows))
+
+
+def test_rare_phrases_are_not_handed_on(spark):
+    """Phrases that can't be frequent are left out before the tasks hand on their counts."""
+    rng = np.random.default_rng(2)
+    often = rng.integers(1, 2**62, 5).tolist()
+    rows = [("en" if n % 2 else "de", often + rng.integers(1, 2**62, 200).tolist()) for n in range(6)]
+    relation = relation_of(spark, rows)
+    for k in (3, 4):
+        maybe = col.maybe_frequent(relation, k, 3)
+        handed = {tuple(r)[1:-1] for r in col.partial_counts(relation, k, maybe).collect()}
+        assert handed == {tuple(often[i : i + k]) for i in range(6 - k)}
+        assert col.partial_counts(relation, k).count() > 1000
+        found = {tuple(r) for r in col.phrase_counts(relation, k, 3).collect()}
+        wanted = {(lang, *often[i : i + k], 3) for lang in ("en", "de") for i in range(6 - k)}
+        assert found == wanted
+
+
+def test_frequent_phrases_come_once_per_core(spark, monkeypatch):
+    """However many parts and batches there are; they came from every part before."""
+    monkeypatch.setattr(col, "PHRASES_AT_ONCE", 500)
+    text = np.random.default_rng(3).integers(1, 2**62, 50).tolist()
+    relation = relation_of(spark, [("en", text * 4)] * 60)
+    assert relation.rdd.getNumPartitions() == 60
+    handed = col.partial_counts(relation, 3, col.maybe_frequent(relation, 3, 30))
+    assert handed.count() <= 50 * spark.sparkContext.defaultParallelism
+    assert {r["f"] for r in handed.groupBy("w1").agg(F.sum("f").alias("f")).collect()} == {240, 180}
+
+
+@pytest.mark.parametrize("least", [1, 2, 300])
+def test_shared_counters_lose_nothing(spark, monkeypatch, least):
+    """With few counters rare phrases pass too, and counts stay exact; counts beyond a byte."""
+    monkeypatch.setattr(col, "COUNTERS", 16)
+    monkeypatch.setattr(col, "COUNTERS_AT_ONCE", 8)
+    rows = [("en", [7, 8, 9] * 150), ("en", [7, 8, 9] * 151), ("de", [7, 8, 9, 5, 6])]
+    found = {tuple(r) for r in col.phrase_counts(relation_of(spark, rows), 3, least).collect()}
+    wanted = {("en", 7, 8, 9, 301), ("en", 8, 9, 7, 299), ("en", 9, 7, 8, 299)}
+    wanted |= {("de", 7, 8, 9, 1), ("de", 8, 9, 5, 1), ("de", 9, 5, 6, 1)}
+    assert found == {row for row in wanted if row[-1] >= least}
+
+
+def test_no_runs_have_no_phrases(spark):
+    relation = relation_of(spark, [("en", [])]).where("false")
+    assert not col.maybe_frequent(relation, 3, 2).any()
+    assert col.phrase_counts(relation, 3, 2).count() == 0
+
+
 def test_runs():
     words = np.array([5, 6, 0, 7, 8, 9, 0, 4])
     at = col.starts(words, 1)
